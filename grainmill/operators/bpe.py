@@ -159,8 +159,6 @@ def bpe_decoder(
     return decode
 
 
-def roundtrip_failures(rows, text: str = "text", decoded: str = "decoded"):
-    """Rows that do not come back as they were, apart from texts that hold the word mark."""
-    return rows.filter(
-        (F.col(text) != F.col(decoded)) & ~F.contains(F.col(text), F.lit(META_SPACE))
-    )
+def is_roundtrip_failure(text: Column, decoded: Column) -> Column:
+    """The text does not come back as it was, and not because it holds the word mark."""
+    return (text != decoded) & ~F.contains(text, F.lit(META_SPACE))

@@ -1,6 +1,6 @@
 """Queries on the test tables, one per operator or job."""
 
-from workloads import shaping  # noqa: F401
+from workloads import shaping, tokens  # noqa: F401
 from workloads.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
