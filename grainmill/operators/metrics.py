@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from grainmill.operators.order import with_positions
 
@@ -18,11 +18,20 @@ def token_budget(
     )
 
 
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970 of a timestamp column, by the wall clock if it has no zone."""
+    if not isinstance(df.schema[ts].dataType, T.TimestampNTZType):
+        return F.unix_micros(ts)
+    day = F.unix_date(F.to_date(ts)).cast("bigint")
+    minutes = (day * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("bigint")
+
+
 def number_steps(
     df: DataFrame, *, run: str, ts: str, tie: str, slice_seconds: int = 3600
 ) -> DataFrame:
     """``step`` 0, 1, .. per run by time. Time slices keep one long run from one task."""
-    slice_no = F.floor(F.unix_seconds(ts) / slice_seconds)
+    slice_no = F.floor(micros(df, ts) / (slice_seconds * 1_000_000))
     return with_positions(df, [ts, tie], slice_no, group=[run], position="step")
 
 
@@ -43,7 +52,7 @@ def throughput(
     tasks by step; no window over a run is needed. Needs columns ``run, step, ts``.
     """
     marks = interval_rows(steps, every, step=step, include_zero=True).select(
-        run, step, F.unix_micros("ts").alias("at")
+        run, step, micros(steps, "ts").alias("at")
     )
     earlier = marks.select(
         run, (F.col(step) + every).alias(step), F.col("at").alias("started")

@@ -29,15 +29,20 @@ def read_jsonl(
     """
     if not patterns:
         raise ValueError("no source patterns given")
-    parts = []
+    parts = {}
     for source, pattern in patterns.items():
         check_suffix(pattern)
         try:
-            part = spark.read.schema(schema).json(pattern, mode="FAILFAST")
+            parts[source] = spark.read.schema(schema).json(pattern, mode="FAILFAST")
         except AnalysisException as e:
             raise ValueError(f"source {source!r}: no file matches {pattern}") from e
-        parts.append(part.withColumn(name, F.lit(source)))
-    return reduce(DataFrame.unionByName, parts)
+    return union_sources(parts, name)
+
+
+def union_sources(parts: Mapping[str, DataFrame], name: str = "name") -> DataFrame:
+    """All rows of all named tables, with the table's name per row."""
+    named = [df.withColumn(name, F.lit(source)) for source, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def read_lines(spark: SparkSession, pattern: str, source: str = "source") -> DataFrame:
