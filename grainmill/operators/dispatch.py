@@ -10,13 +10,19 @@ REASON = "reject_reason"
 
 
 def apply_by_source(
-    df: DataFrame, transforms: Mapping[str, Column], *, source: str = "source", out: str
+    df: DataFrame,
+    transforms: Mapping[str, Column],
+    *,
+    source: str = "source",
+    out: str,
+    split_rows: bool = True,
 ) -> DataFrame:
     """Column ``out`` made by the transform registered for the row's source.
 
     A row whose source has no transform, or whose transform gives null, keeps a null ``out``
     and gets a ``reject_reason``. A string result stays one row; a list of lists becomes one
-    row per inner list; any other type is an error when the query is built.
+    row per inner list (unless ``split_rows`` is off); any other type is an error when the
+    query is built.
     """
     name = F.col(source)
     known = name.isin(list(transforms))
@@ -37,7 +43,7 @@ def apply_by_source(
         ),
     )
     # explode_outer keeps rejected rows; an empty list of lists gives no sequences.
-    if nested:
+    if nested and split_rows:
         done = done.filter(F.col(REASON).isNotNull() | (F.size(out) > 0)).withColumn(
             out, F.explode_outer(out)
         )

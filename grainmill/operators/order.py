@@ -18,6 +18,8 @@ from grainmill.session import shuffle_partitions
 ORDER = "_order"
 SLICE = "_slice"
 SLICES_PER_PARTITION = 4
+# Rows of a broadcast border table, at about 150 bytes each.
+BROADCAST_CELLS = 200_000
 
 
 def default_slices(df: DataFrame) -> int:
@@ -34,6 +36,7 @@ def with_positions(
     weight: str | None = None,
     position: str = "pos",
     weight_before: str = "weight_before",
+    keep_offsets: bool = False,
 ) -> DataFrame:
     """Add each row's 0-based position in its group, and the weight of all rows before it.
 
@@ -57,7 +60,7 @@ def with_positions(
             "_weight_off", F.coalesce(F.sum("_weight").over(earlier), F.lit(0))
         )
     offsets = offsets.drop("_rows", "_weight")
-
+    # The rows of a slice are ranked where the exchange by (group, slice) puts them.
     inside = W.partitionBy(*keys).orderBy(*order)
     ranked = sliced.withColumn("_rank", F.row_number().over(inside) - 1)
     if weight:
@@ -68,7 +71,8 @@ def with_positions(
     out = ranked.join(offsets, keys).withColumn(position, F.col("_rows_off") + F.col("_rank"))
     if weight:
         out = out.withColumn(weight_before, F.col("_weight_off") + F.col("_weight_in"))
-    return out.drop(SLICE, "_rank", "_rows_off", "_weight_in", "_weight_off")
+    out = out.drop("_rank", "_rows_off", "_weight_in")
+    return out if keep_offsets else out.drop(SLICE, "_weight_off")
 
 
 def with_shuffled_positions(
@@ -99,6 +103,90 @@ def with_shuffled_positions(
     ).drop(ORDER)
 
 
+def with_shuffled_spans(
+    df: DataFrame,
+    key: str,
+    seed: int,
+    size: int,
+    *,
+    shard: str,
+    num_shards: int,
+    weight: str | None = None,
+    n_slices: int | None = None,
+) -> DataFrame:
+    """Lay each shard's shuffled rows end to end and cut the line every ``size``.
+
+    A row covers ``weight`` units of the line (1 by default); a span is ``size`` units. Adds
+    ``before``, the units before the row, and ``cell``: the result is partitioned by (shard,
+    cell), and a cell has every row of the spans ``first_span .. end_span - 1``, so a following
+    aggregation per span needs no exchange and wide rows move only once.
+
+    For that, slice borders are shifted to span borders. The keys and weights alone tell, per
+    slice, which row starts the first span; rows before it go to the cell where their span
+    started, and a row that lies across is sent to both. The border table has one row per
+    shard and slice, and as many slices as allow it to be broadcast.
+    """
+    n = n_slices or min(default_slices(df), max(1, BROADCAST_CELLS // num_shards))
+    units = F.col(weight) if weight else F.lit(1)
+    place = F.struct(ORDER, key)
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        keyed = rows.withColumn(ORDER, shuffle_key(seed, F.col(key)))
+        return keyed.withColumn(SLICE, shuffle_bucket(F.col(ORDER), n))
+
+    cells = _span_cells(sliced(df.select(shard, key, units.alias("_units"))), key, shard, size)
+    if n * num_shards <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    in_own = place >= F.col("_own_from")
+    in_home = F.coalesce(place < F.col("_home_until"), F.lit(True))
+    targets = F.array_compact(
+        F.array(F.when(in_own, F.col("_own")), F.when(in_home, F.col("_home")))
+    )
+    earlier = (
+        W.partitionBy(shard, "cell").orderBy(ORDER, key).rowsBetween(W.unboundedPreceding, -1)
+    )
+    return (
+        sliced(df)
+        .join(cells, [shard, SLICE])
+        .withColumn("_to", F.explode(targets))
+        .select(*df.columns, ORDER, "_to.cell", "_to.start", "_to.first_span", "_to.end_span")
+        .withColumn("before", F.col("start") + F.coalesce(F.sum(units).over(earlier), F.lit(0)))
+        .drop(ORDER, "start")
+    )
+
+
+def _span_cells(keys: DataFrame, key: str, shard: str, size: int) -> DataFrame:
+    """Per shard and slice: where its own spans begin, and the cell of the span before them."""
+    placed = with_positions(
+        keys, [ORDER, key], F.col(SLICE), group=[shard], weight="_units",
+        weight_before="_before", keep_offsets=True,
+    )
+    place = F.struct(ORDER, key)
+    # First span border at or after the start of the slice.
+    border = F.ceil(F.col("_weight_off") / size) * size
+    after_border = F.col("_before") + F.col("_units") > border
+    slices = placed.groupBy(shard, SLICE).agg(
+        F.max("_weight_off").alias("_from"),
+        F.sum("_units").alias("_units"),
+        F.min(F.when(after_border, place)).alias("_own_from"),
+        F.min(F.when(after_border, F.col("_before"))).alias("_start"),
+        F.min(F.when(F.col("_before") >= border, place)).alias("_home_until"),
+    )
+    own = F.struct(
+        F.col(SLICE).alias("cell"),
+        F.col("_start").alias("start"),
+        F.ceil(F.col("_from") / size).alias("first_span"),
+        F.ceil((F.col("_from") + F.col("_units")) / size).alias("end_span"),
+    )
+    earlier = W.partitionBy(shard).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    starts_span = F.when(F.col("_own_from").isNotNull(), own)
+    return slices.select(
+        shard, SLICE, "_own_from", "_home_until",
+        own.alias("_own"),
+        F.last(starts_span, ignorenulls=True).over(earlier).alias("_home"),
+    )
+
+
 def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """The rows in a full, repeatable random order (a range exchange on the shuffle key)."""
     return (

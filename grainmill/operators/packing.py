@@ -44,28 +44,21 @@ def pack_groups(
     *,
     ids: str = "input_ids",
     shard: str = SHARD,
-    position: str = "pos",
     pad_id: int = PAD_ID,
 ) -> DataFrame:
     """Concatenate every ``num_sequences`` consecutive rows of a shard and cut into chunks.
 
-    The end of a group is padded to a multiple of ``seq_length``; the last, incomplete group
-    of a shard is left out. A task holds one group of ``num_sequences`` rows at a time.
+    Takes the output of ``with_shuffled_spans`` with spans of ``num_sequences`` rows: a group
+    is a span, and its rows are already in one partition. The end of a group is padded to a
+    multiple of ``seq_length``; the last, incomplete group of a shard is left out.
     """
-    grouped = df.select(
-        shard,
-        F.floor(F.col(position) / num_sequences).alias("grp"),
-        F.struct(F.col(position), F.col(ids).alias("ids")).alias("doc"),
-    )
+    doc = F.struct("before", F.col(ids).alias("ids"))
     groups = (
-        grouped.groupBy(shard, "grp")
-        .agg(F.collect_list("doc").alias("docs"))
+        df.withColumn("grp", F.floor(F.col("before") / num_sequences))
+        .groupBy(shard, "cell", "grp")
+        .agg(F.collect_list(doc).alias("docs"))
         .filter(F.size("docs") == num_sequences)
-        .select(
-            shard,
-            "grp",
-            F.flatten(F.array_sort("docs")["ids"]).alias(ids),
-        )
+        .select(shard, "grp", F.flatten(F.array_sort("docs")["ids"]).alias(ids))
     )
     return cut_padded(groups, seq_length, ids=ids, pad_id=pad_id)
 
@@ -83,40 +76,34 @@ def cut_padded(
 
 
 def pack_stream(
-    df: DataFrame,
-    seq_length: int,
-    *,
-    ids: str = "input_ids",
-    shard: str = SHARD,
-    tokens_before: str = "tokens_before",
+    df: DataFrame, seq_length: int, *, ids: str = "input_ids", shard: str = SHARD
 ) -> DataFrame:
     """Cut the endless token stream of each shard every ``seq_length`` tokens.
 
-    ``tokens_before`` is the number of tokens that earlier rows of the shard hold. Rows are
-    cut at chunk borders into pieces, and the pieces of a chunk are put together: a task
-    holds one chunk at a time, never a shard. A last, shorter chunk is left out.
+    Takes the output of ``with_shuffled_spans`` with spans of ``seq_length`` tokens: a chunk is
+    a span. Rows are cut at chunk borders into pieces, and the pieces of a chunk, which are
+    already in one partition, are put together; a task holds one chunk at a time, never a
+    shard. A last, shorter chunk is left out.
     """
-    first = F.floor(F.col(tokens_before) / seq_length)
-    last = F.floor((F.col(tokens_before) + F.size(ids) - 1) / seq_length)
-    chunks = F.when(F.size(ids) > 0, F.sequence(first, last)).otherwise(
+    before, n = F.col("before"), F.size(ids)
+    first = F.greatest(F.floor(before / seq_length), F.col("first_span"))
+    last = F.least(F.floor((before + n - 1) / seq_length), F.col("end_span") - 1)
+    chunks = F.when((n > 0) & (first <= last), F.sequence(first, last)).otherwise(
         F.array().cast("array<bigint>")
     )
     # Begin and end of the piece inside its row.
-    begin = F.greatest(F.col("chunk") * seq_length - F.col(tokens_before), F.lit(0))
-    end = F.least((F.col("chunk") + 1) * seq_length - F.col(tokens_before), F.size(ids))
-    pieces = df.withColumn("chunk", F.explode(chunks)).select(
-        shard,
-        "chunk",
-        F.struct(
-            (F.col(tokens_before) + begin).alias("at"),
-            F.slice(F.col(ids), (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"),
-        ).alias("piece"),
+    begin = F.greatest(F.col("chunk") * seq_length - before, F.lit(0))
+    end = F.least((F.col("chunk") + 1) * seq_length - before, n)
+    piece = F.struct(
+        (before + begin).alias("at"),
+        F.slice(F.col(ids), (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"),
     )
     return (
-        pieces.groupBy(shard, "chunk")
-        .agg(F.collect_list("piece").alias("pieces"))
+        df.withColumn("chunk", F.explode(chunks))
+        .groupBy(shard, "cell", "chunk")
+        .agg(F.collect_list(piece).alias("pieces"), F.sum(end - begin).alias("n"))
+        .filter(F.col("n") == seq_length)
         .select(shard, "chunk", F.flatten(F.array_sort("pieces")["ids"]).alias(ids))
-        .filter(F.size(ids) == seq_length)
     )
 
 

@@ -14,8 +14,9 @@ from grainmill.functions import sequences as S
 from grainmill.functions.hashing import shard_of
 from grainmill.operators import packing
 from grainmill.operators.dispatch import accepted, apply_by_source
-from grainmill.operators.order import sanity_limit, with_shuffled_positions
+from grainmill.operators.order import sanity_limit, with_shuffled_spans, with_shuffled_positions
 from grainmill.operators.sharding import assign_batches
+from grainmill.sources.tables import via_table
 from grainmill.operators.templates import preference_pairs, render_instructions
 
 Encode = Callable[[Column], Column]
@@ -41,17 +42,24 @@ def shape_rows(df: DataFrame, cfg: PrepConfig, key: str, ids: str = "input_ids")
 
 
 def pretrain(
-    df: DataFrame, cfg: PrepConfig, encode: Encode, *, key: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    cfg: PrepConfig,
+    encode: Encode,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    n_slices: int | None = None,
 ) -> DataFrame:
     """``input_ids, labels`` rows of a text table, packed if the recipe says so.
 
-    For packing, rows get their place in the shuffled order while they are still text; the
-    ids are made after that exchange, so text is what travels.
+    For packing, rows are put in groups of the shuffled order while they are still text; that
+    is the only exchange of wide rows, and the ids are made after it.
     """
     rows = df.select(key, text)
     if cfg.concat_multiple_sequence:
-        rows = with_shuffled_positions(
-            with_shard(rows, cfg, key), key, cfg.seed, group=[packing.SHARD]
+        rows = with_shuffled_spans(
+            with_shard(rows, cfg, key), key, cfg.seed, cfg.num_sequences,
+            shard=packing.SHARD, num_shards=cfg.num_shards, n_slices=n_slices,
         )
     rows = rows.withColumn("input_ids", encode(F.col(text))).drop(text)
     rows = shape_rows(rows, cfg, key)
@@ -96,24 +104,64 @@ def preference(df: DataFrame, *order: str, sanity_check: bool = False) -> DataFr
     return preference_pairs(sanity_limit(df, *order) if sanity_check else df)
 
 
+def pack_tokens(
+    df: DataFrame,
+    cfg: PrepConfig,
+    encode: Encode,
+    n_tokens: Column,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    n_slices: int | None = None,
+) -> DataFrame:
+    """A text table as one endless token stream per shard, cut every ``seq_length`` tokens.
+
+    ``n_tokens`` is the number of tokens that ``encode`` makes of the text. For a tokeniser
+    whose counts are as costly as its ids, tokenise first, write with ``via_table``, and give
+    the identity as ``encode``.
+    """
+    rows = with_shard(df.select(key, text, n_tokens.alias("n_tokens")), cfg, key)
+    placed = with_shuffled_spans(
+        rows, key, cfg.seed, cfg.seq_length, shard=packing.SHARD, num_shards=cfg.num_shards,
+        weight="n_tokens", n_slices=n_slices,
+    )
+    return packing.pack_stream(
+        placed.withColumn("input_ids", encode(F.col(text))), cfg.seq_length
+    )
+
+
+def emitted_limits(
+    df: DataFrame, cfg: PrepConfig, n_tokens: Column, *, key: str = "doc_id"
+) -> DataFrame:
+    """Per shard, how many of its chunks a reader that emits one per row gets to."""
+    placed = with_shuffled_positions(
+        with_shard(df.select(key, n_tokens.alias("n_tokens")), cfg, key), key, cfg.seed,
+        group=[packing.SHARD], weight="n_tokens", weight_before="tokens_before",
+    )
+    return packing.emitted_chunks(placed, cfg.seq_length)
+
+
 def read_sequences(
     df: DataFrame,
     transforms: Mapping[str, Column],
-    seq_length: int,
     cfg: PrepConfig,
     *,
     key: str = "doc_id",
     source: str = "source",
+    stage: bool = False,
 ) -> DataFrame:
-    """Per-source transforms to lists of token lists, packed end to end within each shard."""
-    rows = df.withColumn(packing.SHARD, shard_of(cfg.seed, F.col(key), cfg.num_shards))
-    done = accepted(apply_by_source(rows, transforms, source=source, out="input_ids"))
-    sized = done.select(packing.SHARD, key, "input_ids", F.size("input_ids").alias("n_tokens"))
-    placed = with_shuffled_positions(
-        sized, key, cfg.seed, group=[packing.SHARD], weight="n_tokens",
-        weight_before="tokens_before",
+    """Per-source transforms to lists of token lists, packed end to end within each shard.
+
+    Packing needs the lengths of the lists before it needs the lists. With ``stage`` they are
+    written once and read twice: for transforms that cost more than the writing does.
+    """
+    done = accepted(
+        apply_by_source(df, transforms, source=source, out="parts", split_rows=False)
     )
-    return packing.pack_stream(placed, seq_length)
+    tokens = done.select(key, F.flatten("parts").alias("input_ids"))
+    if stage:
+        tokens = via_table(tokens, "sequences")
+    return pack_tokens(tokens, cfg, lambda ids: ids, F.size("input_ids"), key=key, text="input_ids")
 
 
 def to_batches(df: DataFrame, cfg: PrepConfig, key: str) -> DataFrame:

@@ -150,7 +150,7 @@ def source_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def packed_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = PrepConfig(mode="pretrain", seq_length=600, num_shards=SHARDS)
-    chunks = prepare.read_sequences(documents(spark, sf_dir), source_transforms(), 600, cfg)
+    chunks = prepare.read_sequences(documents(spark, sf_dir), source_transforms(), cfg)
     return chunk_digests(chunks)
 
 

@@ -9,7 +9,6 @@ from grainmill.constants import IGNORE_INDEX, PAD_ID
 from grainmill.functions import sequences as S
 from grainmill.functions.text import code_points
 from grainmill.operators import packing
-from grainmill.operators.order import with_shuffled_positions
 from grainmill.plans import prepare
 from grainmill.sources.tables import read_table
 from workloads.base import (
@@ -75,18 +74,9 @@ def pack_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def placed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their shard, place in the shard's shuffled order, and tokens before."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", F.length("text").alias("n_tokens"))
-    return with_shuffled_positions(
-        prepare.with_shard(docs, PACKED, "doc_id"), "doc_id", PACKED.seed,
-        group=[packing.SHARD], weight="n_tokens", weight_before="tokens_before",
-    )
-
-
-def streamed_chunks(placed: DataFrame) -> DataFrame:
-    rows = placed.withColumn("input_ids", code_points(F.col("text"))).drop("text")
-    return packing.pack_stream(rows, PACKED.seq_length)
+def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return prepare.pack_tokens(docs, PACKED, code_points, F.length("text"))
 
 
 def chunk_digests(chunks: DataFrame) -> DataFrame:
@@ -108,7 +98,7 @@ SQL_CHUNK_DIGESTS = f"""SELECT shard::BIGINT AS shard, chunk::BIGINT AS chunk,
 
 @query("pack_stream", f"WITH {SQL_PLACED}, {SQL_STREAM} {SQL_CHUNK_DIGESTS} FROM cut")
 def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_digests(streamed_chunks(placed_documents(spark, sf_dir)))
+    return chunk_digests(streamed_chunks(spark, sf_dir))
 
 
 @query(
@@ -122,9 +112,9 @@ def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     {SQL_CHUNK_DIGESTS} FROM cut JOIN emitted USING (shard) WHERE chunk < n""",
 )
 def pack_stream_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = placed_documents(spark, sf_dir)
-    emitted = packing.emitted_chunks(placed, PACKED.seq_length)
-    return chunk_digests(packing.keep_emitted(streamed_chunks(placed), emitted, SHARDS))
+    emitted = prepare.emitted_limits(documents(spark, sf_dir), PACKED, F.length("text"))
+    chunks = streamed_chunks(spark, sf_dir)
+    return chunk_digests(packing.keep_emitted(chunks, emitted, SHARDS))
 
 
 @query(
