@@ -27,7 +27,7 @@ def shuffle_key(seed: int, key: Column) -> Column:
 
 def shuffle_bucket(shuffled: Column, n_buckets: int) -> Column:
     """Slice number 0..n_buckets-1 of a shuffle key: even-sized, and rising with the key."""
-    return F.shiftright(_word(shuffled) * F.lit(n_buckets), 32)
+    return F.coalesce(F.shiftright(_word(shuffled) * F.lit(n_buckets), 32), F.lit(0))
 
 
 def uniform(seed: int, key: Column, draw: int) -> Column:
@@ -37,4 +37,5 @@ def uniform(seed: int, key: Column, draw: int) -> Column:
 
 def shard_of(seed: int, key: Column, num_shards: int) -> Column:
     """Deal rows evenly to readers, whatever their source or size of source."""
-    return (_word(_digest(seed, key, ":shard")) % F.lit(num_shards)).cast("int")
+    dealt = (_word(_digest(seed, key, ":shard")) % F.lit(num_shards)).cast("int")
+    return F.coalesce(dealt, F.lit(0))

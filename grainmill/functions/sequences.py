@@ -42,17 +42,16 @@ def sample_start(
 
 
 def end_with_eos(ids: Column) -> Column:
-    """Overwrite the last token with the end token; null for an empty array."""
-    return F.when(
-        F.size(ids) > 0,
-        F.concat(F.slice(ids, F.lit(1), F.size(ids) - 1), F.array(F.lit(EOS_ID))),
-    )
+    """Overwrite the last token with the end token; an empty array has none and stays empty."""
+    kept = F.slice(ids, F.lit(1), _zero_if_negative(F.size(ids) - 1))
+    return F.concat(kept, F.slice(F.array(F.lit(EOS_ID)), F.lit(1), F.size(ids)))
 
 
 def sample_window(ids: Column, seq_length: int, seed: int, key: Column) -> Column:
     """A window of at most ``seq_length`` tokens that ends in the end token."""
     start = sample_start(F.size(ids), seq_length, seed, key)
-    return end_with_eos(F.slice(ids, start + 1, F.lit(seq_length)))
+    window = F.slice(ids, start + 1, F.lit(seq_length))
+    return F.transform(F.array(window), end_with_eos)[0]
 
 
 def pretrain_labels(ids: Column) -> Column:

@@ -21,55 +21,77 @@ SPECIAL_SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
 # A run of word marks and what follows up to the next mark. No piece crosses these borders.
 WORD = re.compile(f"{META_SPACE}*[^{META_SPACE}]+|{META_SPACE}+")
 CROSSES_WORDS = re.compile(f"[^{META_SPACE}]{META_SPACE}")
+NO_PIECE = float("inf")
+SHORT_WORD = 64
 REMEMBERED_WORDS = 1 << 18
-REMEMBERED_LENGTH = 64
 
 
-def text_pieces(vocab: list[tuple[int, str, float]]) -> dict[str, tuple[float, int]]:
-    """piece -> (merge priority, id) of the pieces that stand for text."""
-    pieces = {p: (-score, i) for i, p, score in vocab if i >= FIRST_PIECE_ID}
-    crossing = [p for p in pieces if CROSSES_WORDS.search(p)]
+def text_pieces(vocab: list[tuple[int, str, float]]) -> tuple[dict[str, float], dict[str, int]]:
+    """Merge priority (low first) and id of each piece that stands for text."""
+    ids = {p: i for i, p, _ in vocab if i >= FIRST_PIECE_ID}
+    crossing = [p for p in ids if CROSSES_WORDS.search(p)]
     if crossing:
         raise ValueError(f"pieces reach over a word border: {crossing[:3]}")
-    return pieces
+    return {p: -score for i, p, score in vocab if i >= FIRST_PIECE_ID}, ids
 
 
-def merge_word(word: str, pieces: dict[str, tuple[float, int]]) -> list[int]:
-    """Merge the best adjacent pair, leftmost on ties, until no pair is a piece.
-
-    Candidate pairs wait in a heap, so a long word costs n log n. A character without a piece
-    becomes the ids of its UTF-8 bytes.
-    """
-    part = list(word)
-    after = list(range(1, len(part))) + [-1]
-    before = list(range(-1, len(part) - 1))
-    heap: list[tuple[float, int, str, str]] = []
+def encode_word(word: str, priority: dict[str, float], piece_ids: dict[str, int]) -> list[int]:
+    """Ids of a word; a character without a piece becomes the ids of its UTF-8 bytes."""
+    merge = merge_short if len(word) <= SHORT_WORD else merge_long
+    out: list[int] = []
+    for part in merge(word, priority):
+        found = piece_ids.get(part)
+        if found is None:
+            out += [FIRST_BYTE_ID + b for b in part.encode("utf-8")]
+        else:
+            out.append(found)
+    return out
 
-    def offer(left: int, right: int) -> None:
-        if left >= 0 and right >= 0:
-            found = pieces.get(part[left] + part[right])
-            if found:
-                heapq.heappush(heap, (found[0], left, part[left], part[right]))
 
-    for i in range(len(part) - 1):
-        offer(i, i + 1)
+def merge_short(word: str, priority: dict[str, float]) -> list[str]:
+    """Merge the best adjacent pair, leftmost on ties, until no pair is a piece."""
+    parts = list(word)
+    pairs = [priority.get(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]
+    while pairs:
+        best = min(pairs)
+        if best == NO_PIECE:
+            break
+        i = pairs.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = priority.get(parts[i - 1] + parts[i], NO_PIECE)
+        if i < len(pairs):
+            pairs[i] = priority.get(parts[i] + parts[i + 1], NO_PIECE)
+    return parts
+
+
+def merge_long(word: str, priority: dict[str, float]) -> list[str]:
+    """The same merges with the pairs in a heap, so that a text without blanks, which is one
+    long word, takes n log n steps."""
+    parts = list(word)
+    after = [*range(1, len(parts)), -1]
+    before = list(range(-1, len(parts) - 1))
+
+    def pair(left: int) -> tuple[float, int, str, str]:
+        a, b = parts[left], parts[after[left]]
+        return priority.get(a + b, NO_PIECE), left, a, b
+
+    heap = [pair(i) for i in range(len(parts) - 1)]
+    heapq.heapify(heap)
     while heap:
-        _, left, a, b = heapq.heappop(heap)
+        best, left, a, b = heapq.heappop(heap)
         right = after[left]
-        if right < 0 or part[left] != a or part[right] != b:
-            continue  # one of the two has been merged meanwhile
-        part[left], part[right] = a + b, ""
+        if best == NO_PIECE or right < 0 or parts[left] != a or parts[right] != b:
+            continue  # not a piece, or one of the two has been merged meanwhile
+        parts[left], parts[right] = a + b, ""
         after[left] = after[right]
         if after[left] >= 0:
             before[after[left]] = left
-        offer(before[left], left)
-        offer(left, after[left])
-    ids: list[int] = []
-    for p in part:
-        if p:
-            found = pieces.get(p)
-            ids += [found[1]] if found else [FIRST_BYTE_ID + b for b in p.encode("utf-8")]
-    return ids
+            heapq.heappush(heap, pair(left))
+        if before[left] >= 0:
+            heapq.heappush(heap, pair(before[left]))
+    return [p for p in parts if p]
 
 
 def encode_text(text: str, word_ids: Callable[[str], list[int]]) -> list[int]:
@@ -104,13 +126,13 @@ def bpe_encoder(spark: SparkSession, vocab: list[tuple]) -> Callable[[Column], C
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces, known = shared.value, {}
+        (priority, piece_ids), known = shared.value, {}
 
         def word_ids(word: str) -> list[int]:
             ids = known.get(word)
             if ids is None:
-                ids = merge_word(word, pieces)
-                if len(word) <= REMEMBERED_LENGTH:
+                ids = encode_word(word, priority, piece_ids)
+                if len(word) <= SHORT_WORD:
                     if len(known) >= REMEMBERED_WORDS:
                         known.clear()
                     known[word] = ids

@@ -26,7 +26,7 @@ def apply_by_source(
     """
     name = F.col(source)
     known = name.isin(list(transforms))
-    chosen: Column | None = None
+    chosen = None
     for key, column in transforms.items():
         chosen = F.when(name == key, column) if chosen is None else chosen.when(name == key, column)
     if chosen is None:
@@ -36,18 +36,25 @@ def apply_by_source(
     nested = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
     if not (nested or isinstance(kind, T.StringType)):
         raise TypeError(f"a transform must give a string or a list of lists, not {kind}")
-    done = done.withColumn(
-        REASON,
-        F.when(~F.coalesce(known, F.lit(False)), "unknown source").when(
-            F.col(out).isNull(), "transform gave nothing"
-        ),
+    problem = F.when(~F.coalesce(known, F.lit(False)), "unknown source").when(
+        F.col(out).isNull(), "transform gave nothing"
     )
-    # explode_outer keeps rejected rows; an empty list of lists gives no sequences.
+    # One entry per row to be. A later filter on the reason then looks at the entry; on a plain
+    # column it would be pushed below the transform and run it a second time.
+    entry_type = kind.elementType if nested and split_rows else kind
+    rejected = F.struct(F.lit(None).cast(entry_type).alias(out), F.col(REASON))
+    none = F.lit(None).cast("string").alias(REASON)
     if nested and split_rows:
-        done = done.filter(F.col(REASON).isNotNull() | (F.size(out) > 0)).withColumn(
-            out, F.explode_outer(out)
-        )
-    return done
+        good = F.transform(out, lambda seq: F.struct(seq.alias(out), none))
+    else:
+        good = F.array(F.struct(F.col(out), none))
+    entries = F.when(F.col(REASON).isNotNull(), F.array(rejected)).otherwise(good)
+    kept = [c for c in df.columns if c != out]
+    return (
+        done.withColumn(REASON, problem)
+        .select(*kept, F.explode(entries).alias("_entry"))
+        .select(*kept, f"_entry.{out}", f"_entry.{REASON}")
+    )
 
 
 def accepted(df: DataFrame) -> DataFrame:

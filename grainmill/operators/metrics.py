@@ -28,13 +28,17 @@ def micros(df: DataFrame, ts: str) -> Column:
 
 
 def number_steps(
-    df: DataFrame, *, run: str, ts: str, tie: str, slice_seconds: int = 3600
+    df: DataFrame, *, run: str, ts: str, tie: str, slice_seconds: int = 86_400
 ) -> DataFrame:
     """``step`` 0, 1, .. per run by time. Time slices keep one long run from one task."""
     slice_no = F.floor(micros(df, ts) / (slice_seconds * 1_000_000))
     return with_positions(df, [ts, tie], slice_no, group=[run], position="step")
 
 
+def _no_time() -> Column:
+    return F.lit(None).cast("bigint")
+
+
 def interval_rows(
     df: DataFrame, every: int, *, step: str = "step", include_zero: bool = False
 ) -> DataFrame:
@@ -48,21 +52,30 @@ def throughput(
 ) -> DataFrame:
     """Tokens per second over each finished interval of ``every`` steps of a run.
 
-    An interval is joined with the one before it on (run, step), so a long run is spread over
-    tasks by step; no window over a run is needed. Needs columns ``run, step, ts``.
+    A mark, at every ``every``-th step, ends one interval and starts the next. It is counted to
+    both, and the two marks of an interval meet by (run, step): a long run is spread over tasks
+    by step, and no window over a run is needed. Needs columns ``run, step, ts``.
     """
     marks = interval_rows(steps, every, step=step, include_zero=True).select(
         run, step, micros(steps, "ts").alias("at")
     )
-    earlier = marks.select(
-        run, (F.col(step) + every).alias(step), F.col("at").alias("started")
+    ends = F.struct(F.col(step).alias(step), F.col("at").alias("ended"), _no_time().alias("started"))
+    starts = F.struct(
+        (F.col(step) + every).alias(step), _no_time().alias("ended"), F.col("at").alias("started")
     )
-    seconds = (F.col("at") - F.col("started")) / F.lit(1e6)
-    return marks.join(earlier, [run, step]).select(
-        run,
-        step,
-        seconds.alias("seconds"),
-        (F.lit(float(every * tokens_per_step)) / F.nullif(seconds, F.lit(0.0))).alias(
-            "tokens_per_second"
-        ),
+    seconds = (F.col("ended") - F.col("started")) / F.lit(1e6)
+    return (
+        marks.select(run, F.explode(F.array(ends, starts)).alias("mark"))
+        .select(run, "mark.*")
+        .groupBy(run, step)
+        .agg(F.max("ended").alias("ended"), F.max("started").alias("started"))
+        .filter(F.col("ended").isNotNull() & F.col("started").isNotNull())
+        .select(
+            run,
+            step,
+            seconds.alias("seconds"),
+            (F.lit(float(every * tokens_per_step)) / F.nullif(seconds, F.lit(0.0))).alias(
+                "tokens_per_second"
+            ),
+        )
     )

@@ -35,7 +35,6 @@ def shape_rows(df: DataFrame, cfg: PrepConfig, key: str, ids: str = "input_ids")
         df = df.withColumn(ids, S.pad_to(F.col(ids), length))
     if mode == "sample":
         df = df.withColumn(ids, S.sample_window(F.col(ids), length, cfg.seed, F.col(key)))
-        df = df.filter(F.col(ids).isNotNull())
     if mode == "split":
         df = packing.split_sequences(df, length, ids)
     return df

@@ -37,8 +37,8 @@ def test_sample_window_short(spark, ids, want):
     assert value(spark, S.sample_window(F.col("x"), 4, 42, F.lit(1)), x=ids) == want
 
 
-def test_sample_window_of_nothing_is_null(spark):
-    assert value(spark, S.sample_window(F.col("x"), 4, 42, F.lit(1)), x=[]) is None
+def test_sample_window_of_nothing_is_nothing(spark):
+    assert value(spark, S.sample_window(F.col("x"), 4, 42, F.lit(1)), x=[]) == []
 
 
 def test_sample_window_long(spark):

@@ -34,14 +34,22 @@ def loop_merge(word, rank):
     return [x for p in parts for x in ([260 + rank[p]] if p in rank else [4 + b for b in p.encode()])]
 
 
-def test_merge_word_equals_a_loop():
+@pytest.mark.parametrize("merge", [bpe.merge_short, bpe.merge_long])
+def test_merging_equals_a_loop(merge, monkeypatch):
+    monkeypatch.setattr(bpe, "merge_short", merge)
     rng = random.Random(5)
     rank = {p: r for r, p in enumerate(PIECES)}
     pieces = bpe.text_pieces(table())
     for _ in range(3000):
         word = "".join(rng.choice("▁thenigrada漢é") for _ in range(rng.randint(1, 14)))
-        assert bpe.merge_word(word, pieces) == loop_merge(word, rank), word
-    assert bpe.merge_word("a" * 9, pieces) == loop_merge("a" * 9, rank)
+        assert bpe.encode_word(word, *pieces) == loop_merge(word, rank), word
+    assert bpe.encode_word("a" * 9, *pieces) == loop_merge("a" * 9, rank)
+
+
+def test_long_words():
+    rank = {p: r for r, p in enumerate(PIECES)}
+    word = "".join(random.Random(8).choices("thenigra", k=900))
+    assert bpe.encode_word(word, *bpe.text_pieces(table())) == loop_merge(word, rank)
 
 
 def test_words_of_a_text_are_encoded_as_the_whole_text():
@@ -52,8 +60,7 @@ def test_words_of_a_text_are_encoded_as_the_whole_text():
     for _ in range(500):
         text = "".join(rng.choice("  theingra\n漢") for _ in range(rng.randint(1, 40)))
         whole = (META_SPACE + text).replace(" ", META_SPACE)
-        got = bpe.encode_text(text, lambda w: bpe.merge_word(w, pieces))
-        assert got == loop_merge(whole, rank), text
+        assert bpe.encode_text(text, lambda w: bpe.encode_word(w, *pieces)) == loop_merge(whole, rank), text
 
 
 def test_pieces_over_word_borders_are_refused():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.config import PrepConfig
@@ -15,7 +17,6 @@ from grainmill.streaming import packing, run
 from workloads.base import big, digest, query, sql_digest, sql_points, sql_shard
 from workloads.shaping import (
     PACKED,
-    SHARDS,
     SQL_CHUNK_DIGESTS,
     SQL_GROUPS,
     SQL_LABELS,
@@ -24,15 +25,18 @@ from workloads.shaping import (
     chunk_digests,
 )
 
+# A stream's state is kept per shard, so the shards are the parallelism of the stateful step.
+STREAMED = replace(PACKED, num_shards=32)
+
 # A stream takes rows as they come, in key order within a micro-batch.
 SQL_ARRIVED = f"""placed AS (
   SELECT doc_id, text, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS pos
-  FROM (SELECT doc_id, text, {sql_shard(SHARDS)} AS shard FROM documents))"""
+  FROM (SELECT doc_id, text, {sql_shard(STREAMED.num_shards)} AS shard FROM documents))"""
 
 
 def streamed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = stream_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return prepare.with_shard(docs, PACKED, "doc_id").withColumn(
+    return prepare.with_shard(docs, STREAMED, "doc_id").withColumn(
         "input_ids", code_points(F.col("text"))
     )
 
@@ -59,7 +63,7 @@ def stream_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_pack", f"WITH {SQL_ARRIVED}, {SQL_STREAM} {SQL_CHUNK_DIGESTS} FROM cut")
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = packing.pack_stream_stateful(streamed_ids(spark, sf_dir), PACKED.seq_length)
+    chunks = packing.pack_stream_stateful(streamed_ids(spark, sf_dir), STREAMED.seq_length)
     return chunk_digests(finished(chunks, "stream_pack"))
 
 
@@ -72,7 +76,7 @@ def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = packing.pack_groups_stateful(
-        streamed_ids(spark, sf_dir), PACKED.seq_length, PACKED.num_sequences
+        streamed_ids(spark, sf_dir), STREAMED.seq_length, STREAMED.num_sequences
     )
     rows = finished(chunks, "stream_groups")
     return rows.select(
