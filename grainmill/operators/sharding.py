@@ -21,16 +21,19 @@ def number_paths(
         numbered = with_shuffled_positions(paths, path, seed, position="_idx")
     if repeat == 1:
         return numbered.withColumnRenamed("_idx", "shard_idx")
-    total = paths.agg(F.count(F.lit(1)).alias("_n"))
     rounds = F.explode(F.sequence(F.lit(0), F.lit(repeat - 1)))
     return (
-        numbered.crossJoin(F.broadcast(total))  # one row
-        .withColumn("_round", rounds)
-        .withColumn("shard_idx", F.col("_round") * F.col("_n") + F.col("_idx"))
-        .drop("_round", "_n", "_idx")
+        numbered.withColumn("_round", rounds)
+        .withColumn("shard_idx", F.col("_round") * n_rows(paths) + F.col("_idx"))
+        .drop("_round", "_idx")
     )
 
 
+def n_rows(df: DataFrame) -> Column:
+    """The number of rows, as a scalar subquery."""
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
 def repeat_rows(df: DataFrame, times: int) -> DataFrame:
     """Over-sample: every row ``times`` times, numbered from 1 in ``copy``."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
@@ -43,9 +46,7 @@ def assign_rank(df: DataFrame, num_ranks: int, index: str = "shard_idx") -> Data
 
 def trim_shards(df: DataFrame, num_ranks: int, index: str = "shard_idx") -> DataFrame:
     """Drop the last few shards so that every rank gets the same number."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    even = F.floor(F.col("_n") / num_ranks) * num_ranks
-    return df.crossJoin(F.broadcast(total)).filter(F.col(index) < even).drop("_n")
+    return df.filter(F.col(index) < F.floor(n_rows(df) / num_ranks) * num_ranks)
 
 
 def rank_of_row(shard: Column, position: Column, num_shards: int, num_ranks: int) -> Column:

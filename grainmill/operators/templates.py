@@ -56,9 +56,9 @@ def unify_text(df: DataFrame) -> DataFrame:
         return cond
 
     rules = [
-        ("wudao", has("uniqueKey"), _titled("content")),
-        ("pajama", has("text", "meta"), F.col("text")),
-        ("baike", has("basic_info", "main_content"),
+        ("titled", has("uniqueKey"), _titled("content")),
+        ("plain", has("text", "meta"), F.col("text")),
+        ("encyclopedia", has("basic_info", "main_content"),
          _titled_or("main_content", BLANK_ENCYCLOPEDIA_TEXT)),
         ("news", has("channel", "type"), _titled_or("text", BLANK_NEWS_TEXT)),
         ("lyrics", has("singer"), _titled("text")),

@@ -137,17 +137,17 @@ def test_unify_text(spark):
     data = [(i, *[r[c] for c in T.SOURCE_COLUMNS]) for i, r in enumerate(rows)]
     got = T.unify_text(spark.createDataFrame(data, schema)).orderBy("id").collect()
     assert [(r.rule, r.text, r.reject_reason) for r in got] == [
-        ("wudao", "t\nc", None),
-        ("pajama", "x", None),
-        ("baike", "t\n", None),
-        ("baike", "百度百科", None),
+        ("titled", "t\nc", None),
+        ("plain", "x", None),
+        ("encyclopedia", "t\n", None),
+        ("encyclopedia", "百度百科", None),
         ("news", "\nx", None),
         ("news", "新闻", None),
         ("lyrics", "t\nx", None),
         ("poem", "t\nx", None),
         ("couplet", "x", None),
         (None, None, "unrecognised format"),
-        ("wudao", None, "missing part"),
+        ("titled", None, "missing part"),
     ]
 
 

@@ -242,3 +242,43 @@ def chat_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "text",
     )
     return dispatch.rejects(chat.render_conversations(faulty)).drop("chat")
+
+
+# Documents read as message lists: one message per line, users first. In every fifth document
+# the first line is the system message, and in every seventh the third line is the user's too.
+SQL_MESSAGES = """lines AS (
+  SELECT doc_id AS conv_id, i, line, doc_id % 5 = 0 AS has_system, doc_id % 7 = 0 AS faulty
+  FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i,
+               unnest(string_split(text, chr(10))) AS line FROM documents)),
+messages AS (
+  SELECT conv_id, i AS turn, line AS text,
+         CASE WHEN has_system AND i = 0 THEN 'system'
+              WHEN (i - has_system::INT) % 2 = 0 OR (faulty AND i = 3) THEN 'user'
+              ELSE 'assistant' END AS role FROM lines)"""
+
+
+@query(
+    "chat_messages",
+    f"""WITH {SQL_MESSAGES}, {SQL_CHAT}
+    SELECT conv_id AS doc_id, CASE WHEN reject_reason IS NULL THEN md5(chat) END AS chat_md5,
+           reject_reason FROM chats
+    UNION ALL  -- a system message alone: nothing is left to loop over
+    SELECT conv_id, md5(''), NULL FROM messages GROUP BY conv_id
+    HAVING count(*) = 1 AND any_value(role) = 'system'""",
+)
+def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    has_system = (F.col("doc_id") % 5 == 0).cast("int")
+    faulty = F.col("doc_id") % 7 == 0
+
+    def message(line, i):
+        user = ((i - has_system) % 2 == 0) | (faulty & (i == 3))
+        role = F.when((has_system == 1) & (i == 0), "system").when(user, "user")
+        return F.struct(
+            F.coalesce(role, F.lit("assistant")).alias("role"), line.alias("content")
+        )
+
+    rows = documents(spark, sf_dir).select(
+        "doc_id", F.transform(F.split("text", "\n"), message).alias("messages")
+    )
+    text, reason = chat.render_messages(F.col("messages"))
+    return rows.select("doc_id", F.md5(text).alias("chat_md5"), reason.alias("reject_reason"))

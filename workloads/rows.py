@@ -23,7 +23,7 @@ SQL_UNIFY = """parts AS (
          substr(text, length(string_split(text, chr(10))[1]) + 2) AS rest FROM documents),
 unified AS (
   SELECT doc_id,
-    CASE k WHEN 0 THEN 'wudao' WHEN 1 THEN 'pajama' WHEN 2 THEN 'baike' WHEN 3 THEN 'news'
+    CASE k WHEN 0 THEN 'titled' WHEN 1 THEN 'plain' WHEN 2 THEN 'encyclopedia' WHEN 3 THEN 'news'
            WHEN 4 THEN 'lyrics' WHEN 5 THEN 'poem' WHEN 6 THEN 'couplet' END AS rule,
     CASE WHEN k IN (1, 6) THEN text
          WHEN k IN (0, 4, 5) THEN title || chr(10) || rest

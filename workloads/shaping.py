@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.config import PrepConfig
@@ -74,6 +76,23 @@ def pack_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "pretrain_batches",
+    f"""WITH {SQL_PLACED}, {SQL_GROUPS}, shuffled AS (
+      SELECT shard, grp, chunk, row_number() OVER (ORDER BY {sql_order('key')}, key) - 1 AS pos
+      FROM (SELECT shard, grp, chunk, concat(shard, '-', grp, '-', chunk) AS key FROM chunks))
+    SELECT shard::BIGINT AS shard, grp, chunk, (pos % 4)::BIGINT AS rank,
+           (pos // 4) // 24 AS batch_id FROM shuffled""",
+)
+def pretrain_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = replace(PACKED, world_size=4, train_batch_size=24)
+    rows = prepare.pretrain(documents(spark, sf_dir), cfg, code_points)
+    keyed = rows.withColumn("key", F.concat_ws("-", "shard", "grp", "chunk"))
+    return prepare.to_batches(keyed, cfg, "key").select(
+        big("shard").alias("shard"), "grp", "chunk", big("rank").alias("rank"), "batch_id"
+    )
+
+
 def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return prepare.pack_tokens(docs, PACKED, code_points, F.length("text"))
