@@ -98,10 +98,13 @@ def pack_stream(
         (before + begin).alias("at"),
         F.slice(F.col(ids), (begin + 1).cast("int"), (end - begin).cast("int")).alias("ids"),
     )
+    # Pieces are cut before they are grouped: the grouping then never holds whole rows.
+    pieces = df.withColumn("chunk", F.explode(chunks)).select(
+        shard, "cell", "chunk", piece.alias("piece"), (end - begin).alias("n")
+    )
     return (
-        df.withColumn("chunk", F.explode(chunks))
-        .groupBy(shard, "cell", "chunk")
-        .agg(F.collect_list(piece).alias("pieces"), F.sum(end - begin).alias("n"))
+        pieces.groupBy(shard, "cell", "chunk")
+        .agg(F.collect_list("piece").alias("pieces"), F.sum("n").alias("n"))
         .filter(F.col("n") == seq_length)
         .select(shard, "chunk", F.flatten(F.array_sort("pieces")["ids"]).alias(ids))
     )

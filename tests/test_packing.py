@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill import PrepConfig
 from grainmill.functions.hashing import shard_of, shuffle_key
+from grainmill.functions.text import code_points
 from grainmill.operators import order, packing
 from grainmill.plans import prepare
 
@@ -127,8 +128,6 @@ def test_pretrain_packing_equals_a_loop(spark, num_shards, num_sequences, n_slic
         concat_multiple_sequence=True, num_sequences=num_sequences, num_shards=num_shards,
     )
     df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    from grainmill.functions.text import code_points
-
     rows = prepare.pretrain(df, cfg, code_points, n_slices=n_slices)
     got = sorted((r.shard, r.grp, r.chunk, r.input_ids, r.labels) for r in rows.collect())
     want = sorted(
@@ -139,6 +138,20 @@ def test_pretrain_packing_equals_a_loop(spark, num_shards, num_sequences, n_slic
     assert got == want
 
 
+def test_sampled_rows_are_packed(spark):
+    """Each row is cut to a window that ends in the end token, then groups are packed."""
+    texts = {k: "x" * k for k in range(1, 41)}
+    cfg = PrepConfig(
+        mode="pretrain", seq_length=8, pad_to_max=False, sequence_sample_mode="sample",
+        concat_multiple_sequence=True, num_sequences=5,
+    )
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    rows = prepare.pretrain(df, cfg, code_points).collect()
+    ids = [t for r in rows for t in r.input_ids if t != 3]
+    assert len(ids) == sum(min(k, 8) for k in texts) and ids.count(2) == len(texts)
+    assert {r.grp for r in rows} == set(range(8))
+
+
 def test_positions_with_one_hot_group(spark):
     """A third of all rows in one group: every row is numbered, for any number of slices."""
     df = spark.range(3000).withColumn(

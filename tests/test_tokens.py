@@ -1,8 +1,12 @@
 """Vocabularies and subwords, against a plain merge loop."""
 
+import pickle
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from grainmill.constants import META_SPACE
@@ -135,3 +139,13 @@ def test_word_vocab(spark):
     df = spark.createDataFrame([("b a b c",), ("c b d",)], "text string")
     got = vocab.collect_vocab(vocab.word_vocab(df, 7))
     assert [(i, p) for i, p, _ in got[4:]] == [(4, "b"), (5, "c"), (6, "a")]
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    work = cloudpickle.dumps((bpe.encode_word, ("the", *bpe.text_pieces(table()))))
+    code = "import pickle, sys; f, a = pickle.load(sys.stdin.buffer); print(f(*a))"
+    done = subprocess.run(
+        [sys.executable, "-I", "-c", code], input=work, capture_output=True, cwd=tmp_path
+    )
+    fn, args = pickle.loads(work)
+    assert done.stdout.decode().strip() == str(fn(*args))
