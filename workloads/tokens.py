@@ -178,19 +178,20 @@ def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Two sequences per document: its first line, and the rest.
-SQL_PAIRS = """pairs AS (
-  SELECT doc_id, list_transform(string_split(a, ''), lambda c: unicode(c) + 4) AS a,
-         CASE WHEN b = '' THEN [] ELSE
-           list_transform(string_split(b, ''), lambda c: unicode(c) + 4) END AS b
+def _sql_ids(text: str) -> str:
+    return f"CASE WHEN {text} = '' THEN [] ELSE {sql_points(text)} END"
+
+
+SQL_PAIRS = f"""pairs AS (
+  SELECT doc_id, {_sql_ids('a')} AS a, {_sql_ids('b')} AS b
   FROM (SELECT doc_id, string_split(text, chr(10))[1] AS a,
-               substr(text, length(string_split(text, chr(10))[1]) + 2) AS b FROM documents)
-  WHERE a <> '')"""
+               substr(text, length(string_split(text, chr(10))[1]) + 2) AS b FROM documents))"""
 
 
 def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring_index("text", "\n", 1)
     rest = F.substr(F.col("text"), F.length(first) + 2)
-    return documents(spark, sf_dir).filter(first != "").select(
+    return documents(spark, sf_dir).select(
         "doc_id", code_points(first).alias("a"), code_points(rest).alias("b")
     )
 
