@@ -25,7 +25,7 @@ from grainmill.llm import words as W
 
 WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
-BLOCK_UNITS = 8192
+BLOCK_UNITS = 4096
 SEED = 7
 
 UNIT = "doc_id long, text_key long, size long, source_no long, copies long, chance double"
@@ -83,48 +83,54 @@ def source_targets(
     )
 
 
-def _move(units: list[list], random: float) -> None:
-    """Move three chances along the null space of (1, size) until one of them is 0 or 1."""
-    a, b, c = (u[1] for u in units)
-    way = (float(c - b), float(a - c), float(b - a))
-    if way == (0.0, 0.0, 0.0):
-        way = (1.0, -1.0, 0.0)
-    up = min((1 - u[2]) / w if w > 0 else u[2] / -w for u, w in zip(units, way) if w)
-    down = min(u[2] / w if w > 0 else (1 - u[2]) / -w for u, w in zip(units, way) if w)
-    step = up if random * (up + down) < down else -down
-    for u, w in zip(units, way):
-        u[2] += step * w
-        if u[2] < 1e-9:
-            u[2] = 0.0
-        elif u[2] > 1 - 1e-9:
-            u[2] = 1.0
-
-
-def fly(sizes: Sequence[int], chances: Sequence[float], random: np.random.Generator) -> np.ndarray:
-    """Chances after the flight: at most two are left between 0 and 1."""
+def _way(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
+    """A direction that raises the first chance and keeps the totals of documents and words.
+
+    The others give way in proportion to the room they have. If their sizes are all alike, one
+    constraint follows from the other or cannot be met, and words alone are kept.
+    """
+    room, rest = (chances * (1 - chances))[1:], sizes[1:]
+    n, z, zz = room.sum(), (room * rest).sum(), (room * rest * rest).sum()
+    det = n * zz - z * z
+    if det > 1e-9 * n * zz:
+        give = ((zz - z * sizes[0]) + (n * sizes[0] - z) * rest) / det
+    elif zz > 0:
+        give = rest * (sizes[0] / zz)
+    else:
+        give = np.full(len(rest), 1 / n)
+    return np.concatenate(([1.0], -room * give))
+
+
+def fly(sizes: np.ndarray, chances: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """Chances after the flight: at most two are left between 0 and 1.
+
+    The longest open document moves first, the shorter ones make up for it; each step settles
+    one or more. As ``up`` and ``down`` are drawn against their lengths, no chance drifts.
+    """
     out = np.array(chances, dtype=np.float64)
-    draws, at, open_units = random.random(2 * len(out) + 3), 0, []
-    for i, (size, chance) in enumerate(zip(sizes, chances)):
-        if not 0 < chance < 1:
-            continue
-        open_units.append([i, size, chance])
-        while len(open_units) == 3:
-            _move(open_units, draws[at])
-            at += 1
-            for u in open_units:
-                out[u[0]] = u[2]
-            open_units = [u for u in open_units if 0 < u[2] < 1]
+    scaled = np.asarray(sizes, dtype=np.float64) / max(1, max(sizes, default=1))
+    left = np.flatnonzero((out > 0) & (out < 1))
+    while len(left) > 2:
+        now = out[left]
+        way = _way(scaled[left], now)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            up = np.where(way > 0, (1 - now) / way, np.where(way < 0, now / -way, np.inf)).min()
+            down = np.where(way > 0, now / way, np.where(way < 0, (1 - now) / -way, np.inf)).min()
+        now = now + way * (up if random.random() * (up + down) < down else -down)
+        now = np.where(now < 1e-9, 0.0, np.where(now > 1 - 1e-9, 1.0, now))
+        out[left] = now
+        left = left[(now > 0) & (now < 1)]
     return out
 
 
-def land(sizes: Sequence[int], chances: np.ndarray) -> np.ndarray:
+def land(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """Round the open chances (two at most) so that the words, then the documents, come nearest."""
     open_at = np.flatnonzero((chances > 0) & (chances < 1))
     best = None
     for code in range(1 << len(open_at)):
         bits = np.array([(code >> k) & 1 for k in range(len(open_at))], dtype=np.float64)
         off = bits - chances[open_at]
-        miss = (abs(float(np.dot(off, np.asarray(sizes)[open_at]))), abs(float(off.sum())), code)
+        miss = (abs(float(np.dot(off, sizes[open_at]))), abs(float(off.sum())), code)
         if best is None or miss < best[0]:
             best = (miss, bits)
     out = chances.copy()
@@ -139,8 +145,8 @@ def _round(number: int, last: bool, seed: int):
             [("size", "descending")] + [(c, "ascending") for c in ("_order", "doc_id", "text_key")]
         )
         random = np.random.default_rng([seed, number, key[0].as_py(), key[1].as_py()])
-        sizes = table.column("size").to_pylist()
-        chances = fly(sizes, table.column("chance").to_pylist(), random)
+        sizes = table.column("size").to_numpy()
+        chances = fly(sizes, table.column("chance").to_numpy(), random)
         if last:
             chances = land(sizes, chances)
         copies = table.column("copies").to_numpy() + (chances == 1)
