@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing
+from grainmill.llm import mixing, packing, quality_model, quality_rules
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,24 @@ def op6_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge_documents(documents(spark, folder))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "broken",
+    )
+
+
+def op8_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality_model.score_documents(documents(spark, folder), labels)
+
+
 QUERIES: dict[str, Query] = {
     "op3_mix_sources": op3_mix_sources,
     "op6_best_two_fit": op6_best_two_fit,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_trees": op8_quality_trees,
 }
 
 SQL: dict[str, str] = {}
