@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing, quality_model, quality_rules
+from grainmill.llm import mixing, packing, quality_model, quality_rules, warc
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,11 +34,30 @@ def op8_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score_documents(documents(spark, folder), labels)
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(spark, spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_mix_sources": op3_mix_sources,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_trees": op8_quality_trees,
+    "op10_warc": op10_warc,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+           sha1(coalesce(html, '')) AS payload_digest FROM pages
+), w AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS winner FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END
+           AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
+FROM w
+""",
+}
