@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing, quality_model, quality_rules, warc
+from grainmill.llm import mixing, packing, quality_model, quality_rules, topk, warc
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix_sources(documents(spark, folder))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +44,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_top_k": op2_top_k,
     "op3_mix_sources": op3_mix_sources,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_quality_rules": op7_quality_rules,
@@ -47,6 +53,21 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op10_warc": """
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
