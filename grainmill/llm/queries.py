@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing, quality_model, quality_rules, topk, warc
+from grainmill.llm import mixing, packing, quality_model, quality_rules, substrings, topk, warc
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeat_report(documents(spark, folder))
+
+
 def op6_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
@@ -46,6 +50,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_top_k": op2_top_k,
     "op3_mix_sources": op3_mix_sources,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_trees": op8_quality_trees,
