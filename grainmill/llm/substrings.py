@@ -5,7 +5,7 @@
    equal places, so a window that occurs twice has a part that is counted twice; the estimate is
    never below the number of windows. Each task makes a sketch of its own texts with counters
    that stop at 2; the sketches of all tasks are merged by parts of the counter range. Its size
-   is fixed (``rows * 2 ** bits`` counters), so what is broadcast does not grow with the data:
+   is fixed, so what is broadcast does not grow with the data:
    a fuller sketch lets more windows through, but never loses one.
 2. The texts are read again. Windows that the sketch estimates at 2 or more are grouped exactly,
    by two 64-bit hashes. Inside one step of a task, all but the first occurrence are settled at
@@ -23,23 +23,15 @@ rows. Further columns are kept by ``without_repeats`` and not read by ``repeat_r
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from grainmill.llm import words as W
+from grainmill.llm import sketch, words as W
 
 WINDOW = 20
-# Two rows of 2 ** 26 counters; only the bit "2 or more" of each is broadcast: 16 MB.
-SKETCH_ROWS = 2
-SKETCH_BITS = 26
-# The counter range is cut into this many parts for merging.
-SKETCH_PARTS = 64
-
-SKETCH = "part int, once binary, twice binary"
 FIRSTS = "h1 long, h2 long, doc_id long, text_key long, start int, n int"
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -81,87 +73,24 @@ class Shingled:
             self.h2 = W.ngram_hashes(second[codes], window)
 
 
-def _slots(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The counter of each hash in one row of the sketch."""
-    with np.errstate(over="ignore"):
-        return (W.mixed(hashes + np.uint64(row + 1)) >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _sketch(window: int, bits: int, parts: int):
-    """Counters of a whole task that stop at 2, sent as two bit planes a part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros((SKETCH_ROWS, 1 << bits), dtype=np.uint8)
-        for whole in batches:
-            for batch in W.steps(whole):
-                hashes = Shingled(batch.column("text"), window, exact=False).counted
-                for r in range(SKETCH_ROWS):
-                    slots = np.sort(_slots(hashes, r, bits))
-                    new, counts = np.unique(slots, return_counts=True)
-                    counters[r, new] = np.minimum(2, counters[r, new] + np.minimum(counts, 2))
-        size = (1 << bits) // parts
-        for r in range(SKETCH_ROWS):
-            for p in range(parts):
-                own = counters[r, p * size : (p + 1) * size]
-                if own.any():
-                    planes = [zlib.compress(np.packbits(own >= k).tobytes(), 1) for k in (1, 2)]
-                    yield pa.record_batch(
-                        [pa.array([r * parts + p], pa.int32()), *[pa.array([x], pa.binary()) for x in planes]],
-                        names=["part", "once", "twice"],
-                    )
+def _parts(window: int):
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for step in W.steps(batch):
+            yield Shingled(step.column("text"), window, exact=False).counted
 
     return run
 
 
-def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the sketches of all tasks for one part of the counters; one is held at a time."""
-    once = twice = None
-    for batch in batches:
-        for a, b in zip(batch.column("once"), batch.column("twice")):
-            one = np.frombuffer(zlib.decompress(a.as_py()), np.uint8)
-            two = np.frombuffer(zlib.decompress(b.as_py()), np.uint8)
-            if once is None:
-                once, twice = one.copy(), two.copy()
-            else:
-                twice |= two | (once & one)
-                once |= one
-    packed = zlib.compress(twice.tobytes(), 1)
-    yield pa.record_batch(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([packed], pa.binary())], names=["part", "twice"]
-    )
-
-
-def repeated_counters(docs: DataFrame, *, window: int = WINDOW, bits: int = SKETCH_BITS) -> list[np.ndarray]:
-    """For each row of the sketch, one bit a counter: 2 or more."""
-    size = (1 << bits) // SKETCH_PARTS // 8
-    planes = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(SKETCH_ROWS)]
-    partial = docs.select("text").mapInArrow(_sketch(window, bits, SKETCH_PARTS), SKETCH)
-    merged = partial.groupBy("part").applyInArrow(_merge, "part int, twice binary")
-    for row in merged.collect():  # SKETCH_ROWS * SKETCH_PARTS rows, whatever the data is
-        r, p = divmod(row["part"], SKETCH_PARTS)
-        planes[r][p * size : (p + 1) * size] = np.frombuffer(zlib.decompress(row["twice"]), np.uint8)
-    return planes
-
-
-def _estimated(shingled: Shingled, planes: list[np.ndarray], bits: int) -> np.ndarray:
-    """Which windows the sketch takes for repeated."""
-    out = shingled.inside.copy()
-    for r, plane in enumerate(planes):
-        at = np.flatnonzero(out)
-        slots = _slots(shingled.least[at], r, bits)
-        out[at] = (plane[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1
-    return out
-
-
 def _candidates(window: int, bits: int, shared):
     """Windows estimated repeated. ``n`` 0: the first of its step; else a run of n later starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = [np.frombuffer(x, np.uint8) for x in shared.value]
+        repeated = sketch.Repeated(shared.value, bits)
         for whole in batches:
             for batch in W.steps(whole):
                 shingled = Shingled(batch.column("text"), window, exact=True)
-                at = np.flatnonzero(_estimated(shingled, planes, bits))
+                at = np.flatnonzero(shingled.inside)
+                at = at[repeated(shingled.least[at])]
                 doc_ids = batch.column("doc_id")
                 null = np.array(doc_ids.is_null())
                 ids = np.where(null, np.iinfo(np.int64).min, doc_ids.fill_null(0).to_numpy())
@@ -199,14 +128,12 @@ def _rows(h1, h2, doc, text, start, n) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c) for c in columns], names=[x.split()[0] for x in FIRSTS.split(", ")])
 
 
-def repeat_runs(docs: DataFrame, *, window: int = WINDOW, bits: int = SKETCH_BITS) -> DataFrame:
+def repeat_runs(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BITS) -> DataFrame:
     """``doc_id, text_key, start, n``: runs of n starts whose windows occur earlier.
 
     A null doc_id is shown as the smallest number.
     """
-    spark = docs.sparkSession
-    planes = repeated_counters(docs, window=window, bits=bits)
-    shared = spark.sparkContext.broadcast([p.tobytes() for p in planes])
+    shared = sketch.repeated(docs.select("text"), _parts(window), bits)
     found = W.bounded_rows(
         docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(
             _candidates(window, bits, shared), FIRSTS
@@ -284,13 +211,13 @@ def _with_runs(docs: DataFrame, window: int, bits: int) -> DataFrame:
     )
 
 
-def repeat_report(docs: DataFrame, *, window: int = WINDOW, bits: int = SKETCH_BITS) -> DataFrame:
+def repeat_report(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BITS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row."""
     rows = _with_runs(docs.select("doc_id", "text"), window, bits)
     return rows.mapInArrow(_cut(window, False), REPORT)
 
 
-def without_repeats(docs: DataFrame, *, window: int = WINDOW, bits: int = SKETCH_BITS) -> DataFrame:
+def without_repeats(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BITS) -> DataFrame:
     """The rows with repeated passages taken out of their texts.
 
     A text that loses words becomes its kept words, joined by one space; others stay as they are.
