@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import mixing, packing, quality_model, quality_rules, substrings, topk, warc
+from grainmill.llm import jaccard, mixing, packing, quality_model, quality_rules, substrings, topk, warc
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeat_report(documents(spark, folder))
 
 
+def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    rows = jaccard.near_copies(documents(spark, folder))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_best_two_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(documents(spark, folder))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op2_top_k": op2_top_k,
     "op3_mix_sources": op3_mix_sources,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_best_two_fit": op6_best_two_fit,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_trees": op8_quality_trees,
