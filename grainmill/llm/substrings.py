@@ -8,7 +8,7 @@
    is fixed, so what is broadcast does not grow with the data:
    a fuller sketch lets more windows through, but never loses one.
 2. The texts are read again. Windows that the sketch estimates at 2 or more are grouped exactly,
-   by two 64-bit hashes. Inside one step of a task, all but the first occurrence are settled at
+   by a hash of 96 bits. Inside one step of a task, all but the first occurrence are settled at
    once, so however often a passage occurs, a step sends it once.
 3. Of each group, the smallest (doc_id, text key, start) stays. All other starts go back to
    their documents, where the covered words are removed.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from grainmill.llm import sketch, words as W
 
 WINDOW = 20
-FIRSTS = "h1 long, h2 long, doc_id long, text_key long, start int, n int"
+FIRSTS = "h1 long, h2 int, doc_id long, text_key long, start int, n int"
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -97,7 +97,7 @@ def _candidates(window: int, bits: int, shared):
                 keys = batch.column("text_key").to_numpy()
                 row = shingled.row[at]
                 start = at - shingled.offsets[row]
-                h1, h2 = shingled.h1[at], shingled.h2[at]
+                h1, h2 = shingled.h1[at], (shingled.h2[at] >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((start, keys[row], ids[row], h2, h1))
                 row, start, h1, h2 = row[order], start[order], h1[order], h2[order]
                 doc, text = ids[row], keys[row]
@@ -106,7 +106,11 @@ def _candidates(window: int, bits: int, shared):
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
                 # The same place read twice, in a repeated row, is not a later occurrence.
                 same = (doc == doc[lead]) & (text == text[lead]) & (start == start[lead])
-                yield _rows(h1[new], h2[new], doc[new], text[new], start[new], np.zeros(new.sum(), np.int32))
+                # In the order of the texts, so that ids repeat from row to row and compress well.
+                heads = np.flatnonzero(new)
+                heads = heads[np.lexsort((start[heads], row[heads]))]
+                none = np.zeros(len(heads), np.int32)
+                yield _rows(h1[heads], h2[heads], doc[heads], text[heads], start[heads], none)
                 later = np.flatnonzero(~same)
                 later = later[np.lexsort((start[later], row[later]))]
                 row, start = row[later], start[later]
@@ -117,14 +121,15 @@ def _candidates(window: int, bits: int, shared):
                 heads = np.flatnonzero(head)
                 last = np.concatenate((heads[1:], [len(row)])) - 1
                 count = (start[last] - start[heads] + 1).astype(np.int32)
-                zero = np.zeros(len(heads), np.uint64)
-                yield _rows(zero, zero, ids[row[heads]], keys[row[heads]], start[heads], count)
+                zero = np.zeros(len(heads), np.uint32)
+                own = W.mixed(ids[row[heads]].astype(np.uint64) ^ start[heads].astype(np.uint64))
+                yield _rows(own, zero, ids[row[heads]], keys[row[heads]], start[heads], count)
 
     return run
 
 
 def _rows(h1, h2, doc, text, start, n) -> pa.RecordBatch:
-    columns = [h1.view(np.int64), h2.view(np.int64), doc, text, start.astype(np.int32), n]
+    columns = [h1.view(np.int64), h2.view(np.int32), doc, text, start.astype(np.int32), n]
     return pa.record_batch([pa.array(c) for c in columns], names=[x.split()[0] for x in FIRSTS.split(", ")])
 
 
@@ -134,22 +139,17 @@ def repeat_runs(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BIT
     A null doc_id is shown as the smallest number.
     """
     shared = sketch.repeated(docs.select("text"), _parts(window), bits)
-    found = W.bounded_rows(
-        docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(
-            _candidates(window, bits, shared), FIRSTS
-        ),
-        "windows",
+    found = docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(
+        _candidates(window, bits, shared), FIRSTS
     )
+    # Settled runs have hashes of their own and pass through with the windows.
     place = F.struct("doc_id", "text_key", "start")
     first = F.min(place).over(Window.partitionBy("h1", "h2"))
-    later = (
-        found.where("n = 0")
-        .withColumn("_first", first)
-        .where(place != F.col("_first"))
-        .select("doc_id", "text_key", "start", F.lit(1).alias("n"))
+    return (
+        found.withColumn("_first", F.when(F.col("n") == 0, first))
+        .where((F.col("n") > 0) | (place != F.col("_first")))
+        .select("doc_id", "text_key", "start", F.greatest("n", F.lit(1)).alias("n"))
     )
-    settled = found.where("n > 0").select("doc_id", "text_key", "start", "n")
-    return later.unionByName(settled)
 
 
 def _covered(n_words: int, starts, counts, window: int) -> np.ndarray:
