@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import jaccard, mixing, packing, quality_model, quality_rules, substrings, topk, warc
+from grainmill.llm import html_text, jaccard, mixing, packing, quality_model, quality_rules, substrings, topk, warc
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_quality_trees(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.score_documents(documents(spark, folder), labels)
 
 
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(spark, spark.read.parquet(f"{folder}/pages.parquet"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op6_best_two_fit": op6_best_two_fit,
     "op7_quality_rules": op7_quality_rules,
     "op8_quality_trees": op8_quality_trees,
+    "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
 }
 

@@ -144,7 +144,7 @@ def repeat_runs(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BIT
     )
     # Settled runs have hashes of their own and pass through with the windows.
     place = F.struct("doc_id", "text_key", "start")
-    first = F.min(place).over(Window.partitionBy("h1", "h2"))
+    first = F.min(F.when(F.col("n") == 0, place)).over(Window.partitionBy("h1", "h2"))
     return (
         found.withColumn("_first", F.when(F.col("n") == 0, first))
         .where((F.col("n") > 0) | (place != F.col("_first")))
