@@ -8,7 +8,7 @@
    is fixed, so what is broadcast does not grow with the data:
    a fuller sketch lets more windows through, but never loses one.
 2. The texts are read again. Windows that the sketch estimates at 2 or more are grouped exactly,
-   by a hash of 96 bits. Inside one step of a task, all but the first occurrence are settled at
+   by a hash of 95 bits. Inside one step of a task, all but the first occurrence are settled at
    once, so however often a passage occurs, a step sends it once.
 3. Of each group, the smallest (doc_id, text key, start) stays. All other starts go back to
    their documents, where the covered words are removed.
@@ -32,7 +32,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from grainmill.llm import sketch, words as W
 
 WINDOW = 20
-FIRSTS = "h1 long, h2 int, doc_id long, text_key long, start int, n int"
+# ``packed``: 31 more bits of the hash and the start; or, negative, a settled run: its length and
+# its start. Narrow rows, as this is the largest exchange.
+FIRSTS = "h1 long, packed long, doc_id long, text_key long"
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -97,7 +99,7 @@ def _candidates(window: int, bits: int, shared):
                 keys = batch.column("text_key").to_numpy()
                 row = shingled.row[at]
                 start = at - shingled.offsets[row]
-                h1, h2 = shingled.h1[at], (shingled.h2[at] >> np.uint64(32)).astype(np.uint32)
+                h1, h2 = shingled.h1[at], (shingled.h2[at] >> np.uint64(33)).astype(np.int64)
                 order = np.lexsort((start, keys[row], ids[row], h2, h1))
                 row, start, h1, h2 = row[order], start[order], h1[order], h2[order]
                 doc, text = ids[row], keys[row]
@@ -109,8 +111,8 @@ def _candidates(window: int, bits: int, shared):
                 # In the order of the texts, so that ids repeat from row to row and compress well.
                 heads = np.flatnonzero(new)
                 heads = heads[np.lexsort((start[heads], row[heads]))]
-                none = np.zeros(len(heads), np.int32)
-                yield _rows(h1[heads], h2[heads], doc[heads], text[heads], start[heads], none)
+                packed = (h2[heads] << 32) | start[heads]
+                yield _rows(h1[heads], packed, doc[heads], text[heads])
                 later = np.flatnonzero(~same)
                 later = later[np.lexsort((start[later], row[later]))]
                 row, start = row[later], start[later]
@@ -120,17 +122,17 @@ def _candidates(window: int, bits: int, shared):
                 head[1:] = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
                 heads = np.flatnonzero(head)
                 last = np.concatenate((heads[1:], [len(row)])) - 1
-                count = (start[last] - start[heads] + 1).astype(np.int32)
-                zero = np.zeros(len(heads), np.uint32)
+                count = start[last] - start[heads] + 1
                 own = W.mixed(ids[row[heads]].astype(np.uint64) ^ start[heads].astype(np.uint64))
-                yield _rows(own, zero, ids[row[heads]], keys[row[heads]], start[heads], count)
+                packed = np.iinfo(np.int64).min | (count << 32) | start[heads]
+                yield _rows(own, packed, ids[row[heads]], keys[row[heads]])
 
     return run
 
 
-def _rows(h1, h2, doc, text, start, n) -> pa.RecordBatch:
-    columns = [h1.view(np.int64), h2.view(np.int32), doc, text, start.astype(np.int32), n]
-    return pa.record_batch([pa.array(c) for c in columns], names=[x.split()[0] for x in FIRSTS.split(", ")])
+def _rows(h1, packed, doc, text) -> pa.RecordBatch:
+    columns = [pa.array(c) for c in (h1.view(np.int64), packed, doc, text)]
+    return pa.record_batch(columns, names=["h1", "packed", "doc_id", "text_key"])
 
 
 def repeat_runs(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BITS) -> DataFrame:
@@ -142,13 +144,16 @@ def repeat_runs(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BIT
     found = docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(
         _candidates(window, bits, shared), FIRSTS
     )
+    rows = found.repartition("h1").select(
+        "h1", "doc_id", "text_key", (F.col("packed") < 0).alias("settled"),
+        F.shiftright("packed", 32).bitwiseAND(0x7FFFFFFF).alias("high"),
+        F.col("packed").bitwiseAND(0xFFFFFFFF).cast("int").alias("start"),
+    )
     # Settled runs have hashes of their own and pass through with the windows.
     place = F.struct("doc_id", "text_key", "start")
-    first = F.min(F.when(F.col("n") == 0, place)).over(Window.partitionBy("h1", "h2"))
-    return (
-        found.withColumn("_first", F.when(F.col("n") == 0, first))
-        .where((F.col("n") > 0) | (place != F.col("_first")))
-        .select("doc_id", "text_key", "start", F.greatest("n", F.lit(1)).alias("n"))
+    first = F.min(F.when(~F.col("settled"), place)).over(Window.partitionBy("h1", "high"))
+    return rows.withColumn("_first", first).where(F.col("settled") | (place != F.col("_first"))).select(
+        "doc_id", "text_key", "start", F.when(F.col("settled"), F.col("high")).otherwise(1).cast("int").alias("n")
     )
 
 
