@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import html_text, jaccard, mixing, packing, quality_model, quality_rules, substrings, topk, warc
+from grainmill.llm import html_text, jaccard, lm, mixing, packing, quality_model, quality_rules, substrings, topk, warc
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(documents(spark, folder))
+
+
 def op2_top_k(spark: SparkSession, folder: str) -> DataFrame:
     vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -57,6 +61,7 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_scores": op1_lm_scores,
     "op2_top_k": op2_top_k,
     "op3_mix_sources": op3_mix_sources,
     "op4_substring_dedup": op4_substring_dedup,
