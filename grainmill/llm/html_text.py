@@ -153,13 +153,8 @@ def training_rows(pages: list[str], seed: int = SEED, layouts: int = LAYOUTS) ->
 
 
 def train(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Forest:
-    sample = (
-        pages.where("length(html) > 0")
-        .select("html", F.xxhash64("page_id", "html").alias("_order"))
-        .orderBy("_order", "html")
-        .limit(train_pages)
-        .select("html")
-    )
+    full = pages.where("length(html) > 0").select("page_id", "html")
+    sample = W.hashed_sample(full, F.xxhash64("page_id"), train_pages)
     x, y = training_rows([r["html"] for r in sample.collect()])
     return fit(x, y, trees=40, depth=5, rate=0.25, bins=32)
 

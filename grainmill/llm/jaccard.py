@@ -78,7 +78,7 @@ def hot_grams(docs: DataFrame, n: int = N) -> np.ndarray:
     """N-grams of very many documents, at most HOT_GRAMS; they only steer the order."""
     counted = docs.select("text").mapInArrow(_hot(n, HOT_SHARE, HOT_LEAST), "gram long, docs long")
     top = counted.groupBy("gram").agg(F.sum("docs").alias("docs"))
-    rows = top.orderBy(F.desc("docs"), "gram").limit(HOT_GRAMS).select("gram").collect()
+    rows = W.most_frequent(W.bounded_rows(top, "hot-grams"), "docs", HOT_GRAMS).select("gram").collect()
     return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
 
 
@@ -333,9 +333,10 @@ def near_copies(
     docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = sketch.BITS,
     tile_sets: int = TILE_SETS,
 ) -> DataFrame:
-    """``doc_id, text_key, n_shingles, component_id`` of each row.
+    """``doc_id, text_key, n_shingles, component_id, group`` of each row.
 
-    Rows without a set have their own doc_id as component.
+    ``group`` is one number for all rows of a component. Rows without a set have no group, and
+    their own doc_id as component.
     """
     profile = W.bounded_rows(profiles(docs, n=n, percent=percent), "profiles")
     comp = linked_sets(docs, profile, n=n, percent=percent, bits=bits, tile_sets=tile_sets)
@@ -343,12 +344,34 @@ def near_copies(
     sets = profile.groupBy("set_id").agg(F.min("doc_id").alias("_least")).where("set_id is not null")
     sets = sets.join(comp, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
     least = sets.groupBy("comp").agg(F.min("_least").alias("component_id"))
-    named = sets.join(least, "comp").select("set_id", "component_id")
+    named = sets.join(least, "comp").select("set_id", "component_id", F.col("comp").alias("group"))
     return (
         profile.select("doc_id", "text_key", "n_shingles", "set_id")
         .join(named, "set_id", "left")
         .select(
             "doc_id", "text_key", "n_shingles",
             F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "group",
         )
     )
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component, that with the smallest doc_id, and all rows without a set.
+
+    All columns are kept. Equal rows are told apart by a running number.
+    """
+    near = near_copies(docs, **options)
+    stays = near.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"))
+    stays = stays.select(F.col("_first.doc_id").alias("_doc"), F.col("_first.text_key").alias("_text"))
+    keyed = docs.withColumn("_key", W.text_key())
+    same = Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))
+    both = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
+    # A text without a word has no set; such rows meet no group and stay.
+    empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), W.SPACE, "")) == 0
+    return (
+        keyed.withColumn("_nth", F.row_number().over(same))
+        .join(stays, both, "left")
+        .where(empty | (F.col("_doc").isNotNull() | F.col("_text").isNotNull()) & (F.col("_nth") == 1))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )

@@ -253,7 +253,7 @@ def word_scores(docs: DataFrame, words: DataFrame, frequent: int) -> DataFrame:
     of log10(count + 0.1) over its words. Equal rows give one row.
     """
     spark = docs.sparkSession
-    top = words.where(F.col("word") != END_WORD).orderBy(F.desc("c"), "word").limit(frequent).toPandas()
+    top = W.most_frequent(words.where(F.col("word") != END_WORD), "c", frequent).toPandas()
     hashes = W.word_hashes(pa.array(top["word"], pa.string()))[0] if len(top) else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
     keys = np.append(hashes[order], np.uint64(2**64 - 1))
@@ -298,13 +298,13 @@ def score_texts(
     path: str | None = None,
     sample_docs: int = SAMPLE_DOCS,
     frequent: int = FREQUENT_WORDS,
-    steps: int = 1500,
+    steps: int = 2000,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords``."""
     spark, path = docs.sparkSession, path or tokenizer_path()
     rows = docs.select("doc_id", "text", W.text_key().alias("text_key"), (remainder(10) == 0).alias("held_out"))
-    sample = rows.where("not held_out and text is not null").select("text", F.xxhash64("doc_id", "text_key").alias("_order"))
-    texts = [r["text"] for r in sample.orderBy("_order", "text").limit(sample_docs).collect()]
+    train = rows.where("not held_out").select("doc_id", "text")
+    texts = [r["text"] for r in W.hashed_sample(train, F.xxhash64("doc_id"), sample_docs).collect()]
     ends, ids = _sample_ids(texts, path)
     size = word_ids(path).tokenizer.get_vocab_size() + 1
     laid = attention.Blocks(ends, ids.astype(np.int64), size - 1, size)

@@ -1,7 +1,7 @@
 """A quality classifier: histogram gradient-boosted trees over statistics of whole texts.
 
-The trees are fitted on a bounded sample of labelled rows: the ``train_rows`` with the smallest
-hash of their doc_id. Features are numbers from the text alone; doc_id, language, source and
+The trees are fitted on a bounded sample of labels: the ``train_rows`` with the smallest hash of
+their doc_id. Features are numbers from the text alone; doc_id, language, source and
 labels are never inputs of a score. Scoring is one Arrow step over the feature table.
 
 Nulls and odd cases: a null text is an empty one and is scored as such. A null doc_id has crc32
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm import words as W
 from grainmill.llm.boost import Forest, fit
-from grainmill.llm.docstats import COUNTS, document_counts
+from grainmill.llm.docstats import COUNTS, document_counts, text_counts
 
 TRAIN_ROWS = 20_000
 PASS_SCORE = 0.7
@@ -60,16 +60,26 @@ def _score(forest: Forest):
     return run
 
 
-def train(counts: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Forest:
-    """Fit on at most ``train_rows`` labelled documents that are not held out."""
-    sample = (
-        counts.where(~F.col("held_out"))
-        .join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *COUNTS)
-        .limit(train_rows)
-        .select("quality", *COUNTS)
-        .toPandas()
-    )
+def _keep(forest: Forest, pass_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.steps(whole):
+                scores = forest.chance(features(text_counts(batch.column("text"))))
+                yield batch.filter(pa.array(scores >= pass_score))
+
+    return run
+
+
+def sampled_labels(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, quality`` of at most ``train_rows`` labels that are not held out."""
+    named = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    return W.hashed_sample(named.where(remainder(4) != HELD_OUT), F.xxhash64("doc_id"), train_rows)
+
+
+def train(counts: DataFrame, named: DataFrame) -> Forest:
+    """Fit on the counts of the documents in the sample of labels."""
+    sample = counts.join(named, "doc_id").select("doc_id", "quality", *COUNTS).toPandas()
+    sample = sample.sort_values(["doc_id", "quality", *COUNTS])
     x = features({c: sample[c].to_numpy() for c in COUNTS})
     return fit(x, (sample["quality"].to_numpy() > 0).astype(np.float64))
 
@@ -85,8 +95,25 @@ def score_documents(
     counts = W.bounded_rows(
         document_counts(docs).withColumn("held_out", remainder(4) == HELD_OUT), "quality-counts"
     )
-    forest = train(counts, labels, train_rows)
+    forest = train(counts, sampled_labels(labels, train_rows))
     scored = counts.select("doc_id", "held_out", *COUNTS).mapInArrow(
         _score(forest), "doc_id long, held_out boolean, score double"
     )
     return scored.withColumn("predicted", (F.col("score") >= pass_score).cast("int"))
+
+
+def good_documents(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    train_rows: int = TRAIN_ROWS,
+    pass_score: float = PASS_SCORE,
+) -> DataFrame:
+    """The rows of ``docs`` that score ``pass_score`` or more; all columns are kept.
+
+    The sample of labels has a fixed bound and is broadcast, so the filter moves no text.
+    """
+    named = sampled_labels(labels, train_rows)
+    ids = F.broadcast(named.select("doc_id").distinct())
+    forest = train(document_counts(docs.join(ids, "doc_id", "left_semi")), named)
+    return docs.mapInArrow(_keep(forest, pass_score), docs.schema)

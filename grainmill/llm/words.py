@@ -102,5 +102,34 @@ def bounded_rows(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def hashed_sample(df: DataFrame, order: Column, limit: int) -> DataFrame:
+    """The ``limit`` rows with the smallest hash ``order``, or all if there are fewer.
+
+    The hash range is narrowed by the number of rows first, so the tasks together send the driver
+    little more than ``limit`` rows, however many tasks there are.
+    """
+    n, wide = df.count(), 1 << 30
+    share = (limit + 8 * limit**0.5 + 8) / max(1, n)
+    if share < 1:
+        df = df.where(F.pmod(order, F.lit(wide)) < int(share * wide) + 1)
+    keyed = df.withColumn("_order", F.pmod(order, F.lit(wide))).withColumn("_tie", order)
+    others = [F.col(f"`{c}`").asc() for c in df.columns]
+    return keyed.orderBy("_order", "_tie", *others).limit(limit).drop("_order", "_tie")
+
+
+def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows with the largest ``column``; ties at the border are left out.
+
+    A table of how many rows have each value gives the border, so nothing is sorted as a whole.
+    """
+    table = counts.groupBy(column).agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc(column))
+    border, rows = None, 0
+    for row in table.limit(limit).collect():  # distinct counts; each has one row or more
+        if rows + row["_rows"] > limit:
+            return counts.where(F.col(column) > row[column])
+        border, rows = row[column], rows + row["_rows"]
+    return counts if border is None else counts.where(F.col(column) >= border)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
