@@ -1,9 +1,10 @@
 """Exact Jaccard join on word n-grams: size-banded tiles with bitmap signatures.
 
 1. Each text becomes the set of its distinct n-gram hashes. Two sets that link must share a
-   member among the first ``n - ceil(share * n) + 1`` of each in any common order. The order
-   puts n-grams that many documents share last. Only these first members go on, and a count-min
-   sketch drops those that occur once.
+   member among the first ``n - ceil(share * n) + 1`` of each in any common order. The order puts
+   n-grams first that a count-min sketch of the corpus shows to be in one document only, and last
+   those of very many documents. Of the first members, those of one document meet nobody; a text
+   that is edited beyond the threshold has no others and drops out.
 2. Sets that share a first member meet in tiles of one size band (a set also visits the next
    band). Each set has a bitmap of hashed members; members that one bitmap has and the other
    lacks cannot be shared, so bit counts bound the overlap from above. What passes is decided by
@@ -41,6 +42,8 @@ HOT_SHARE, HOT_LEAST, HOT_GRAMS = 0.01, 20, 20_000
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 TILE_SETS = 2048
 STARS = 2
+# 2 ** 27 counters a row: 32 MB are broadcast.
+SKETCH_BITS = 27
 
 PROFILE = "doc_id long, text_key long, n_shingles long, set_id long, first array<long>, bits binary"
 
@@ -90,19 +93,29 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _profiles(n: int, percent: int, hot: np.ndarray):
+def _members(n: int):
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for step in W.steps(batch):
+            yield gram_sets(step.column("text"), n)[1]
+
+    return run
+
+
+def _profiles(n: int, percent: int, hot: np.ndarray, bits: int, shared):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = sketch.Repeated(shared.value, bits)
         for whole in batches:
             for step in W.steps(whole):
                 ends, grams = gram_sets(step.column("text"), n)
+                common = repeated(grams)
                 late = np.zeros(len(grams), dtype=bool)
                 if len(hot):
                     late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
                 sizes, ids, firsts, maps = [], [], [], []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    own, last = grams[a:b], late[a:b]
+                    own, last, many = grams[a:b], late[a:b], common[a:b]
                     size = b - a
                     sizes.append(size)
                     if not size:
@@ -111,12 +124,13 @@ def _profiles(n: int, percent: int, hot: np.ndarray):
                         maps.append(None)
                         continue
                     ids.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
-                    take = size - -(-percent * size // 100) + 1
-                    first = own[~last][:take]
+                    # Members of one document alone come first and meet nobody.
+                    take = max(0, size - -(-percent * size // 100) + 1 - (size - int(many.sum())))
+                    first = own[many & ~last][:take]
                     if len(first) < take:
-                        first = np.concatenate((first, own[last][: take - len(first)]))
+                        first = np.concatenate((first, own[many & last][: take - len(first)]))
                     firsts.append(first.view(np.int64))
-                    maps.append(bitmap(own))
+                    maps.append(bitmap(own) if len(first) else None)
                 yield pa.record_batch(
                     [
                         step.column("doc_id"), step.column("text_key"), pa.array(sizes, pa.int64()),
@@ -129,40 +143,22 @@ def _profiles(n: int, percent: int, hot: np.ndarray):
     return run
 
 
-def profiles(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """Size, set id, first members and bitmap of each document's set."""
+def profiles(
+    docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = SKETCH_BITS
+) -> DataFrame:
+    """Size, set id, first members that others may share, and bitmap of each document's set."""
     hot = hot_grams(docs, n)
+    shared = sketch.repeated(docs.select("text"), _members(n), bits)
     return docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(
-        _profiles(n, percent, hot), PROFILE
+        _profiles(n, percent, hot, bits, shared), PROFILE
     )
 
 
-def _firsts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield batch.column("first").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-
-
-def _shared_firsts(bits: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = sketch.Repeated(shared.value, bits)
-        for batch in batches:
-            lists = batch.column("first")
-            grams = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy())
-            at = np.flatnonzero(repeated(grams.view(np.uint64)))
-            take = pa.array(row[at])
-            yield pa.record_batch(
-                [pa.array(grams[at]), batch.column("set_id").take(take), batch.column("n_shingles").take(take)],
-                names=["gram", "set_id", "n"],
-            )
-
-    return run
-
-
-def meetings(profile: DataFrame, bits: int = sketch.BITS) -> DataFrame:
+def meetings(profile: DataFrame) -> DataFrame:
     """``gram, set_id, n, least_set``: sets that share a first member with another set."""
-    named = profile.where("set_id is not null").select("set_id", "n_shingles", "first")
-    shared = sketch.repeated(named.select("first"), _firsts, bits)
-    rows = named.mapInArrow(_shared_firsts(bits, shared), "gram long, set_id long, n long").distinct()
+    rows = profile.where("size(first) > 0").select(
+        F.explode("first").alias("gram"), "set_id", F.col("n_shingles").alias("n")
+    ).distinct()
     gram = Window.partitionBy("gram")
     rows = rows.withColumn("least_set", F.min("set_id").over(gram))
     return rows.withColumn("_most", F.max("set_id").over(gram)).where("least_set < _most").drop("_most")
@@ -290,11 +286,11 @@ def tile_pairs(rows: DataFrame, *, percent: int, tile_sets: int = TILE_SETS) ->
 
 def linked_sets(
     docs: DataFrame, profile: DataFrame, *, n: int = N, percent: int = PERCENT,
-    bits: int = sketch.BITS, tile_sets: int = TILE_SETS,
+    tile_sets: int = TILE_SETS,
 ) -> DataFrame:
     """``node, comp`` of the sets that link with another set. ``profile`` should be a table."""
-    met = W.bounded_rows(meetings(profile, bits), "meetings")
-    one = profile.where("set_id is not null").groupBy("set_id").agg(
+    met = W.bounded_rows(meetings(profile), "meetings")
+    one = profile.where("size(first) > 0").groupBy("set_id").agg(
         F.min(F.struct("doc_id", "text_key", "n_shingles", "bits")).alias("_doc")
     )
     own = one.join(met.select("set_id").distinct(), "set_id").select("set_id", "_doc.*")
@@ -330,7 +326,7 @@ def linked_sets(
 
 
 def near_copies(
-    docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = sketch.BITS,
+    docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = SKETCH_BITS,
     tile_sets: int = TILE_SETS,
 ) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id, group`` of each row.
@@ -338,8 +334,8 @@ def near_copies(
     ``group`` is one number for all rows of a component. Rows without a set have no group, and
     their own doc_id as component.
     """
-    profile = W.bounded_rows(profiles(docs, n=n, percent=percent), "profiles")
-    comp = linked_sets(docs, profile, n=n, percent=percent, bits=bits, tile_sets=tile_sets)
+    profile = W.bounded_rows(profiles(docs, n=n, percent=percent, bits=bits), "profiles")
+    comp = linked_sets(docs, profile, n=n, percent=percent, tile_sets=tile_sets)
     comp = comp.withColumnRenamed("node", "set_id")
     sets = profile.groupBy("set_id").agg(F.min("doc_id").alias("_least")).where("set_id is not null")
     sets = sets.join(comp, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
@@ -364,14 +360,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     near = near_copies(docs, **options)
     stays = near.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"))
     stays = stays.select(F.col("_first.doc_id").alias("_doc"), F.col("_first.text_key").alias("_text"))
-    keyed = docs.withColumn("_key", W.text_key())
-    same = Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))
-    both = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
+    same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    both = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
     # A text without a word has no set; such rows meet no group and stay.
-    empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), W.SPACE, "")) == 0
+    empty = F.length(F.regexp_replace(F.coalesce("_row.text", F.lit("")), W.SPACE, "")) == 0
     return (
-        keyed.withColumn("_nth", F.row_number().over(same))
+        W.keyed_rows(docs)
+        .withColumn("_nth", F.row_number().over(same))
         .join(stays, both, "left")
-        .where(empty | (F.col("_doc").isNotNull() | F.col("_text").isNotNull()) & (F.col("_nth") == 1))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .where(empty | (F.col("_text").isNotNull() & (F.col("_nth") == 1)))
+        .select("_row.*")
     )

@@ -216,21 +216,22 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Equal rows are told apart by a running number on both sides of the join.
     """
-    same = Window.partitionBy("doc_id", "text_key")
-    decided = mix_sources(docs, **options).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), "copies",
-        F.row_number().over(same.orderBy(F.desc("copies"))).alias("_nth_taken"),
-    ).where("copies > 0")
-    keyed = docs.withColumn("_key", W.text_key())
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0)))
+    same = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("copies"))
+    decided = mix_sources(docs, **options).withColumn("nth", F.row_number().over(same))
+    decided = decided.where("copies > 0").select(
+        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("nth").alias("_taken"),
+        "copies",
+    )
+    rows = W.keyed_rows(docs)
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
     return (
-        keyed.withColumn("_nth", nth)
+        rows.withColumn("_nth", nth)
         .join(
             decided,
-            F.col("doc_id").eqNullSafe(F.col("_doc"))
+            F.col("_id").eqNullSafe(F.col("_doc"))
             & (F.col("_key") == F.col("_text"))
-            & (F.col("_nth") == F.col("_nth_taken")),
+            & (F.col("_nth") == F.col("_taken")),
         )
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        .select("_row.*")
     )

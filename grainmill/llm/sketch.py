@@ -33,22 +33,35 @@ def _slots(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
         return (W.mixed(hashes + np.uint64(row + 1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _bits_of(slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a bit plane that sorted, distinct slots lie in, and their bits."""
+    byte = slots >> 3
+    bit = (1 << (7 - (slots & 7))).astype(np.uint8)
+    start = np.flatnonzero(np.diff(byte, prepend=-1))
+    return byte[start], np.bitwise_or.reduceat(bit, start) if len(start) else bit
+
+
 def _partial(hashes: Hashes, bits: int):
-    """Counters of a whole task, sent as two bit planes a part."""
+    """Counters of a whole task, held and sent as two bit planes: once, and twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros((ROWS, 1 << bits), dtype=np.uint8)
+        once = np.zeros((ROWS, (1 << bits) // 8), dtype=np.uint8)
+        twice = np.zeros_like(once)
         for batch in batches:
             for found in hashes(batch):
                 for r in range(ROWS):
                     slots, counts = np.unique(_slots(found, r, bits), return_counts=True)
-                    counters[r, slots] = np.minimum(2, counters[r, slots] + np.minimum(counts, 2))
-        size = (1 << bits) // PARTS
+                    byte, bit = _bits_of(slots)
+                    twice[r, byte] |= once[r, byte] & bit
+                    once[r, byte] |= bit
+                    byte, bit = _bits_of(slots[counts > 1])
+                    twice[r, byte] |= bit
+        size = (1 << bits) // PARTS // 8
         for r in range(ROWS):
             for p in range(PARTS):
-                own = counters[r, p * size : (p + 1) * size]
-                if own.any():
-                    planes = [zlib.compress(np.packbits(own >= k).tobytes(), 1) for k in (1, 2)]
+                part = slice(p * size, (p + 1) * size)
+                if once[r, part].any():
+                    planes = [zlib.compress(x[r, part].tobytes(), 1) for x in (once, twice)]
                     columns = [pa.array([r * PARTS + p], pa.int32())]
                     columns += [pa.array([x], pa.binary()) for x in planes]
                     yield pa.record_batch(columns, names=["part", "once", "twice"])

@@ -184,11 +184,8 @@ def _cut(window: int, with_text: bool):
                     rows.append((len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()))
                     kept_texts.append(text if len(kept) == len(words) else joined)
                 if with_text:
-                    others = [batch.column(c) for c in batch.schema.names if c not in ("text", "_runs")]
-                    names = [c for c in batch.schema.names if c not in ("text", "_runs")]
-                    yield pa.record_batch(
-                        [*others, pa.array(kept_texts, pa.binary()).cast(pa.string())], names=[*names, "text"]
-                    )
+                    texts = pa.array(kept_texts, pa.binary()).cast(pa.string())
+                    yield pa.record_batch([batch.column("_row"), texts], names=["_row", "text"])
                     continue
                 columns = list(zip(*rows)) or [[]] * 3
                 types = (pa.int64(), pa.int64(), pa.string())
@@ -200,8 +197,8 @@ def _cut(window: int, with_text: bool):
     return run
 
 
-def _with_runs(docs: DataFrame, window: int, bits: int) -> DataFrame:
-    """The rows with the runs of their document; each text is exchanged once."""
+def _with_runs(docs: DataFrame, rows: DataFrame, window: int, bits: int) -> DataFrame:
+    """``rows`` (with doc_id, text, _key) and the runs of their document; a text is exchanged once."""
     runs = (
         repeat_runs(docs, window=window, bits=bits)
         .groupBy("doc_id", "text_key")
@@ -209,17 +206,15 @@ def _with_runs(docs: DataFrame, window: int, bits: int) -> DataFrame:
         .withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"})
     )
     least = F.lit(-(2**63)).cast("long")
-    return (
-        docs.withColumn("_key", W.text_key())
-        .join(runs, (F.coalesce("doc_id", least) == F.col("_doc")) & (F.col("_key") == F.col("_text")), "left")
-        .drop("_doc", "_text", "_key")
-    )
+    return rows.join(
+        runs, (F.coalesce("doc_id", least) == F.col("_doc")) & (F.col("_key") == F.col("_text")), "left"
+    ).drop("_doc", "_text", "_key")
 
 
 def repeat_report(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BITS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of each row."""
-    rows = _with_runs(docs.select("doc_id", "text"), window, bits)
-    return rows.mapInArrow(_cut(window, False), REPORT)
+    rows = docs.select("doc_id", "text", W.text_key().alias("_key"))
+    return _with_runs(docs, rows, window, bits).mapInArrow(_cut(window, False), REPORT)
 
 
 def without_repeats(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch.BITS) -> DataFrame:
@@ -227,7 +222,11 @@ def without_repeats(docs: DataFrame, *, window: int = WINDOW, bits: int = sketch
 
     A text that loses words becomes its kept words, joined by one space; others stay as they are.
     """
-    rows = _with_runs(docs, window, bits)
     others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", text string"
-    return rows.mapInArrow(_cut(window, True), schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{f.name}`") for f in others])
+    rows = docs.select(row.alias("_row"), "doc_id", "text", W.text_key().alias("_key"))
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others)
+    out = _with_runs(docs, rows, window, bits).mapInArrow(
+        _cut(window, True), f"_row struct<{kinds}>, text string"
+    )
+    return out.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])

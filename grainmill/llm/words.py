@@ -26,6 +26,12 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``_row`` with all columns of each row, whatever their names, and ``_id, _key`` beside it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_key"))
+
+
 def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about STEP_BYTES of text each, so that memory stays bounded."""
     if batch.num_rows == 0:
