@@ -21,6 +21,8 @@ WIDTH, HEAD, HIDDEN = 24, 16, 32
 CONTEXTS, CLASSES = 256, 32
 FEATURES = 256
 SMOOTH = 200.0
+# Windows that are attended to at once; their arrays stay in the caches.
+STEP = 256
 LOG10 = float(np.log(10))
 
 
@@ -189,7 +191,7 @@ class Model:
         vocabulary, w = self.vocabulary, self.weights
         b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
         out = np.zeros(len(ends) - 1)
-        step = 1024
+        step = STEP
         for a in range(0, b.total - 1, step):
             blocks = slice(a, min(a + step, b.total - 1) + 1)  # one block of context, then scored ones
             at = slice(blocks.start * SPAN, blocks.stop * SPAN)

@@ -32,6 +32,8 @@ from grainmill.llm.quality_model import remainder
 SAMPLE_DOCS = 2000
 FREQUENT_WORDS = 200_000
 PARTS = 64
+# Bytes of text, or of token ids, that one step turns into arrays.
+SCAN_BYTES, SCORE_BYTES = 4 << 20, 2 << 20
 # What the end of a text is counted as; no word is empty.
 END_WORD = ""
 SMALL = 0.1
@@ -115,7 +117,7 @@ def _scan(path: str, contexts: np.ndarray, size: int):
         table = np.zeros(attention.CONTEXTS * size, dtype=np.int32)
         words: list[pa.Table] = []
         for whole in batches:
-            for step in W.steps(whole):
+            for step in W.steps(whole, limit=SCAN_BYTES):
                 cut = Cut(step.column("text"), path)
                 held = step.column("held_out")
                 train = ~held.to_numpy(zero_copy_only=False)
@@ -134,8 +136,7 @@ def _scan(path: str, contexts: np.ndarray, size: int):
                 if len(words) > 8:
                     words = [_summed(words)]
                 cells, counts = _transitions(cut, train, contexts, size)
-                cells, at = np.unique(cells, return_inverse=True)
-                table[cells] += np.bincount(at, counts).astype(np.int32)
+                np.add.at(table, cells, counts.astype(np.int32))
         if words:
             for part in _summed(words).to_batches(max_chunksize=100_000):
                 yield _batch(WORD, part.num_rows, word=part.column("word"), n=part.column("n").cast(pa.int64()))
@@ -199,7 +200,7 @@ def _score(shared):
         model = shared.value
         kind = id_type(model.vocabulary.size)
         for whole in batches:
-            for step in W.steps(whole, "ids"):
+            for step in W.steps(whole, "ids", SCORE_BYTES):
                 column = step.column("ids")
                 at = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
                 ends = at.astype(np.int64) // kind.itemsize

@@ -6,7 +6,8 @@ of documents, number of words), so both totals stay as they are while ever more
 reach 0 or 1. Every source is cut into blocks by a hash, so a source with a third of all rows
 is many small tasks; a block leaves at most two open documents. The open ones of all blocks
 meet in the next round, until one block a source is left and its last two are rounded so that
-the words come nearest to the target.
+the words come nearest to the target; where one long document spoils that, single decisions are
+changed.
 
 Nulls and odd cases: a null or empty text has size 0. A null source is a source of its own,
 the last one. Rows that repeat a doc_id or a whole row are units of their own. A source without
@@ -27,6 +28,7 @@ WEIGHTS = (1, 2, 3)
 MOST_TIMES = 3
 BLOCK_UNITS = 4096
 SEED = 7
+NEAR = 0.005
 
 UNIT = "doc_id long, text_key long, size long, source_no long, copies long, chance double"
 
@@ -138,6 +140,24 @@ def land(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return out
 
 
+def mend(sizes: np.ndarray, wanted: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Change single decisions while the words miss what was wanted by more than NEAR.
+
+    This happens where one document holds much of a source: then no flight can keep the total.
+    """
+    out, free = taken.copy(), np.flatnonzero((wanted > 0) & (wanted < 1) & (sizes > 0))
+    goal = float(wanted @ sizes)
+    miss = float(out @ sizes) - goal
+    while len(free) and abs(miss) > NEAR * goal:
+        after = np.abs(miss + np.where(out[free] > 0, -sizes[free], sizes[free]))
+        best = free[after.argmin()]
+        if after.min() >= abs(miss):
+            break
+        miss += -sizes[best] if out[best] > 0 else sizes[best]
+        out[best] = 1 - out[best]
+    return out
+
+
 def _round(number: int, last: bool, seed: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         # Long documents are settled first, so that those left open to the end are short.
@@ -148,7 +168,7 @@ def _round(number: int, last: bool, seed: int):
         sizes = table.column("size").to_numpy()
         chances = fly(sizes, table.column("chance").to_numpy(), random)
         if last:
-            chances = land(sizes, chances)
+            chances = mend(sizes, table.column("chance").to_numpy(), land(sizes, chances))
         copies = table.column("copies").to_numpy() + (chances == 1)
         chances = np.where(chances == 1, 0.0, chances)
         out = table.select(["doc_id", "text_key", "size", "source_no"])

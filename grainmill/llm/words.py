@@ -18,6 +18,9 @@ from grainmill.session import scratch_dir
 # Bytes of text that one step of a task turns into arrays; a longer text is a step of its own.
 STEP_BYTES = 8 << 20
 
+# Row groups of written tables; a task holds one of them while it writes.
+ROW_GROUP_BYTES = 32 << 20
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -32,12 +35,14 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.select(row.alias("_row"), F.col("doc_id").alias("_id"), text_key().alias("_key"))
 
 
-def steps(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about STEP_BYTES of text each, so that memory stays bounded."""
+def steps(
+    batch: pa.RecordBatch, column: str = "text", limit: int = STEP_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` bytes of text each, so that memory stays bounded."""
     if batch.num_rows == 0:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
+    group = np.cumsum(sizes, dtype=np.int64) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
@@ -104,7 +109,7 @@ def bounded_rows(df: DataFrame, purpose: str) -> DataFrame:
     Later steps do not compute them again, and a lost executor costs only its own tasks.
     """
     path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
