@@ -113,6 +113,7 @@ def good_documents(
 
     The sample of labels has a fixed bound and is broadcast, so the filter moves no text.
     """
+    W.small_batches(docs.sparkSession)
     named = sampled_labels(labels, train_rows)
     ids = F.broadcast(named.select("doc_id").distinct())
     forest = train(document_counts(docs.join(ids, "doc_id", "left_semi")), named)

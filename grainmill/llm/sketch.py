@@ -105,6 +105,7 @@ class Repeated:
 
 def repeated(rows: DataFrame, hashes: Hashes, bits: int = BITS):
     """Sketch the hashes of all batches of ``rows``; the planes as a broadcast variable."""
+    W.small_batches(rows.sparkSession)
     size = (1 << bits) // PARTS // 8
     planes = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(ROWS)]
     partial = rows.mapInArrow(_partial(hashes, bits), PARTIAL)

@@ -18,6 +18,7 @@ from grainmill.session import scratch_dir
 # Bytes of text that one step of a task turns into arrays; a longer text is a step of its own.
 STEP_BYTES = 8 << 20
 
+BATCH_BYTES = 16 << 20
 # Row groups of written tables; a task holds one of them while it writes.
 ROW_GROUP_BYTES = 32 << 20
 
@@ -103,11 +104,21 @@ def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return mixed(out)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python in batches of BATCH_BYTES at most, if it does not already.
+
+    Texts may be long, and a batch is held by the JVM and by the worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(BATCH_BYTES))
+
+
 def bounded_rows(df: DataFrame, purpose: str) -> DataFrame:
     """The rows, written once to the shared folder and read back.
 
     Later steps do not compute them again, and a lost executor costs only its own tasks.
     """
+    small_batches(df.sparkSession)
     path = scratch_dir(df.sparkSession, purpose)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.parquet(path)
