@@ -9,10 +9,12 @@
    band). Each set has a bitmap of hashed members; members that one bitmap has and the other
    lacks cannot be shared, so bit counts bound the overlap from above. What passes is decided by
    intersecting the sorted members, taken anew from the texts.
-3. Links are needed up to reachability. So sets first meet the smallest set of their tiles;
-   sets that this already connects need no further comparison with one another, however large
-   a group of near copies is. The remaining tiles, whose sets are not all connected, are compared
-   in full, in blocks.
+3. Links are needed up to reachability. So sets first meet the plainest set of their tiles, that
+   with the fewest members of its own; then, of any two components, the pairs that the bitmaps
+   favour most. Sets that this connects need no comparison with one another, however large a
+   group of near copies is. At last every pair of a tile that may link, is not connected and has
+   not been tried is decided. Tiles with the same sets are one tile, and large ones are cut in
+   blocks.
 
 Documents with equal sets are one set throughout, so groups of exact copies of any size cost one
 row. A set is known by a 64-bit hash of its members, a member by a 64-bit hash of its words.
@@ -41,11 +43,13 @@ PERCENT = 85
 HOT_SHARE, HOT_LEAST, HOT_GRAMS = 0.01, 20, 20_000
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 TILE_SETS = 2048
-STARS = 2
+STARS, FAVOURED = 2, 3
 # 2 ** 27 counters a row: 32 MB are broadcast.
 SKETCH_BITS = 27
 
-PROFILE = "doc_id long, text_key long, n_shingles long, set_id long, first array<long>, bits binary"
+PROFILE = (
+    "doc_id long, text_key long, n_shingles long, set_id long, lone int, first array<long>, bits binary"
+)
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,19 +117,22 @@ def _profiles(n: int, percent: int, hot: np.ndarray, bits: int, shared):
                 late = np.zeros(len(grams), dtype=bool)
                 if len(hot):
                     late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
-                sizes, ids, firsts, maps = [], [], [], []
+                sizes, ids, lone, firsts, maps = [], [], [], [], []
                 for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
                     own, last, many = grams[a:b], late[a:b], common[a:b]
                     size = b - a
                     sizes.append(size)
                     if not size:
                         ids.append(None)
+                        lone.append(None)
                         firsts.append([])
                         maps.append(None)
                         continue
                     ids.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
                     # Members of one document alone come first and meet nobody.
-                    take = max(0, size - -(-percent * size // 100) + 1 - (size - int(many.sum())))
+                    alone = size - int(many.sum())
+                    lone.append(1000 * alone // size)
+                    take = max(0, size - -(-percent * size // 100) + 1 - alone)
                     first = own[many & ~last][:take]
                     if len(first) < take:
                         first = np.concatenate((first, own[many & last][: take - len(first)]))
@@ -134,10 +141,10 @@ def _profiles(n: int, percent: int, hot: np.ndarray, bits: int, shared):
                 yield pa.record_batch(
                     [
                         step.column("doc_id"), step.column("text_key"), pa.array(sizes, pa.int64()),
-                        pa.array(ids, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
-                        pa.array(maps, pa.binary()),
+                        pa.array(ids, pa.int64()), pa.array(lone, pa.int32()),
+                        pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
                     ],
-                    names=["doc_id", "text_key", "n_shingles", "set_id", "first", "bits"],
+                    names=["doc_id", "text_key", "n_shingles", "set_id", "lone", "first", "bits"],
                 )
 
     return run
@@ -155,13 +162,22 @@ def profiles(
 
 
 def meetings(profile: DataFrame) -> DataFrame:
-    """``gram, set_id, n, least_set``: sets that share a first member with another set."""
+    """``tile, set_id, n, plainest``: sets that share a first member with another set.
+
+    A tile stands for all members that the very same sets share.
+    """
     rows = profile.where("size(first) > 0").select(
-        F.explode("first").alias("gram"), "set_id", F.col("n_shingles").alias("n")
+        F.explode("first").alias("gram"), "set_id", "lone", F.col("n_shingles").alias("n")
     ).distinct()
     gram = Window.partitionBy("gram")
-    rows = rows.withColumn("least_set", F.min("set_id").over(gram))
-    return rows.withColumn("_most", F.max("set_id").over(gram)).where("least_set < _most").drop("_most")
+    rows = rows.select(
+        "gram", "set_id", "n",
+        F.min(F.struct("lone", "set_id")).over(gram)["set_id"].alias("plainest"),
+        F.count(F.lit(1)).over(gram).alias("_sets"),
+        F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).over(gram).alias("_sum"),
+    ).where("_sets > 1")
+    tile = F.xxhash64("_sets", "_sum").alias("tile")
+    return rows.select(tile, "set_id", "n", "plainest").distinct()
 
 
 def may_link(na, nb, percent: int) -> Column:
@@ -229,8 +245,11 @@ def verify(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataF
     )
 
 
-def _tile(percent: int):
-    """Pairs of a tile that the bitmaps let pass: a block against itself or another one."""
+def _tile(percent: int, favoured: int):
+    """Pairs of a tile that the bitmaps let pass: a block against itself or another one.
+
+    With ``favoured``, only so many of any two components, those with the largest bounds.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("n", "ascending"), ("set_id", "ascending")])
@@ -241,7 +260,7 @@ def _tile(percent: int):
         size = min(len(x) for x in raw) // 8
         bits = np.stack([_folded(np.frombuffer(x, np.uint64), size) for x in raw])
         one, two = key[2].as_py(), key[3].as_py()
-        out_a, out_b = [], []
+        left, right, bound = [], [], []
         for i in range(len(n)):
             end = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
             others = np.arange(i + 1, end)
@@ -253,35 +272,50 @@ def _tile(percent: int):
             more = np.bitwise_count(bits[i] & ~bits[others]).sum(axis=1, dtype=np.int64)
             less = np.bitwise_count(bits[others] & ~bits[i]).sum(axis=1, dtype=np.int64)
             most = np.minimum(n[i] - more, n[others] - less)
-            pass_ = others[enough(most, n[i] + n[others], percent)]
-            out_a += np.minimum(ids[pass_], ids[i]).tolist()
-            out_b += np.maximum(ids[pass_], ids[i]).tolist()
-        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            ok = enough(most, n[i] + n[others], percent)
+            left.append(np.full(int(ok.sum()), i))
+            right.append(others[ok])
+            # Shared at most, as parts per million of the union.
+            bound.append((1_000_000 * most // (n[i] + n[others] - most))[ok])
+        i, j, most = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right, bound))
+        if favoured and len(i):
+            low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+            order = np.lexsort((-most, high, low))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)
+            start = np.flatnonzero(new)[np.cumsum(new) - 1]
+            order = order[np.arange(len(order)) - start < favoured]
+            i, j = i[order], j[order]
+        return pa.table(
+            [pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], names=["a", "b"]
+        )
 
     return run
 
 
-def tile_pairs(rows: DataFrame, *, percent: int, tile_sets: int = TILE_SETS) -> DataFrame:
-    """Pairs that may link, from ``gram, set_id, n, comp, bits``; of different components only."""
+def tile_pairs(
+    rows: DataFrame, *, percent: int, tile_sets: int = TILE_SETS, favoured: int = 0
+) -> DataFrame:
+    """Pairs that may link, from ``tile, set_id, n, comp, bits``; of different components only."""
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("long")
     placed = rows.withColumn("_band", band).withColumn(
         "_place", F.explode(F.array(F.struct(F.col("_band").alias("band"), F.lit(False).alias("guest")),
                                     F.struct((F.col("_band") + 1).alias("band"), F.lit(True).alias("guest"))))
     )
-    placed = placed.select("gram", "set_id", "n", "comp", "bits", F.col("_place.band").alias("band"),
+    placed = placed.select("tile", "set_id", "n", "comp", "bits", F.col("_place.band").alias("band"),
                            F.col("_place.guest").alias("_guest"))
-    counts = placed.groupBy("gram", "band").agg(
+    counts = placed.groupBy("tile", "band").agg(
         F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_low"), F.max("comp").alias("_high"),
         F.min("_guest").alias("_no_host"),
     ).where("_low < _high and not _no_host")
     blocks = F.ceil(F.col("_n") / tile_sets).cast("int")
-    placed = placed.join(counts.select("gram", "band", blocks.alias("_blocks")), ["gram", "band"])
+    placed = placed.join(counts.select("tile", "band", blocks.alias("_blocks")), ["tile", "band"])
     placed = placed.withColumn("_block", F.pmod(F.xxhash64("set_id"), F.col("_blocks")).cast("int"))
     placed = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     tiles = placed.withColumn("_one", F.least("_block", "_other")).withColumn(
         "_two", F.greatest("_block", "_other")
     )
-    return tiles.groupBy("gram", "band", "_one", "_two").applyInArrow(_tile(percent), "a long, b long").distinct()
+    return tiles.groupBy("tile", "band", "_one", "_two").applyInArrow(_tile(percent, favoured), "a long, b long").distinct()
 
 
 def linked_sets(
@@ -301,28 +335,31 @@ def linked_sets(
     )
     texts = W.bounded_rows(texts.groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
 
-    # Every set meets the smallest sets of its grams; the best of these are tried.
+    # Every set meets the plainest sets of its tiles; the best of these are tried.
     side_a = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a"))
     side_b = own.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bits_b"))
-    stars = met.where("set_id > least_set").select(F.col("set_id").alias("a"), F.col("least_set").alias("b"))
+    stars = met.where("set_id <> plainest").select(F.col("set_id").alias("a"), F.col("plainest").alias("b"))
     stars = stars.distinct().join(side_a, "a").join(side_b, "b").where(may_link(F.col("na"), F.col("nb"), percent))
     stars = stars.mapInArrow(_bounded(percent), "a long, b long, most long")
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("most"), "b"))
-    stars = W.bounded_rows(stars.withColumn("_nth", best).where(F.col("_nth") <= STARS).select("a", "b"), "stars")
-    links = W.bounded_rows(verify(stars, texts, n=n, percent=percent), "star-links")
-    comp = components(links)
-
-    # Grams whose sets are not all connected yet are compared in full.
-    rest = met.drop("least_set").join(comp.withColumnRenamed("node", "set_id"), "set_id", "left")
-    rest = rest.withColumn("comp", F.coalesce("comp", "set_id"))
-    gram = Window.partitionBy("gram")
-    rest = rest.withColumn("_low", F.min("comp").over(gram)).withColumn("_high", F.max("comp").over(gram))
-    rest = rest.where("_low < _high").drop("_low", "_high").join(own.select("set_id", "bits"), "set_id")
-    pairs = tile_pairs(rest, percent=percent, tile_sets=tile_sets)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = W.bounded_rows(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = verify(pairs, texts, n=n, percent=percent)
-    return components(links.unionByName(more))
+    stars = stars.withColumn("_nth", best).where(F.col("_nth") <= STARS)
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = W.bounded_rows(tried, "stars")
+    links = W.bounded_rows(verify(tried, texts, n=n, percent=percent), "star-links")
+
+    # Then the favoured pairs of components, and at last all pairs that are still open.
+    for favoured in (FAVOURED, 0):
+        comp = components(links).withColumnRenamed("node", "set_id")
+        rest = met.select("tile", "set_id", "n").join(comp, "set_id", "left")
+        rest = rest.withColumn("comp", F.coalesce("comp", "set_id"))
+        tile = Window.partitionBy("tile")
+        rest = rest.withColumn("_low", F.min("comp").over(tile)).withColumn("_high", F.max("comp").over(tile))
+        rest = rest.where("_low < _high").drop("_low", "_high").join(own.select("set_id", "bits"), "set_id")
+        pairs = tile_pairs(rest, percent=percent, tile_sets=tile_sets, favoured=favoured)
+        pairs = W.bounded_rows(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = W.bounded_rows(verify(pairs, texts, n=n, percent=percent), "pair-links")
+        tried, links = tried.union(pairs), links.union(more)
+    return components(links)
 
 
 def near_copies(
