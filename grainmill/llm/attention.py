@@ -17,10 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 
 SPAN = 8
-WIDTH, HEAD, HIDDEN = 24, 16, 32
-CONTEXTS, CLASSES = 256, 32
+WIDTH, HEAD, HIDDEN = 40, 16, 32
+CONTEXTS, CLASSES = 256, 64
 FEATURES = 256
-SMOOTH = 200.0
+SMOOTH = 100.0
 # Windows that are attended to at once; their arrays stay in the caches.
 STEP = 256
 LOG10 = float(np.log(10))

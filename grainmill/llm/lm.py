@@ -18,6 +18,7 @@ Repeated rows are scored each, and count each in training. Without training docu
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +27,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm import attention, words as W
-from grainmill.llm.packing import tokenizer_path, word_ids
+from grainmill.llm.packing import tokenizer_path
 from grainmill.llm.quality_model import remainder
 
+TOKENIZER = "byte_bpe_50k.tiktoken"
+# White space that is part of a word here; fixed values.
+WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 SAMPLE_DOCS = 2000
 FREQUENT_WORDS = 200_000
 PARTS = 64
 # Bytes of text, or of token ids, that one step turns into arrays.
-SCAN_BYTES, SCORE_BYTES = 4 << 20, 2 << 20
+SCAN_BYTES, SCORE_BYTES = 3 << 20, 2 << 20
 # What the end of a text is counted as; no word is empty.
 END_WORD = ""
 SMALL = 0.1
@@ -58,13 +62,55 @@ def _batch(kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.record_batch(arrays, schema=_SCHEMA)
 
 
+class Subwords:
+    """Ids of words, each with a space before it, by a byte-level tokenizer of ranked pieces.
+
+    Many words are encoded as one text; a piece that begins with a space begins a word.
+    """
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as file:
+            pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.encoder = tiktoken.Encoding(
+            "ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={}
+        )
+        self.size = max(pieces.values()) + 1
+        self.spaced = np.zeros(self.size, dtype=bool)
+        self.spaced[[v for k, v in pieces.items() if k[:1] == b" "]] = True
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets (words + 1) and the ids of all words. No word is empty or holds a space."""
+        names = words.to_pylist()
+        if not names:
+            return np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        wide = pc.match_substring_regex(words, WIDE_SPACE).to_numpy(zero_copy_only=False)
+        ids = self.encoder.encode_to_numpy(" " + " ".join(names), disallowed_special=())
+        starts = np.flatnonzero(self.spaced[ids])
+        if wide.any() or len(starts) != len(names):
+            each = [self.encoder.encode_to_numpy(" " + w, disallowed_special=()) for w in names]
+            return np.concatenate(([0], np.cumsum([len(x) for x in each]))), np.concatenate(each)
+        return np.append(starts, len(ids)), ids
+
+
+_loaded: dict[str, Subwords] = {}
+
+
+def subwords(path: str) -> Subwords:
+    if path not in _loaded:
+        _loaded[path] = Subwords(path)
+    return _loaded[path]
+
+
 class Cut:
     """Words and token ids of a step; each distinct word is encoded once."""
 
     def __init__(self, texts: pa.Array, path: str):
         lower = W.lower_ascii(pc.fill_null(texts, ""))
         self.offsets, self.codes, self.words = W.coded_words(lower)
-        self.ends_of, self.ids_of = word_ids(path).of(self.words)
+        self.ends_of, self.ids_of = subwords(path).of(self.words)
         self.first, self.size = self.ends_of[:-1], np.diff(self.ends_of)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
@@ -135,6 +181,7 @@ def _scan(path: str, contexts: np.ndarray, size: int):
                 words.append(pa.table({"word": pa.array([END_WORD]), "n": pa.array([int(train.sum())])}))
                 if len(words) > 8:
                     words = [_summed(words)]
+                    pa.default_memory_pool().release_unused()
                 cells, counts = _transitions(cut, train, contexts, size)
                 np.add.at(table, cells, counts.astype(np.int32))
         if words:
@@ -289,10 +336,6 @@ def word_scores(docs: DataFrame, words: DataFrame, frequent: int) -> DataFrame:
     )
 
 
-def _sample_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    return word_ids(path).of(pa.array(texts, pa.string()))
-
-
 def score_texts(
     docs: DataFrame,
     *,
@@ -302,12 +345,12 @@ def score_texts(
     steps: int = 2000,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords``."""
-    spark, path = docs.sparkSession, path or tokenizer_path()
+    spark, path = docs.sparkSession, path or tokenizer_path(TOKENIZER)
     rows = docs.select("doc_id", "text", W.text_key().alias("text_key"), (remainder(10) == 0).alias("held_out"))
     train = rows.where("not held_out").select("doc_id", "text")
     texts = [r["text"] for r in W.hashed_sample(train, F.xxhash64("doc_id"), sample_docs).collect()]
-    ends, ids = _sample_ids(texts, path)
-    size = word_ids(path).tokenizer.get_vocab_size() + 1
+    ends, ids = Cut(pa.array(texts, pa.string()), path).ids()
+    size = subwords(path).size + 1
     laid = attention.Blocks(ends, ids.astype(np.int64), size - 1, size)
     vocabulary = attention.learn_vocabulary(laid.inputs[laid.counts], laid.targets[laid.counts], size)
 

@@ -200,7 +200,9 @@ class WarcReader(DataSourceReader):
             names = json.loads(file.read())
         return [Archive(f"{self.path}/{x}") for x in names]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no archives
+            return
         schema = pa.schema(
             [(c, pa.int64() if c.endswith("length") else pa.string()) for c in COLUMNS]
             + [("payload", pa.binary())]
