@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from grainmill.constants import BOS_ID, EOS_ID, IGNORE_INDEX, PAD_ID, SPECIAL_TOKENS
@@ -80,14 +83,19 @@ def n_loss_tokens(labels: Column) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """Running count of ones minus 1; 1 where the mask is 0. Works for any mask layout."""
-    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, m: Column) -> Column:
-        seen = acc["seen"] + m.cast("int")
-        position = F.when(m == 0, F.lit(1)).otherwise(seen - 1)
-        return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(position)).alias("out"))
-
-    return F.aggregate(mask, start, step)["out"]
+    @F.arrow_udf("array<int>")
+    def count(masks: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False)
+        ones = masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        seen = np.cumsum(ones)
+        before = np.concatenate(([0], seen))[ends[:-1]]
+        places = np.where(ones == 0, 1, seen - np.repeat(before, sizes) - 1).astype(np.int32)
+        offsets = pa.array(ends.astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(places), mask=masks.is_null())
+
+    return count(mask)
 
 
 def right_padded_position_ids(mask: Column) -> Column:

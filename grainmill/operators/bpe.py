@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession, functions as F
 
-from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, META_SPACE, SPECIAL_TOKENS
+from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, META_SPACE, SPECIAL_TOKENS, UNK_ID
 
 SPECIAL_SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
 # A run of word marks and what follows up to the next mark. No piece crosses these borders.
 WORD = re.compile(f"{META_SPACE}*[^{META_SPACE}]+|{META_SPACE}+")
 CROSSES_WORDS = re.compile(f"[^{META_SPACE}]{META_SPACE}")
 NO_PIECE = float("inf")
-SHORT_WORD = 64
+# Longer words are not remembered.
+REMEMBERED_LENGTH = 64
 REMEMBERED_WORDS = 1 << 18
 
 
@@ -37,9 +38,8 @@ def text_pieces(vocab: list[tuple[int, str, float]]) -> tuple[dict[str, float],
 
 def encode_word(word: str, priority: dict[str, float], piece_ids: dict[str, int]) -> list[int]:
     """Ids of a word; a character without a piece becomes the ids of its UTF-8 bytes."""
-    merge = merge_short if len(word) <= SHORT_WORD else merge_long
     out: list[int] = []
-    for part in merge(word, priority):
+    for part in merge_pairs(word, priority):
         found = piece_ids.get(part)
         if found is None:
             out += [FIRST_BYTE_ID + b for b in part.encode("utf-8")]
@@ -48,27 +48,12 @@ def encode_word(word: str, priority: dict[str, float], piece_ids: dict[str, int]
     return out
 
 
-def merge_short(word: str, priority: dict[str, float]) -> list[str]:
-    """Merge the best adjacent pair, leftmost on ties, until no pair is a piece."""
-    parts = list(word)
-    pairs = [priority.get(a + b, NO_PIECE) for a, b in zip(parts, parts[1:])]
-    while pairs:
-        best = min(pairs)
-        if best == NO_PIECE:
-            break
-        i = pairs.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i:
-            pairs[i - 1] = priority.get(parts[i - 1] + parts[i], NO_PIECE)
-        if i < len(pairs):
-            pairs[i] = priority.get(parts[i] + parts[i + 1], NO_PIECE)
-    return parts
-
-
-def merge_long(word: str, priority: dict[str, float]) -> list[str]:
-    """The same merges with the pairs in a heap, so that a text without blanks, which is one
-    long word, takes n log n steps."""
+def merge_pairs(word: str, priority: dict[str, float]) -> list[str]:
+    """Merge the best adjacent pair, leftmost on ties, until no pair is a piece.
+
+    The pairs are in a heap, so a text without blanks, which is one long word, takes n log n
+    steps.
+    """
     parts = list(word)
     after = [*range(1, len(parts)), -1]
     before = list(range(-1, len(parts) - 1))
@@ -132,7 +117,7 @@ def bpe_encoder(spark: SparkSession, vocab: list[tuple]) -> Callable[[Column], C
             ids = known.get(word)
             if ids is None:
                 ids = encode_word(word, priority, piece_ids)
-                if len(word) <= SHORT_WORD:
+                if len(word) <= REMEMBERED_LENGTH:
                     if len(known) >= REMEMBERED_WORDS:
                         known.clear()
                     known[word] = ids
@@ -171,7 +156,8 @@ def bpe_decoder(
         def text(row: list[int]) -> str:
             if skip_special_tokens:
                 row = [i for i in row if i >= FIRST_BYTE_ID]
-            data = b"".join([table[i] for i in row])
+            # An id outside the vocabulary stands for the unknown piece.
+            data = b"".join([table[i if 0 <= i < len(table) else UNK_ID] for i in row])
             # Byte pieces never stand for a mark, so a leading blank from one is kept.
             marked = bool(row) and row[0] >= FIRST_PIECE_ID and data.startswith(b" ")
             return data[marked:].decode("utf-8", "replace")

@@ -14,6 +14,9 @@ def _system_block(text: Column) -> Column:
     return F.concat(F.lit(B_SYS), text, F.lit(E_SYS))
 
 
+NO_CONTENT = "missing content"
+
+
 def render_message(role: Column, content: Column) -> Column:
     """One message with its markers. Roles other than the three known ones render to nothing."""
     body = strip(content)
@@ -52,7 +55,8 @@ def render_messages(
             ).otherwise(m["content"]),
         ),
     )
-    reason = F.when(misplaced, F.lit("roles do not alternate"))
+    missing = F.exists(messages, lambda m: m["content"].isNull())
+    reason = F.when(misplaced, F.lit("roles do not alternate")).when(missing, F.lit(NO_CONTENT))
     return F.when(reason.isNull(), F.array_join(rendered, "")), reason
 
 
@@ -73,6 +77,7 @@ def render_conversations(df: DataFrame, slab: int = SLAB) -> DataFrame:
             F.count(F.lit(1)).alias("n"),
             F.max("turn").alias("last"),
             F.max(leads.cast("int")).alias("has_system"),
+            F.sum(F.col("text").isNull().cast("int")).alias("no_text"),
             # Misplaced roles if the loop starts at message 0, and if it starts at 1.
             F.sum((is_user != even).cast("int")).alias("bad_plain"),
             F.sum(((is_user == even) & ~leads).cast("int")).alias("bad_system"),
@@ -84,6 +89,7 @@ def render_conversations(df: DataFrame, slab: int = SLAB) -> DataFrame:
         F.sum("n").alias("n_turns"),
         F.max("last").alias("last"),
         F.max("has_system").alias("has_system"),
+        F.sum("no_text").alias("no_text"),
         F.sum("bad_plain").alias("bad_plain"),
         F.sum("bad_system").alias("bad_system"),
         F.array_sort(F.collect_list(F.struct("slab", "part"))).alias("parts"),
@@ -93,7 +99,7 @@ def render_conversations(df: DataFrame, slab: int = SLAB) -> DataFrame:
     )
     reason = F.when(F.col("last") + 1 != F.col("n_turns"), "missing turn").when(
         misplaced > 0, "roles do not alternate"
-    )
+    ).when(F.col("no_text") > 0, NO_CONTENT)
     chat = F.array_join(F.col("parts")["part"], "")
     return joined.select(
         "conv_id",

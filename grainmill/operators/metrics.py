@@ -30,9 +30,16 @@ def micros(df: DataFrame, ts: str) -> Column:
 def number_steps(
     df: DataFrame, *, run: str, ts: str, tie: str, slice_seconds: int = 86_400
 ) -> DataFrame:
-    """``step`` 0, 1, .. per run by time. Time slices keep one long run from one task."""
+    """``step`` 0, 1, .. per run by time. Time slices keep one long run from one task.
+
+    Rows without a run or a time have no step; they are kept, with a null.
+    """
+    known = F.col(run).isNotNull() & F.col(ts).isNotNull()
+    lost = df.where(~known).withColumn("step", F.lit(None).cast("bigint"))
+    df = df.where(known)
     slice_no = F.floor(micros(df, ts) / (slice_seconds * 1_000_000))
-    return with_positions(df, [ts, tie], slice_no, group=[run], position="step")
+    numbered = with_positions(df, [ts, tie], slice_no, group=[run], position="step")
+    return numbered.unionByName(lost)
 
 
 def _no_time() -> Column:

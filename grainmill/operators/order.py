@@ -14,12 +14,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from grainmill.functions.hashing import shuffle_bucket, shuffle_key
 from grainmill.session import shuffle_partitions
+from grainmill.sources.tables import via_table
 
 ORDER = "_order"
 SLICE = "_slice"
 SLICES_PER_PARTITION = 4
-# Rows of a broadcast border table, at about 150 bytes each.
-BROADCAST_CELLS = 200_000
 
 
 def default_slices(df: DataFrame) -> int:
@@ -123,10 +122,11 @@ def with_shuffled_spans(
 
     For that, slice borders are shifted to span borders. The keys and weights alone tell, per
     slice, which row starts the first span; rows before it go to the cell where their span
-    started, and a row that lies across is sent to both. The border table has one row per
-    shard and slice, and as many slices as allow it to be broadcast.
+    started, and a row that lies across is sent to both. Rows that share a key are one entry
+    of the keys, so a border never falls between them: all of them go to both sides, and are
+    ordered by a hash of their content on either.
     """
-    n = n_slices or min(default_slices(df), max(1, BROADCAST_CELLS // num_shards))
+    n = n_slices or default_slices(df)
     units = F.col(weight) if weight else F.lit(1)
     place = F.struct(ORDER, key)
 
@@ -134,16 +134,17 @@ def with_shuffled_spans(
         keyed = rows.withColumn(ORDER, shuffle_key(seed, F.col(key)))
         return keyed.withColumn(SLICE, shuffle_bucket(F.col(ORDER), n))
 
-    cells = _span_cells(sliced(df.select(shard, key, units.alias("_units"))), key, shard, size)
-    if n * num_shards <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
+    entries = df.groupBy(shard, key).agg(F.sum(units).alias("_units"))
+    # Written, so that its size is known when the join is chosen.
+    cells = via_table(_span_cells(sliced(entries), key, shard, size), "span-cells")
+    tie = F.xxhash64(*[c for c in df.columns if c not in (shard, key)])
     in_own = place >= F.col("_own_from")
     in_home = F.coalesce(place < F.col("_home_until"), F.lit(True))
     targets = F.array_compact(
         F.array(F.when(in_own, F.col("_own")), F.when(in_home, F.col("_home")))
     )
     earlier = (
-        W.partitionBy(shard, "cell").orderBy(ORDER, key).rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(shard, "cell").orderBy(ORDER, key, tie).rowsBetween(W.unboundedPreceding, -1)
     )
     return (
         sliced(df)

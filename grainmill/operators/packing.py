@@ -8,8 +8,6 @@ from grainmill.constants import PAD_ID
 from grainmill.functions.sequences import pad_to
 
 SHARD = "shard"
-# Two numbers per shard: a broadcast of at most a few MB.
-BROADCAST_SHARDS = 100_000
 
 
 def _count_up(n: Column) -> Column:
@@ -55,6 +53,7 @@ def pack_groups(
     doc = F.struct("before", F.col(ids).alias("ids"))
     groups = (
         df.withColumn("grp", F.floor(F.col("before") / num_sequences))
+        .where((F.col("grp") >= F.col("first_span")) & (F.col("grp") < F.col("end_span")))
         .groupBy(shard, "cell", "grp")
         .agg(F.collect_list(doc).alias("docs"))
         .filter(F.size("docs") == num_sequences)
@@ -108,33 +107,3 @@ def pack_stream(
         .filter(F.col("n") == seq_length)
         .select(shard, "chunk", F.flatten(F.array_sort("pieces")["ids"]).alias(ids))
     )
-
-
-def emitted_chunks(
-    df: DataFrame,
-    seq_length: int,
-    *,
-    shard: str = SHARD,
-    position: str = "pos",
-    tokens_before: str = "tokens_before",
-) -> DataFrame:
-    """Number of chunks per shard that a reader emitting at most one chunk per row reaches.
-
-    Such a reader looks at its backlog once per incoming row m = 0, 1, .., before that row is
-    added. With T(m) tokens before row m it has emitted n + min over m <= n of
-    (floor(T(m) / seq_length) - m) chunks at row n; for the last row this is an aggregate.
-    Rows without tokens (rejected ones, say) count as rows.
-    """
-    slack = F.floor(F.col(tokens_before) / seq_length) - F.col(position)
-    return df.groupBy(shard).agg((F.max(position) + F.min(slack)).alias("n_emitted"))
-
-
-def keep_emitted(
-    chunks: DataFrame, emitted: DataFrame, num_shards: int, *, shard: str = SHARD
-) -> DataFrame:
-    """The chunks such a reader emits. ``emitted`` has one small row per shard."""
-    if num_shards <= BROADCAST_SHARDS:
-        emitted = F.broadcast(emitted)
-    return chunks.join(emitted, shard).filter(F.col("chunk") < F.col("n_emitted")).drop(
-        "n_emitted"
-    )

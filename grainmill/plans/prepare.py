@@ -129,17 +129,6 @@ def pack_tokens(
     )
 
 
-def emitted_limits(
-    df: DataFrame, cfg: PrepConfig, n_tokens: Column, *, key: str = "doc_id"
-) -> DataFrame:
-    """Per shard, how many of its chunks a reader that emits one per row gets to."""
-    placed = with_shuffled_positions(
-        with_shard(df.select(key, n_tokens.alias("n_tokens")), cfg, key), key, cfg.seed,
-        group=[packing.SHARD], weight="n_tokens", weight_before="tokens_before",
-    )
-    return packing.emitted_chunks(placed, cfg.seq_length)
-
-
 def read_sequences(
     df: DataFrame,
     transforms: Mapping[str, Column],
@@ -147,25 +136,25 @@ def read_sequences(
     *,
     key: str = "doc_id",
     source: str = "source",
-    stage: bool = False,
 ) -> DataFrame:
     """Per-source transforms to lists of token lists, packed end to end within each shard.
 
-    Packing needs the lengths of the lists before it needs the lists. With ``stage`` they are
-    written once and read twice: for transforms that cost more than the writing does.
+    Packing needs the lengths of the lists before it needs the lists, so they are written once
+    and read twice; the transforms run once.
     """
     done = accepted(
         apply_by_source(df, transforms, source=source, out="parts", split_rows=False)
     )
-    tokens = done.select(key, F.flatten("parts").alias("input_ids"))
-    if stage:
-        tokens = via_table(tokens, "sequences")
+    tokens = via_table(done.select(key, F.flatten("parts").alias("input_ids")), "sequences")
     return pack_tokens(tokens, cfg, lambda ids: ids, F.size("input_ids"), key=key, text="input_ids")
 
 
 def to_batches(df: DataFrame, cfg: PrepConfig, key: str) -> DataFrame:
-    """Final shuffle, ranks and batches of finished training rows (``key`` is unique)."""
-    placed = with_shuffled_positions(df, key, cfg.seed)
+    """Final shuffle, ranks and batches of finished training rows (``key`` is unique).
+
+    Rows are counted and then placed, so they are written once instead of being made twice.
+    """
+    placed = with_shuffled_positions(via_table(df, "rows"), key, cfg.seed)
     return assign_batches(placed, cfg.world_size, cfg.train_batch_size)
 
 

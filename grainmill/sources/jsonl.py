@@ -35,6 +35,8 @@ def read_jsonl(
         try:
             parts[source] = spark.read.schema(schema).json(pattern, mode="FAILFAST")
         except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise ValueError(f"source {source!r}: no file matches {pattern}") from e
     return union_sources(parts, name)
 
@@ -83,12 +85,17 @@ def stream_jsonl(
     *,
     max_files: int = 1000,
     source: str = "source",
+    strict: bool = True,
 ) -> DataFrame:
-    """JSON-lines files of a folder as a stream, at most ``max_files`` per micro-batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
+    """JSON-lines files of a folder as a stream, at most ``max_files`` per micro-batch.
+
+    A bad line stops a strict stream. Otherwise it is kept with a ``reject_reason``, for
+    ``accepted`` and ``rejects`` to split, and never becomes a row of data.
+    """
+    lines = (
+        spark.readStream.option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", f"*{SUFFIX}")
-        .json(folder)
+        .text(folder)
         .withColumn(source, source_tag(F.input_file_name()))
     )
+    return parse_lines(lines, schema, strict=strict)

@@ -8,7 +8,7 @@ from grainmill.session import shuffle_partitions
 
 
 def write_batches(df: DataFrame, path: str) -> None:
-    """One folder per rank, batches in order inside its files.
+    """One folder per rank, batches in order inside its files, rows by ``pos`` inside a batch.
 
     Ranging over (rank, batch) gives every rank as many files as its size asks for, and
     keeps a batch in one file.
@@ -16,7 +16,7 @@ def write_batches(df: DataFrame, path: str) -> None:
     n = shuffle_partitions(df.sparkSession)
     (
         df.repartitionByRange(n, "rank", "batch_id")
-        .sortWithinPartitions("rank", "batch_id")
+        .sortWithinPartitions("rank", "batch_id", *(c for c in ["pos"] if c in df.columns))
         .write.partitionBy("rank")
         .parquet(path)
     )

@@ -4,35 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from grainmill.session import scratch_dir
 
-# A table that is smaller than this per core is spread over the cores.
-SMALL_BYTES_PER_CORE = 128 << 20
-
-
-def is_small(spark: SparkSession, path: str) -> bool:
-    """The table has fewer files than there are cores, and few bytes for each core.
-
-    Such a table may be one file with one row group, which one task would read and prepare.
-    Only the file list is looked at. A large table is never spread: its scan has a task for
-    every part of a file, and an exchange of all rows would gain nothing.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    n, size = files.agg(F.count("length"), F.sum("length")).first()
-    return n < cores and (size or 0) <= cores * SMALL_BYTES_PER_CORE
-
-
-def spread(df: DataFrame) -> DataFrame:
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}.parquet"
-    table = spark.read.parquet(path)
-    return spread(table) if is_small(spark, path) else table
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def stream_table(
@@ -40,13 +17,12 @@ def stream_table(
 ) -> DataFrame:
     """The same table as a stream; a stream source is a folder, so the file is a filter."""
     path = f"{folder}/{name}.parquet"
-    stream = (
+    return (
         spark.readStream.schema(spark.read.parquet(path).schema)
         .option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", f"{name}.parquet")
         .parquet(folder)
     )
-    return spread(stream) if is_small(spark, path) else stream
 
 
 def prompt_set(spark: SparkSession, prompts: Iterable[str]) -> DataFrame:

@@ -76,3 +76,16 @@ def test_a_lost_turn_is_rejected(spark):
     df = messages(spark, {1: [("user", "u"), ("assistant", "a"), ("user", "v")]})
     row = chat.render_conversations(df.filter("turn <> 1")).first()
     assert row.reject_reason == "missing turn" and row.chat is None
+
+
+def test_missing_content_is_a_reject(spark):
+    rows = [("user", "hi"), ("assistant", None), ("user", "bye")]
+    messages = spark.createDataFrame([(1, rows)], "id int, messages array<struct<role: string, content: string>>")
+    text, reason = chat.render_messages(F.col("messages"))
+    got = messages.select(text.alias("text"), reason.alias("reason")).first()
+    assert got.text is None and got.reason == "missing content"
+    table = spark.createDataFrame(
+        [(1, i, r, c) for i, (r, c) in enumerate(rows)], "conv_id long, turn long, role string, text string"
+    )
+    got = chat.render_conversations(table).first()
+    assert got.chat is None and got.reject_reason == "missing content"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill import PrepConfig
+from grainmill.constants import PAD_ID
 from grainmill.functions.hashing import shard_of, shuffle_key
 from grainmill.functions.text import code_points
 from grainmill.operators import order, packing
@@ -21,15 +22,12 @@ def loop_groups(docs, length, n, pad=3):
     return out
 
 
-def loop_stream(docs, length, legacy):
-    """A reader with a token cache; the old one looks at it once, before adding a row."""
+def loop_stream(docs, length):
+    """A reader with a token cache."""
     cache, out = [], []
     for d in docs:
-        if legacy and len(cache) >= length:
-            out.append(cache[:length])
-            cache = cache[length:]
         cache = cache + d
-        while not legacy and len(cache) >= length:
+        while len(cache) >= length:
             out.append(cache[:length])
             cache = cache[length:]
     return out
@@ -61,6 +59,7 @@ def test_split_sequences(spark):
 def test_pack_groups(spark, docs, length, want):
     rows = [(0, 0, i, d) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "shard int, cell int, before bigint, input_ids array<int>")
+    df = df.withColumn("first_span", F.lit(0)).withColumn("end_span", F.lit(99))
     assert packed(packing.pack_groups(df, length, 2)) == want
 
 
@@ -74,9 +73,6 @@ def test_pack_stream_fixture(spark):
     chunks = packing.pack_stream(df, 3)
     ids = [r.input_ids for r in chunks.orderBy("chunk").collect()]
     assert ids == [[5, 6, 7], [8, 9, 10], [11, 12, 13]]
-    emitted = packing.emitted_chunks(df.withColumnRenamed("before", "tokens_before"), 3)
-    old = packing.keep_emitted(chunks, emitted, 1)
-    assert [r.input_ids for r in old.orderBy("chunk").collect()] == ids[:2]
 
 
 def random_docs(n, longest, seed=1):
@@ -105,14 +101,34 @@ def test_stream_packing_equals_a_loop(spark, n_slices, n_docs, longest, length):
     chunks = prepare.pack_tokens(
         df, cfg, lambda ids: ids, F.size("input_ids"), text="input_ids", n_slices=n_slices
     )
-    emitted = prepare.emitted_limits(df, cfg, F.size("input_ids"))
-    old = packing.keep_emitted(chunks, emitted, 3)
-    for rows, legacy in ((chunks, False), (old, True)):
-        got = {}
-        for r in rows.orderBy("shard", "chunk").collect():
-            got.setdefault(r.shard, []).append(r.input_ids)
-        want = {s: loop_stream(d, length, legacy) for s, d in by_shard.items()}
-        assert got == {s: w for s, w in want.items() if w}
+    got = {}
+    for r in chunks.orderBy("shard", "chunk").collect():
+        got.setdefault(r.shard, []).append(r.input_ids)
+    want = {s: loop_stream(d, length) for s, d in by_shard.items()}
+    assert got == {s: w for s, w in want.items() if w}
+
+
+@pytest.mark.parametrize("n_slices", [1, 8, 64])
+def test_repeated_keys_lose_nothing(spark, n_slices):
+    """Each key on several rows, equal and different ones: every token is packed once."""
+    docs = random_docs(60, 30)
+    rows = [(k, d) for k, d in docs.items()] + [(k, d) for k, d in docs.items()]
+    rows += [(k, [200 + k] * (k % 5 + 1)) for k in docs]
+    df = spark.createDataFrame(rows, "doc_id bigint, input_ids array<int>")
+    cfg = PrepConfig(mode="pretrain", seq_length=1, num_shards=1)
+    chunks = prepare.pack_tokens(
+        df, cfg, lambda ids: ids, F.size("input_ids"), text="input_ids", n_slices=n_slices
+    )
+    got = sorted(r.input_ids[0] for r in chunks.collect())
+    assert got == sorted(i for _, d in rows for i in d)
+    cfg = PrepConfig(
+        mode="pretrain", seq_length=10, pad_to_max=False, sequence_sample_mode="none",
+        concat_multiple_sequence=True, num_sequences=4, num_shards=1,
+    )
+    texts = df.select("doc_id", F.col("input_ids").alias("text"))
+    packed_rows = prepare.pretrain(texts, cfg, lambda ids: ids, n_slices=n_slices)
+    tokens = sorted(i for r in packed_rows.collect() for i in r.input_ids if i != PAD_ID)
+    assert tokens == sorted(i for _, d in rows for i in d)
 
 
 @pytest.mark.parametrize(

@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from workloads import QUERIES, SQL
 from tools.check_oracle import compare, connect
 
 
@@ -12,13 +13,13 @@ def duck(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(SQL) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    got = queries()[name](spark, sf_dir).toPandas()
-    assert compare(got, duck.execute(oracle_sql()[name]).df()) == "ok"
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    assert compare(got, duck.execute(SQL[name]).df()) == "ok"
 
 
 def test_entry(spark):

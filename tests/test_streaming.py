@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from grainmill import PrepConfig
 from grainmill.functions.text import code_points
+from grainmill.operators.dispatch import accepted, rejects
 from grainmill.plans import prepare
 from grainmill.sources import jsonl
 from grainmill.streaming import packing, run
@@ -48,7 +49,7 @@ def test_carry_over_packing(spark, docs, tmp_path):
     for r in rows.orderBy("shard", "chunk").collect():
         assert r.chunk == len(got.setdefault(r.shard, []))
         got[r.shard].append(r.input_ids)
-    assert got == {s: loop_stream(d, 7, legacy=False) for s, d in by_shard(docs).items()}
+    assert got == {s: loop_stream(d, 7) for s, d in by_shard(docs).items()}
     assert 0 < n_first < rows.count()
 
 
@@ -92,3 +93,16 @@ def test_row_wise_preparation(spark, tmp_path, changes):
     cols = [F.col(c) for c in batch.columns]
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.collect()))
     assert streamed.count() > 0
+
+
+def test_a_bad_line_of_a_stream_is_a_reject(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "part-web-0.jsonl").write_text('{"doc_id": 1, "text": "good"}\n{"doc_id": 2, "te\n')
+    schema = spark.createDataFrame([(1, "x")], "doc_id bigint, text string").schema
+    lenient = jsonl.stream_jsonl(spark, str(tmp_path / "in"), schema, strict=False)
+    rows = run.run_to_table(lenient, str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [r.doc_id for r in accepted(rows).collect()] == [1]
+    assert [r.reject_reason for r in rejects(rows).collect()] == ["invalid JSON"]
+    strict = jsonl.stream_jsonl(spark, str(tmp_path / "in"), schema)
+    with pytest.raises(Exception):
+        run.run_to_table(strict, str(tmp_path / "out2"), str(tmp_path / "cp2"))

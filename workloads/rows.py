@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.config import PrepConfig
-from grainmill.functions.sequences import truncate
+from grainmill.functions import sequences as S
 from grainmill.functions.text import code_points, source_tag
 from grainmill.operators import dispatch, metrics, order, packing, sharding, templates
 from grainmill.plans import prepare
@@ -289,15 +289,20 @@ def resume_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "token_budget",
-    f"""SELECT source, count(*) AS n_rows, sum(least(length(text), {LENGTH}))::BIGINT AS n_tokens,
-           sum(greatest(least(length(text), {LENGTH}) - 1, 0))::BIGINT AS n_loss_tokens
-    FROM documents GROUP BY source""",
+    f"""WITH pieces AS (
+      SELECT source, length(text) AS n, (length(text) + {LENGTH} - 1) // {LENGTH} AS n_rows FROM documents)
+    SELECT source, sum(n_rows)::BIGINT AS n_rows, sum(n)::BIGINT AS n_tokens,
+           sum(n - n_rows)::BIGINT AS n_loss_tokens
+    FROM pieces WHERE n > 0 GROUP BY source""",
 )
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(
-        "source", F.size(truncate(code_points(F.col("text")), LENGTH)).alias("n")
+    docs = documents(spark, sf_dir).select("source", code_points(F.col("text")).alias("ids"))
+    labels = S.pretrain_labels(F.col("ids"))
+    rows = packing.cut_padded(docs, LENGTH, ids="ids").select(
+        "source", S.n_loss_tokens(labels).alias("n"),
+        S.n_loss_tokens(S.shifted_targets(labels)).alias("n_loss"),
     )
-    return metrics.token_budget(docs, F.col("n"), F.greatest(F.col("n") - 1, F.lit(0)))
+    return metrics.token_budget(rows, F.col("n"), F.col("n_loss"))
 
 
 # Events as a step log: a user is a run, its events in time order are the steps.

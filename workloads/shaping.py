@@ -45,6 +45,11 @@ SQL_IDS = f"ids AS (SELECT doc_id, {sql_points()} AS ids FROM documents)"
 SQL_PADDED = f"""{SQL_IDS}, padded AS (
   SELECT doc_id, len(ids) AS n, list_resize(ids[1:{ROW_LENGTH}], {ROW_LENGTH}, {PAD_ID}) AS ids
   FROM ids)"""
+# Every text in rows of ROW_LENGTH, the last one padded: no token is left out.
+SQL_PIECES = f"""{SQL_IDS}, pieces AS (
+  SELECT doc_id, chunk, least({ROW_LENGTH}, len(ids) - chunk * {ROW_LENGTH}) AS n,
+         list_resize(ids[chunk * {ROW_LENGTH} + 1 : (chunk + 1) * {ROW_LENGTH}], {ROW_LENGTH}, {PAD_ID}) AS ids
+  FROM (SELECT doc_id, ids, unnest(range((len(ids) + {ROW_LENGTH} - 1) // {ROW_LENGTH})) AS chunk FROM ids))"""
 SQL_LABELS = f"list_transform(ids, lambda x: CASE WHEN x = {PAD_ID} THEN {IGNORE_INDEX} ELSE x END)"
 SQL_PLACED = f"""placed AS (
   SELECT doc_id, text, shard,
@@ -120,22 +125,6 @@ def pack_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_digests(streamed_chunks(spark, sf_dir))
 
 
-@query(
-    "pack_stream_legacy",
-    f"""WITH {SQL_PLACED}, {SQL_STREAM},
-    before AS (
-      SELECT shard, pos, coalesce(sum(length(text)) OVER (PARTITION BY shard ORDER BY pos
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM placed),
-    emitted AS (
-      SELECT shard, max(pos) + min(t::BIGINT // 600 - pos) AS n FROM before GROUP BY shard)
-    {SQL_CHUNK_DIGESTS} FROM cut JOIN emitted USING (shard) WHERE chunk < n""",
-)
-def pack_stream_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    emitted = prepare.emitted_limits(documents(spark, sf_dir), PACKED, F.length("text"))
-    chunks = streamed_chunks(spark, sf_dir)
-    return chunk_digests(packing.keep_emitted(chunks, emitted, SHARDS))
-
-
 @query(
     "split_chunks",
     f"""WITH {SQL_IDS}
@@ -174,6 +163,13 @@ def padded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in padded rows, with the number of tokens and the mask of each."""
+    rows = packing.cut_padded(document_ids(spark, sf_dir), ROW_LENGTH, ids="input_ids")
+    used = F.size(F.filter("input_ids", lambda x: x != PAD_ID))
+    return rows.withColumn("mask", S.attention_mask(used, ROW_LENGTH))
+
+
 SQL_MASK = f"list_transform(range({ROW_LENGTH}), lambda i: (i < n)::INT)"
 
 
@@ -192,53 +188,51 @@ def truncate_pad_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pretrain_labels",
-    f"""WITH {SQL_PADDED}
-    SELECT doc_id, {sql_digest(SQL_LABELS)} AS labels_md5 FROM padded""",
+    f"""WITH {SQL_PIECES}
+    SELECT doc_id, chunk, {sql_digest(SQL_LABELS)} AS labels_md5 FROM pieces""",
 )
 def pretrain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = padded_documents(spark, sf_dir)
-    return rows.select("doc_id", digest(S.pretrain_labels(F.col("input_ids"))).alias("labels_md5"))
+    labels = S.pretrain_labels(F.col("input_ids"))
+    return document_pieces(spark, sf_dir).select("doc_id", "chunk", digest(labels).alias("labels_md5"))
 
 
 @query(
     "shifted_targets",
-    f"""WITH {SQL_PADDED}, labels AS (SELECT doc_id, {SQL_LABELS}[2:] AS targets FROM padded)
-    SELECT doc_id, {sql_digest('targets')} AS targets_md5,
+    f"""WITH {SQL_PIECES}, labels AS (SELECT doc_id, chunk, {SQL_LABELS}[2:] AS targets FROM pieces)
+    SELECT doc_id, chunk, {sql_digest('targets')} AS targets_md5,
            len(list_filter(targets, lambda x: x <> {IGNORE_INDEX}))::BIGINT AS n_loss_tokens
     FROM labels""",
 )
 def shifted_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = padded_documents(spark, sf_dir).select(
-        "doc_id", S.shifted_targets(S.pretrain_labels(F.col("input_ids"))).alias("targets")
+    rows = document_pieces(spark, sf_dir).select(
+        "doc_id", "chunk", S.shifted_targets(S.pretrain_labels(F.col("input_ids"))).alias("targets")
     )
     return rows.select(
-        "doc_id", digest("targets").alias("targets_md5"),
+        "doc_id", "chunk", digest("targets").alias("targets_md5"),
         big(S.n_loss_tokens(F.col("targets"))).alias("n_loss_tokens"),
     )
 
 
 @query(
     "position_ids",
-    f"""WITH {SQL_PADDED}
-    SELECT doc_id, {sql_digest(f'list_transform(range({ROW_LENGTH}), lambda i: CASE WHEN i < n THEN i ELSE 1 END)')}
-           AS positions_md5 FROM padded""",
+    f"""WITH {SQL_PIECES}
+    SELECT doc_id, chunk, {sql_digest(f'list_transform(range({ROW_LENGTH}), lambda i: CASE WHEN i < n THEN i ELSE 1 END)')}
+           AS positions_md5 FROM pieces""",
 )
 def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = padded_documents(spark, sf_dir)
-    return rows.select(
-        "doc_id", digest(S.right_padded_position_ids(F.col("mask"))).alias("positions_md5")
-    )
+    places = S.position_ids(F.col("mask"))
+    return document_pieces(spark, sf_dir).select("doc_id", "chunk", digest(places).alias("positions_md5"))
 
 
 @query(
     "last_token",
-    f"""WITH {SQL_PADDED}
-    SELECT doc_id, CASE WHEN n >= {ROW_LENGTH} THEN -1 ELSE n - 1 END::BIGINT AS last_index
-    FROM padded""",
+    f"""WITH {SQL_PIECES}
+    SELECT doc_id, chunk, CASE WHEN n >= {ROW_LENGTH} THEN -1 ELSE n - 1 END::BIGINT AS last_index
+    FROM pieces""",
 )
 def last_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = padded_documents(spark, sf_dir)
-    return rows.select("doc_id", big(S.last_token_index(F.col("input_ids"))).alias("last_index"))
+    rows = document_pieces(spark, sf_dir)
+    return rows.select("doc_id", "chunk", big(S.last_token_index(F.col("input_ids"))).alias("last_index"))
 
 
 def _sql_uniform(draw: int) -> str:

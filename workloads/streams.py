@@ -20,7 +20,7 @@ from workloads.shaping import (
     SQL_CHUNK_DIGESTS,
     SQL_GROUPS,
     SQL_LABELS,
-    SQL_PADDED,
+    SQL_IDS,
     SQL_STREAM,
     chunk_digests,
 )
@@ -48,12 +48,14 @@ def finished(stream: DataFrame, name: str) -> DataFrame:
 
 @query(
     "stream_prep",
-    f"""WITH {SQL_PADDED}
+    f"""WITH {SQL_IDS}
     SELECT doc_id, {sql_digest('ids')} AS ids_md5, {sql_digest(SQL_LABELS)} AS labels_md5
-    FROM padded""",
+    FROM ids""",
 )
 def stream_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cfg = PrepConfig(mode="pretrain", seq_length=1024)
+    cfg = PrepConfig(
+        mode="pretrain", seq_length=1024, pad_to_max=False, sequence_sample_mode="none"
+    )
     docs = stream_table(spark, sf_dir, "documents")
     rows = finished(prepare.pretrain(docs, cfg, code_points), "stream_prep")
     return rows.select(

@@ -74,10 +74,10 @@ def decode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.array_join(pieces, " ").alias("decoded"))
 
 
-# A subword vocabulary taken from the corpus: the most frequent character runs of up to four
+# A subword vocabulary taken from the corpus: the most frequent character runs of up to 16
 # characters inside words that carry the word mark. (The engine reads vocabularies; this one
 # stands for a given file, and comes from the tables so that it grows with them.)
-RUN_LENGTH = 4
+RUN_LENGTH = 16
 SUBWORDS = 4_000
 
 
