@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from grainmill.session import shuffle_partitions
 
@@ -29,3 +29,26 @@ def write_rejects(df: DataFrame, path: str) -> None:
 def append_step_log(df: DataFrame, path: str) -> None:
     """Add rows of step metrics, or of (question, prediction), to a log table."""
     df.write.mode("append").parquet(path)
+
+
+def write_jsonl(df: DataFrame, folder: str, *, source: str = "source", line: str = "value") -> None:
+    """Files ``part-<source>-<n>.jsonl`` with one line per row, by Spark's own writer.
+
+    The driver renames the files, by whatever file system the folder is in; it sees no rows.
+    """
+    spark = df.sparkSession
+    staged = f"{folder.rstrip('/')}/_staged"
+    df.select(F.col(line).alias("value"), F.col(source).alias("_source")).write.partitionBy(
+        "_source"
+    ).text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(staged)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.listStatus(root):
+        if not part.isDirectory():
+            continue
+        name = part.getPath().getName().partition("=")[2]
+        for n, file in enumerate(fs.listStatus(part.getPath())):
+            target = hadoop.Path(f"{folder.rstrip('/')}/part-{name}-{n:02d}.jsonl")
+            if not fs.rename(file.getPath(), target):
+                raise OSError(f"cannot rename {file.getPath()} to {target}")

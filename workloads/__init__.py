@@ -1,6 +1,6 @@
 """Queries on the test tables, one per operator or job."""
 
-from workloads import dialogue, rows, shaping, streams, tokens  # noqa: F401
+from workloads import dialogue, files, rows, shaping, streams, tokens  # noqa: F401
 from workloads.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
