@@ -6,6 +6,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 MODES = ("pretrain", "instruct")
+# Keys of a recipe's data section that steer training alone.
+TRAINING_ONLY = {"tokenizer_model_path"}
 SAMPLE_MODES = ("truncation", "none", "sample", "split")
 
 
@@ -50,9 +52,15 @@ class PrepConfig:
 
     @classmethod
     def from_dict(cls, recipe: Mapping) -> "PrepConfig":
-        """Build from a recipe with a ``data`` section and, optionally, a ``train`` section."""
+        """Build from a recipe with a ``data`` section and, optionally, a ``train`` section.
+
+        A key of the data section that is not known is an error, so a misspelt one is found.
+        """
         known = {f.name for f in fields(cls)}
         section = recipe["data"]
+        unknown = set(section) - known - TRAINING_ONLY
+        if unknown:
+            raise ValueError(f"unknown keys in the recipe: {sorted(unknown)}")
         values = {k: v for k, v in section.items() if k in known}
         train = recipe.get("train") or {}
         values.update({k: train[k] for k in ("train_batch_size",) if k in train})

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.config import PrepConfig
 from grainmill.functions import sequences as S
@@ -16,9 +16,13 @@ from grainmill.operators import packing
 from grainmill.operators.dispatch import accepted, apply_by_source
 from grainmill.operators.order import sanity_limit, with_shuffled_spans, with_shuffled_positions
 from grainmill.operators.sharding import assign_batches
+from grainmill.sources.jsonl import read_jsonl
 from grainmill.sources.tables import via_table
 from grainmill.operators.templates import preference_pairs, render_instructions
 
+INSTRUCTION_COLUMNS = (
+    "instruction string, input string, output string, history array<array<string>>"
+)
 Encode = Callable[[Column], Column]
 
 
@@ -149,6 +153,40 @@ def read_sequences(
     return pack_tokens(tokens, cfg, lambda ids: ids, F.size("input_ids"), key=key, text="input_ids")
 
 
+def run(
+    spark: SparkSession, cfg: PrepConfig, encode: Encode, *, key: str | None = None
+) -> DataFrame:
+    """The whole job of a recipe: its files, its mode, its ranks and batches.
+
+    ``key`` names a column of the files. Without one, a row is known by its source and content;
+    equal rows share a key and are all kept. With ``split_by_shard`` a rank gets whole shards,
+    otherwise every ``world_size``-th row.
+    """
+    if not cfg.data:
+        raise ValueError("the recipe names no data")
+    columns = "text string" if cfg.mode == "pretrain" else INSTRUCTION_COLUMNS
+    schema = f"{key} long, {columns}" if key else columns
+    rows = read_jsonl(spark, cfg.data, T.StructType.fromDDL(schema))
+    if key is None:
+        key = "row_key"
+        content = F.to_json(F.struct(*rows.columns))
+        rows = rows.withColumn(key, F.md5(content))
+    if cfg.mode == "pretrain":
+        made = pretrain(rows, cfg, encode, key=key)
+        if cfg.concat_multiple_sequence:
+            key = "row_key"
+            made = made.withColumn(key, F.concat_ws("-", packing.SHARD, "grp", "chunk"))
+    else:
+        made = instruct(rows, cfg, encode)
+    if not cfg.split_by_shard:
+        return to_batches(made, cfg, key)
+    if packing.SHARD not in made.columns:
+        made = with_shard(made, cfg, key)
+    made = via_table(made.withColumn("rank", F.col(packing.SHARD) % cfg.world_size), "rows")
+    placed = with_shuffled_positions(made, key, cfg.seed, group=["rank"])
+    return placed.withColumn("batch_id", F.floor(F.col("pos") / cfg.train_batch_size))
+
+
 def to_batches(df: DataFrame, cfg: PrepConfig, key: str) -> DataFrame:
     """Final shuffle, ranks and batches of finished training rows (``key`` is unique).
 

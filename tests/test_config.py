@@ -43,3 +43,9 @@ def test_from_yaml(tmp_path):
     cfg = PrepConfig.from_yaml(str(path))
     assert (cfg.seq_length, cfg.num_sequences, cfg.train_batch_size) == (600, 10, 24)
     assert cfg.data == {"a": "x/*.jsonl"} and not cfg.pad_to_max
+
+
+def test_misspelt_keys_are_refused():
+    recipe = {"data": {"mode": "pretrain", "seq_length": 8, "pad_to_maxx": True}}
+    with pytest.raises(ValueError, match="pad_to_maxx"):
+        PrepConfig.from_dict(recipe)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from grainmill.config import PrepConfig
 from grainmill.functions.text import code_points
 from grainmill.operators import dispatch
 from grainmill.plans import prepare
@@ -12,7 +13,7 @@ from grainmill.sources import jsonl, sinks
 from grainmill.sources.tables import read_table
 from grainmill.streaming import packing as stream_packing, run
 from workloads import rows
-from workloads.base import big, query, sql_shard
+from workloads.base import big, digest, query, sql_digest, sql_order, sql_points, sql_shard
 from workloads.shaping import PACKED, SQL_CHUNK_DIGESTS, SQL_STREAM, chunk_digests, documents
 from workloads.streams import STREAMED
 
@@ -141,3 +142,50 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks = stream_packing.pack_stream_stateful(ids, STREAMED.seq_length)
         out = run.run_to_table(chunks, f"{folder}/out", f"{folder}/checkpoint")
     return chunk_digests(out)
+
+
+RECIPE = {
+    "data": {
+        "mode": "pretrain", "seq_length": 600, "pad_to_max": False, "sequence_sample_mode": "none",
+        "num_shards": 8, "world_size": 4,
+    },
+    "train": {"train_batch_size": 24},
+}
+
+
+def recipe_rows(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
+    """The recipe over the documents as JSON-lines files of two sources."""
+    folder = scratch_dir(spark, "recipe")
+    line = F.to_json(F.struct("doc_id", "text"))
+    side = F.when(F.col("doc_id") % 3 == 0, "books").otherwise("web")
+    sinks.write_jsonl(documents(spark, sf_dir).select(side.alias("source"), line.alias("value")), folder)
+    files = {s: f"{folder}/part-{s}-*.jsonl" for s in ("books", "web")}
+    cfg = PrepConfig.from_dict({**RECIPE, "data": {**RECIPE["data"], "data": files, **changes}})
+    made = prepare.run(spark, cfg, code_points, key="doc_id")
+    return made.select(
+        "doc_id", big("rank").alias("rank"), big("batch_id").alias("batch_id"),
+        digest("input_ids").alias("ids_md5"),
+    )
+
+
+@query(
+    "recipe_pretrain",
+    f"""WITH {rows.SQL_SHUFFLED}
+    SELECT doc_id, (pos % 4)::BIGINT AS rank, ((pos // 4) // 24)::BIGINT AS batch_id,
+           {sql_digest(sql_points())} AS ids_md5
+    FROM shuffled JOIN documents USING (doc_id)""",
+)
+def recipe_pretrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipe_rows(spark, sf_dir)
+
+
+@query(
+    "recipe_shards",
+    f"""WITH ranked AS (
+      SELECT doc_id, text, {sql_shard(8)} % 4 AS rank FROM documents)
+    SELECT doc_id, rank::BIGINT AS rank,
+           ((row_number() OVER (PARTITION BY rank ORDER BY {sql_order()}, doc_id) - 1) // 24)::BIGINT AS batch_id,
+           {sql_digest(sql_points())} AS ids_md5 FROM ranked""",
+)
+def recipe_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipe_rows(spark, sf_dir, split_by_shard=True)
