@@ -28,7 +28,7 @@ def micros(df: DataFrame, ts: str) -> Column:
 
 
 def number_steps(
-    df: DataFrame, *, run: str, ts: str, tie: str, slice_seconds: int = 86_400
+    df: DataFrame, *, run: str, ts: str, tie: str, slice_seconds: int = 600
 ) -> DataFrame:
     """``step`` 0, 1, .. per run by time. Time slices keep one long run from one task.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, SPECIAL_TOKENS, UNK_ID
 from grainmill.functions.text import words
+from grainmill.sources.tables import via_table
 
 # A vocabulary is sent to every task, so its size is checked before it is collected.
 MAX_VOCAB = 1_000_000
@@ -52,9 +53,17 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def rank_pieces(counts: DataFrame, size: int, first_id: int) -> DataFrame:
     """The ``size`` most frequent pieces (column ``piece``, ``n``) with ids from ``first_id``.
 
-    The cut comes first, as a top-n per task, so the numbering window sees ``size`` rows only.
+    How many pieces have each count tells the least count that gets in, so that hardly more than
+    ``size`` rows are sorted and numbered, however many tasks hold pieces.
     """
-    best = counts.orderBy(F.desc("n"), "piece").limit(size)
+    counts = via_table(counts, "piece-counts")
+    table = counts.groupBy("n").agg(F.count(F.lit(1)).alias("pieces")).orderBy(F.desc("n"))
+    border, taken = 0, 0
+    for row in table.limit(size).collect():  # each count has a piece or more
+        border, taken = row["n"], taken + row["pieces"]
+        if taken >= size:
+            break
+    best = counts.where(F.col("n") >= border).orderBy(F.desc("n"), "piece").limit(size)
     rank = F.row_number().over(W.orderBy(F.desc("n"), "piece")) - 1
     return best.select(
         (rank + first_id).cast("int").alias("id"), "piece", (-rank).cast("double").alias("score")
