@@ -88,6 +88,54 @@ WITH v AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op4_substring_dedup": r"""
+WITH w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                               lambda x: x <> '') AS words FROM documents
+), p AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), g AS (
+    SELECT doc_id, i, word, string_agg(word, ' ') OVER win AS k, count(*) OVER win AS n FROM p
+    WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), f AS (
+    SELECT doc_id, i, word,
+           n = 20 AND row_number() OVER (PARTITION BY k, n ORDER BY doc_id, i) > 1 AS later FROM g
+), c AS (
+    SELECT doc_id, i, word, bool_or(later) OVER (
+        PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f
+)
+SELECT d.doc_id, count(c.word) AS n_words, count(c.word) FILTER (c.gone) AS n_removed,
+       sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (NOT c.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op5_ngram_jaccard": r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), p AS (
+    SELECT doc_id, len(words) AS total, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), g AS (
+    SELECT doc_id, total, i, string_agg(word, ' ') OVER (
+        PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS gram FROM p
+), s AS (
+    SELECT DISTINCT doc_id, gram FROM g WHERE i = 1 OR i <= total - 3
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+    FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+    WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM n
+    UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(reach.b), d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id
+GROUP BY d.doc_id, n.n
 """,
     "op10_warc": """
 WITH p AS (
