@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.llm import html_text, jaccard, lm, mixing, packing, quality_model, quality_rules, substrings, topk, warc
 from grainmill.llm.words import documents
@@ -43,7 +43,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality_rules.judge_documents(documents(spark, folder))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "broken",
+        "base_failed", "kept", F.array_join("broken", ",").alias("broken"),
     )
 
 
@@ -73,6 +73,81 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
 }
 
+def rules_sql() -> str:
+    """The counts, the bucket sketch, the limits and the verdict of ``quality_rules`` as SQL."""
+    measures = quality_rules.MEASURES
+    cells = " UNION ALL ".join(
+        f"SELECT lang, source, '{name}' AS measure, floor(({m.value}) / {m.step}::DOUBLE) AS bucket FROM passed"
+        for name, m in measures.items()
+    )
+    tests = ", ".join(
+        f"""CASE WHEN NOT base_failed AND (floor(({m.value}) / {m.step}::DOUBLE) > (
+            SELECT high FROM edges e WHERE e.lang IS NOT DISTINCT FROM c.lang
+            AND e.source IS NOT DISTINCT FROM c.source AND e.measure = '{name}')"""
+        + (f""" OR floor(({m.value}) / {m.step}::DOUBLE) < (
+            SELECT low FROM edges e WHERE e.lang IS NOT DISTINCT FROM c.lang
+            AND e.source IS NOT DISTINCT FROM c.source AND e.measure = '{name}')""" if m.both_sides else "")
+        + f") THEN '{name}' END"
+        for name, m in measures.items()
+    )
+    least = " ".join(f"WHEN '{n}' THEN {round(m.slack / m.step)}" for n, m in measures.items())
+    both = ", ".join(f"'{n}'" for n, m in measures.items() if m.both_sides)
+    quiet, spreads = quality_rules.QUIET, quality_rules.SPREADS
+    return rf"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM t
+), p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), g AS (
+    SELECT doc_id, i, string_agg(word, ' ') OVER win AS k, count(*) OVER win AS n FROM p
+    WINDOW win AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+), r AS (SELECT doc_id, i, n = 3 AND count(*) OVER (PARTITION BY doc_id, k, n) > 1 AS again FROM g
+), v AS (
+    SELECT doc_id, bool_or(again) OVER (
+        PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM r
+), rep AS (SELECT doc_id, count(*) FILTER (covered) AS n_repeat_words FROM v GROUP BY doc_id
+), lines AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counted AS (
+    SELECT t.doc_id, lang, source, len(words)::DOUBLE AS n_words,
+           coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::DOUBLE AS word_chars,
+           length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::DOUBLE AS n_symbols,
+           length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE AS n_upper,
+           length(regexp_replace(text, '[^a-z]', '', 'g'))::DOUBLE AS n_lower,
+           length(regexp_replace(text, '[^!?]', '', 'g'))::DOUBLE AS n_loud,
+           coalesce(n_lines, 0)::DOUBLE AS n_lines, coalesce(n_dup_lines, 0)::DOUBLE AS n_dup_lines,
+           coalesce(n_repeat_words, 0)::DOUBLE AS n_repeat_words
+    FROM t JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
+), c AS (
+    SELECT *, n_words < {quality_rules.LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed
+    FROM counted
+), passed AS (SELECT * FROM c WHERE NOT base_failed
+), sketch AS (
+    SELECT lang, source, measure, bucket, count(*) AS n FROM ({cells}) GROUP BY ALL
+), ranked AS (
+    SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto,
+           sum(n) OVER (PARTITION BY lang, source, measure) AS everything FROM sketch
+), q AS (
+    SELECT lang, source, measure,
+           min(bucket) FILTER (upto >= 0.5::DOUBLE * everything) AS middle,
+           min(bucket) FILTER (upto >= {quiet}::DOUBLE * everything) AS low,
+           min(bucket) FILTER (upto >= {1 - quiet}::DOUBLE * everything) AS high
+    FROM ranked GROUP BY ALL
+), room AS (
+    SELECT *, greatest({spreads} * CASE WHEN measure IN ({both}) THEN least(middle - low, high - middle)
+                                        ELSE middle - low END,
+                       CASE measure {least} END) AS room FROM q
+), edges AS (SELECT lang, source, measure, middle + room AS high, middle - room AS low FROM room
+), judged AS (SELECT *, concat_ws(',', {tests}) AS broken FROM c)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+       n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND broken = '' AS kept, broken FROM judged
+"""
+
+
 SQL: dict[str, str] = {
     "op2_top_k": """
 WITH v AS (
@@ -137,6 +212,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(reach.b), d.doc_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a = d.doc_id
 GROUP BY d.doc_id, n.n
 """,
+    "op7_quality_rules": rules_sql(),
     "op10_warc": """
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
