@@ -134,7 +134,8 @@ def with_shuffled_spans(
         keyed = rows.withColumn(ORDER, shuffle_key(seed, F.col(key)))
         return keyed.withColumn(SLICE, shuffle_bucket(F.col(ORDER), n))
 
-    entries = df.groupBy(shard, key).agg(F.sum(units).alias("_units"))
+    # Written, so that wide rows are read once for their units and once to be placed.
+    entries = via_table(df.groupBy(shard, key).agg(F.sum(units).alias("_units")), "span-keys")
     # Written, so that its size is known when the join is chosen.
     cells = via_table(_span_cells(sliced(entries), key, shard, size), "span-cells")
     tie = F.xxhash64(*[c for c in df.columns if c not in (shard, key)])

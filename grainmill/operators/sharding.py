@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.operators.order import with_positions, with_shuffled_positions
+from grainmill.sources.tables import via_table
 
 
 def number_paths(
@@ -46,6 +47,7 @@ def assign_rank(df: DataFrame, num_ranks: int, index: str = "shard_idx") -> Data
 
 def trim_shards(df: DataFrame, num_ranks: int, index: str = "shard_idx") -> DataFrame:
     """Drop the last few shards so that every rank gets the same number."""
+    df = via_table(df, "shards")  # counted and then cut, but numbered once
     return df.filter(F.col(index) < F.floor(n_rows(df) / num_ranks) * num_ranks)
 
 
