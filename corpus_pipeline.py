@@ -21,8 +21,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    """One document of each group of near copies stays, that with the smallest doc_id.
+
+    Near copies share 80 % of their runs of five words.
+    """
+    return jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
