@@ -11,7 +11,9 @@ import numpy as np
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 RAW = set("script style noscript template svg iframe object canvas math title textarea select".split())
-NEVER = RAW | set("head button form option".split())
+NEVER = RAW | set("head button option".split())
+# What a head may hold; anything else, text too, ends it.
+IN_HEAD = set("title meta link base script style noscript template".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s"
     " samp small span strike strong sub sup time tt u var img br wbr".split()
@@ -23,7 +25,6 @@ CLOSED_BY = {  # an open element of the key ends where one of the values begins
     ),
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"},
-    "head": {"body"},
 }
 SCOPE = set("ul ol dl table div article section main aside nav body".split())
 
@@ -86,6 +87,8 @@ def parse(page: str) -> list[Node]:
 
     def add(text: str) -> None:
         nonlocal link_chars
+        if stack[-1][0] == "head" and text and not text.isspace():
+            stack.pop()
         if text and not nodes[stack[-1][1]].dropped:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
@@ -104,6 +107,8 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         tag = tag.lower()
+        if stack[-1][0] == "head" and not closing and tag not in IN_HEAD:
+            stack.pop()
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
@@ -143,7 +148,30 @@ def parse(page: str) -> list[Node]:
         nodes.append(Node(tag, up, nodes[up].depth + 1, _tokens(attributes), dropped=dropped))
         stack.append((tag, len(nodes) - 1))
     flush()
-    return nodes
+    return unwrapped(nodes)
+
+
+def unwrapped(nodes: list[Node]) -> list[Node]:
+    """Without forms around an article or most of the text; their children take their place.
+
+    Such a form is set around a page by its server and says nothing about what it holds.
+    """
+    if all(x.tag != "form" for x in nodes):
+        return nodes
+    chars, articles = [len(x.text) for x in nodes], [x.tag in GOOD_TAGS for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        chars[nodes[i].parent] += chars[i]
+        articles[nodes[i].parent] |= articles[i]
+    out, place, forms = [nodes[0]], [0] * len(nodes), [0] * len(nodes)
+    for i, x in enumerate(nodes[1:], start=1):
+        up = x.parent
+        if x.tag == "form" and (articles[i] or 2 * chars[i] > chars[0]):
+            place[i], forms[i] = place[up], forms[up] + 1
+            continue
+        place[i], forms[i] = len(out), forms[up]
+        x.parent, x.depth = place[up], x.depth - forms[up]
+        out.append(x)
+    return out
 
 
 TAG_KIND = {t: k for k, group in enumerate([
