@@ -14,10 +14,12 @@ group, so all rows meet all queries with bounded memory. A pair gives k rows a q
 of these are taken with their ranks.
 
 Nulls and odd cases: rows whose id or vector is null, or whose vector holds a null or non-finite
-component, take no part. Components are clipped to 2**22 after quantising, so that sums are
-exact. Shorter vectors end in zeros. Repeated rows are candidates each, and one query; rows with
-the query's own id are not its candidates. Equal scores go to the smaller id. Empty tables give
-no rows. Further columns are not read.
+component, take no part. Scores are exact: where sums could leave the exact range of float64, all
+candidates are scored in whole numbers instead. A component or a score that is no long is an
+error, as in SQL. Shorter vectors end in zeros. Repeated rows are one row of the index with their
+number, however many they are; they are candidates each, and one query. Rows with the query's own
+id are not its candidates. Equal scores go to the smaller id. Empty tables give no rows. Further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -40,11 +42,12 @@ LEVELS = 8
 CHECKS = (0.4, 0.6, 0.75, 0.85, 0.95)
 # Work stops once so few candidates can still be among the best.
 FEW = 96
-CLIP = 1 << 22
+# Sums of whole numbers up to here, and differences of such sums, are exact in float64.
+EXACT = float(1 << 50)
 
-VECTORS = "vec_id long, codes array<int>"
-BLOCK = "block long, ids binary, codes binary, width int, order binary, starts binary"
-FOUND = "query_block long, query_no int, query_id long, vec_id long, score long, met long, postings long"
+VECTORS = "vec_id long, codes array<long>"
+BLOCK = "block long, ids binary, copies binary, codes binary, width int, order binary, starts binary"
+FOUND = "query_block long, query_no int, query_id long, vec_id long, copies long, score long, met long, postings long"
 
 
 def _quantise(scale: int):
@@ -61,7 +64,11 @@ def _quantise(scale: int):
                 keep &= pc.and_(pc.is_valid(ids), pc.is_valid(lists)).to_numpy(zero_copy_only=False)
                 x = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
                 with np.errstate(invalid="ignore", over="ignore"):
-                    codes = np.nan_to_num(np.clip(np.floor(scale * x), -CLIP, CLIP)).astype(np.int32)
+                    codes = np.floor(scale * x)
+                codes[~np.repeat(keep, sizes)] = 0
+                if len(codes) and np.abs(codes).max() >= 2.0**63:
+                    raise ValueError("a quantised component does not fit a long")
+                codes = codes.astype(np.int64)
                 arrays = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes))
                 mask = pa.array(keep)
                 yield pa.record_batch([ids.filter(mask), arrays.filter(mask)], names=["vec_id", "codes"])
@@ -77,30 +84,37 @@ def quantised_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
     """Rows of codes as a matrix, shorter ones filled with zeros."""
     sizes = pc.list_value_length(lists).to_numpy()
-    out = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int32)
+    out = np.zeros((len(sizes), int(sizes.max(initial=0))), dtype=np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = lists.combine_chunks().flatten().to_numpy()
     return out
 
 
+def place_type(n: int) -> type:
+    """Of the places in a block of n vectors."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _index_block(levels: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
         codes = _matrix(table.column("codes"))
         n, width = codes.shape
-        order = np.argsort(codes, axis=0, kind="stable").T.astype(np.uint16)
+        order = np.argsort(codes, axis=0, kind="stable").T.astype(place_type(n))
         starts = np.zeros((width, levels + 1), dtype=np.int32)
         for d in range(width):
             values = codes[order[d], d]
             edges = np.linspace(values[0], values[-1], levels + 1)[1:-1]
             starts[d, 1:-1] = np.searchsorted(values, edges)
             starts[d, -1] = n
+        copies = table.column("copies").to_numpy() if "copies" in table.column_names else np.ones(n, np.int64)
         row = {
             "block": [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().tobytes()],
+            "copies": [copies.tobytes()],
             "codes": [codes.tobytes()], "width": [width],
             "order": [order.tobytes()], "starts": [starts.tobytes()],
         }
         return pa.table(row, schema=pa.schema([
-            ("block", pa.int64()), ("ids", pa.binary()), ("codes", pa.binary()),
+            ("block", pa.int64()), ("ids", pa.binary()), ("copies", pa.binary()), ("codes", pa.binary()),
             ("width", pa.int32()), ("order", pa.binary()), ("starts", pa.binary()),
         ]))
 
@@ -108,10 +122,10 @@ def _index_block(levels: int):
 
 
 def build_index(vectors: DataFrame, n: int, *, block_vectors: int = BLOCK_VECTORS, levels: int = LEVELS) -> DataFrame:
-    """One row for each block of quantised vectors; ``n`` is their number."""
+    """One row for each block of different quantised vectors; ``n`` is their number."""
     blocks = max(1, -(-n // block_vectors))
     block = F.pmod(F.xxhash64("vec_id", "codes"), F.lit(blocks))
-    # A uint16 holds a place in a block of up to 65,536; hashing keeps blocks near the mean.
+    # No two rows are equal, so hashing keeps blocks near the mean.
     return vectors.withColumn("block", block).groupBy("block").applyInArrow(_index_block(levels), BLOCK)
 
 
@@ -167,6 +181,16 @@ def best_of_block(
     return possible[best], scores[best], seen
 
 
+def exact_best(
+    query: np.ndarray, own: int, ids: np.ndarray, codes: np.ndarray, k: int, reach: float,
+) -> tuple[list[int], list[int], int]:
+    """``best_of_block`` by whole numbers; ``reach``: no sum of products is larger."""
+    kind = np.int64 if reach < 2.0**62 else object
+    scores = codes.astype(np.int64).astype(kind) @ query.astype(np.int64).astype(kind)
+    at = sorted(np.flatnonzero(ids != own).tolist(), key=lambda i: (-int(scores[i]), ids[i]))[:k]
+    return at, [int(scores[i]) for i in at], codes.size
+
+
 def _search(k: int):
     def run(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -174,25 +198,31 @@ def _search(k: int):
             block = index.to_pylist()[0]
             ids = np.frombuffer(block["ids"], dtype=np.int64)
             width, n = block["width"], len(ids)
-            codes = np.frombuffer(block["codes"], dtype=np.int32).reshape(n, width)
-            order = np.frombuffer(block["order"], dtype=np.uint16).reshape(width, n)
+            codes = np.frombuffer(block["codes"], dtype=np.int64).reshape(n, width)
+            copies = np.frombuffer(block["copies"], dtype=np.int64)
+            order = np.frombuffer(block["order"], dtype=place_type(n)).reshape(width, n)
             starts = np.frombuffer(block["starts"], dtype=np.int32).reshape(width, -1)
-            codes = codes.astype(np.float64)
+            codes = codes.astype(np.float64)  # made from float64, so all of them are kept
+            largest = np.abs(codes).max(axis=0)
             asked = queries.to_pylist()[0]
             names = np.frombuffer(asked["ids"], dtype=np.int64)
-            vectors = np.frombuffer(asked["codes"], dtype=np.int32).reshape(len(names), asked["width"])
+            vectors = np.frombuffer(asked["codes"], dtype=np.int64).reshape(len(names), asked["width"])
             both = min(width, asked["width"])
             for no, own in enumerate(names):
                 query = np.zeros(width)
                 query[:both] = vectors[no, :both]
-                at, scores, met = best_of_block(query, own, ids, codes, order, starts, k)
+                reach = float(np.abs(query) @ largest)
+                if reach < EXACT:
+                    at, scores, met = best_of_block(query, own, ids, codes, order, starts, k)
+                else:
+                    at, scores, met = exact_best(query, own, ids, codes, k, reach)
                 rows += [
-                    (key[0].as_py(), no, int(own), int(ids[i]), int(s), met, n * width)
+                    (key[0].as_py(), no, int(own), int(ids[i]), int(copies[i]), int(s), met, n * width)
                     for i, s in zip(at, scores)
                 ]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
         names = [x.split()[0] for x in FOUND.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, types)], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 8, types)], names=names)
 
     return run
 
@@ -208,7 +238,8 @@ def top_k(
     levels: int = LEVELS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best rows of ``vectors`` for each query."""
-    codes = W.bounded_rows(quantised_vectors(vectors, scale), "top-k-vectors")
+    codes = quantised_vectors(vectors, scale).groupBy("vec_id", "codes").agg(F.count(F.lit(1)).alias("copies"))
+    codes = W.bounded_rows(codes, "top-k-vectors")
     asked = quantised_vectors(queries, scale).dropDuplicates(["vec_id", "codes"])
     asked = W.bounded_rows(asked, "top-k-queries")
     n, n_asked = codes.count(), asked.count()
@@ -227,8 +258,13 @@ def top_k(
         .applyInArrow(_search(k), FOUND)
     )
     best = Window.partitionBy("query_block", "query_no").orderBy(F.desc("score"), "vec_id")
+    # Only the copies of the k best different rows are counted out.
+    copies = F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k).cast("long")))
     return (
         found.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
+        .withColumn("copy", F.explode(copies))
+        .withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
