@@ -39,20 +39,20 @@ class Vocabulary:
     classes: np.ndarray
 
 
-def _profile(a: np.ndarray, b: np.ndarray, size: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of a by which of the most frequent b they go with; and how often a occurs."""
-    top = np.argsort(-np.bincount(b, minlength=size), kind="stable")[:FEATURES]
-    column = np.full(size, -1)
+def most_met(often: np.ndarray) -> np.ndarray:
+    """The column of each of the most frequent tokens in a profile; -1 for all others."""
+    top = np.argsort(-often, kind="stable")[:FEATURES]
+    column = np.full(len(often), -1)
     column[top] = np.arange(len(top))
-    known = column[b] >= 0
-    cells, counts = np.unique(a[known] * FEATURES + column[b[known]], return_counts=True)
-    matrix = np.zeros((size, FEATURES), dtype=np.float32)
-    matrix.ravel()[cells] = counts
-    often = np.bincount(a, minlength=size).astype(np.float64)
-    matrix = np.sqrt(matrix / np.maximum(often, 1)[:, None], dtype=np.float32)
+    return column
+
+
+def _profile(counts: np.ndarray, often: np.ndarray, width: int) -> np.ndarray:
+    """Vectors of tokens by how often they go with the most frequent others."""
+    matrix = np.sqrt(counts / np.maximum(often, 1).astype(np.float32)[:, None], dtype=np.float32)
     heavy = matrix * np.sqrt(often, dtype=np.float32)[:, None]
     _, axes = np.linalg.eigh(heavy.T @ heavy)
-    return matrix @ axes[:, -width:].astype(np.float32), often
+    return matrix @ axes[:, -width:].astype(np.float32)
 
 
 def _cluster(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -67,12 +67,17 @@ def _cluster(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 6) -> np.n
     return near
 
 
-def learn_vocabulary(before: np.ndarray, after: np.ndarray, size: int) -> Vocabulary:
-    """From pairs of neighbouring tokens of a sample; ``before`` may hold the start symbol."""
-    vectors, often = _profile(before, after, size + 1, WIDTH)
+def learn_vocabulary(
+    forward: np.ndarray, often: np.ndarray, backward: np.ndarray, seen: np.ndarray, size: int
+) -> Vocabulary:
+    """From the neighbours of tokens in all training texts.
+
+    ``often``, ``seen``: how often each is a context (the start symbol too) and an outcome;
+    ``forward``, ``backward``: how often each of the most frequent comes after, before it.
+    """
+    vectors = _profile(forward, often, WIDTH)
     contexts = _cluster(vectors, often, CONTEXTS)
-    backward, seen = _profile(after, before, size + 1, WIDTH)
-    classes = _cluster(backward[:size], seen[:size], CLASSES)
+    classes = _cluster(_profile(backward, seen, WIDTH)[:size], seen[:size], CLASSES)
     scale = np.sqrt((vectors**2 * often[:, None]).sum(axis=0) / max(1.0, often.sum())) + 1e-6
     return Vocabulary(size, (vectors / scale).astype(np.float32), contexts, classes)
 
@@ -99,6 +104,18 @@ class Prior:
         return cls(tokens, by_class)
 
 
+def neighbours(ends: np.ndarray, ids: np.ndarray, end_id: int, start_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each token of the texts, and their ends, behind the token or start symbol before it."""
+    n = len(ends) - 1
+    before, after = np.empty(len(ids) + n, dtype=np.int64), np.empty(len(ids) + n, dtype=np.int64)
+    for out, edge, symbol in ((before, ends[:-1], start_id), (after, ends[1:], end_id)):
+        inner = np.ones(len(out), dtype=bool)
+        inner[edge + np.arange(n)] = False
+        out[inner] = ids
+        out[~inner] = symbol
+    return before, after
+
+
 class Blocks:
     """Documents laid out in blocks: inputs, targets, and which positions count."""
 
@@ -215,23 +232,19 @@ class Model:
         return out / LOG10
 
 
-def train(
-    vocabulary: Vocabulary, prior: Prior, ends: np.ndarray, ids: np.ndarray, *,
-    steps: int = 1500, windows: int = 256, rate: float = 4e-3, seed: int = 3,
-) -> Weights:
-    """Adam on windows drawn from the sample, gradients written out by hand."""
-    w = fresh_weights(seed)
-    b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
-    ready = np.flatnonzero(~b.empty)
-    if not len(ready):
-        return w
-    r = np.random.default_rng(seed)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in w.all()]
-    inputs, targets = b.inputs.reshape(-1, SPAN), b.targets.reshape(-1, SPAN)
-    counts = b.counts.reshape(-1, SPAN)
-    for step in range(1, steps + 1):
-        pick = r.choice(ready, windows)
-        # Each drawn block behind the one before it, as a layout of its own.
+class Trainer:
+    """Adam, gradients written out by hand."""
+
+    def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, weights: Weights):
+        self.vocabulary, self.classes, self.weights = vocabulary, classes, weights
+        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in weights.all()]
+        self.steps = 0
+
+    def step(self, b: Blocks, pick: np.ndarray, rate: float) -> None:
+        """One step on the given blocks, each behind the one before it."""
+        w, vocabulary = self.weights, self.vocabulary
+        inputs, targets = b.inputs.reshape(-1, SPAN), b.targets.reshape(-1, SPAN)
+        counts = b.counts.reshape(-1, SPAN)[pick]
         token = np.concatenate((inputs[pick - 1], inputs[pick]), axis=1)
         x = vocabulary.vectors[token]
         k, v = x @ w.key, x @ w.value
@@ -243,13 +256,13 @@ def train(
         seen = np.matmul(att, v)
         raw = seen @ w.mix + x[:, SPAN:] @ w.own + w.bias
         hidden = np.maximum(raw, 0)
-        logits = hidden @ w.out + w.shift + prior.classes[vocabulary.contexts[token[:, SPAN:]]]
+        logits = hidden @ w.out + w.shift + self.classes[vocabulary.contexts[token[:, SPAN:]]]
         p = np.exp(logits - logits.max(axis=2, keepdims=True))
         p /= p.sum(axis=2, keepdims=True)
         c = vocabulary.classes[targets[pick]]
         d = p
         np.put_along_axis(d, c[:, :, None], np.take_along_axis(d, c[:, :, None], 2) - 1, 2)
-        d *= (counts[pick] / max(1, counts[pick].sum()))[:, :, None]
+        d *= (counts / max(1, counts.sum()))[:, :, None]
         d_hidden = (d @ w.out.T) * (raw > 0)
         d_seen = d_hidden @ w.mix.T
         d_att = np.matmul(d_seen, v.transpose(0, 2, 1))
@@ -264,10 +277,38 @@ def train(
             flat(seen).T @ flat(d_hidden), late.T @ flat(d_hidden), flat(d_hidden).sum(axis=0),
             flat(hidden).T @ flat(d), flat(d).sum(axis=0),
         ]
-        slow = rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5
-        for param, g, (m, s) in zip(w.all(), gradients, moments):
+        self.steps += 1
+        fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        for param, g, (m, s) in zip(w.all(), gradients, self.moments):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
-            fix = np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            param -= (slow * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+            param -= (rate * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+
+
+def first_weights(
+    vocabulary: Vocabulary, prior: Prior, ends: np.ndarray, ids: np.ndarray, *,
+    steps: int = 1500, windows: int = 256, rate: float = 4e-3, seed: int = 3,
+) -> Weights:
+    """Where the training on all texts begins: Adam on windows drawn from some of them."""
+    w = fresh_weights(seed)
+    b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
+    ready = np.flatnonzero(~b.empty)
+    if not len(ready):
+        return w
+    r = np.random.default_rng(seed)
+    trainer = Trainer(vocabulary, prior.classes, w)
+    for step in range(1, steps + 1):
+        trainer.step(b, r.choice(ready, windows), rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5)
     return w
+
+
+def train_on(
+    trainer: Trainer, ends: np.ndarray, ids: np.ndarray, *, windows: int = 256, rate: float = 1e-3, seed: int = 3
+) -> int:
+    """Train on every window of the texts once, in random order; returns their number."""
+    vocabulary = trainer.vocabulary
+    b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
+    ready = np.random.default_rng(seed).permutation(np.flatnonzero(~b.empty))
+    for a in range(0, len(ready), windows):
+        trainer.step(b, ready[a : a + windows], rate * min(1.0, (trainer.steps + 1) / 50))
+    return len(ready)

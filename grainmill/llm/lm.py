@@ -1,12 +1,15 @@
 """Scoring texts with a causal attention model and with a word unigram, trained on the corpus.
 
-1. A bounded sample of the training documents (``sample_docs`` with the smallest hash of their
-   id) gives token classes and, once the counts below are there, the attention weights.
-2. One scan of all texts cuts them into words and token ids. A task sends the ids of its
-   documents, its word counts and its counts of (context class, token), the last two from
-   training documents only; they are summed over the whole corpus. Nothing is sampled here.
-3. The ids are scored by ``attention.Model`` in batches of overlapping windows.
-4. Word scores: a second scan looks words up in a broadcast list of the ``frequent`` most
+1. One scan of all texts cuts them into words and token ids. A task sends the ids of its
+   documents and, from training documents only, its word counts, which are summed over the corpus.
+2. The ids of all training documents are gone over for how often each token occurs, for its
+   neighbours, which give token vectors and classes, for counts of (context class, token), and
+   for the attention weights. Each task sends sums of a fixed size.
+3. Attention weights begin with values from ``sample_docs`` documents. From there each task
+   trains on every window of its training documents once; the mean of their weights, by the
+   number of windows, is the model. It depends a little on how rows are dealt to tasks.
+4. The ids are scored by ``attention.Model`` in batches of overlapping windows.
+5. Word scores: a second scan looks words up in a broadcast list of the ``frequent`` most
    common ones, whose size is fixed. All other words go as counts per document to a join with
    the full word table, so no table that grows is broadcast.
 
@@ -44,13 +47,13 @@ SMALL = 0.1
 
 SCAN = (
     "kind int, doc_id long, text_key long, held_out boolean, n_words long, ids binary, "
-    "word string, n long, part int, cells binary, counts binary"
+    "word string, n long"
 )
-DOCUMENT, WORD, CELLS = 0, 1, 2
+DOCUMENT, WORD = 0, 1
+CELLS = "part int, cells binary, counts binary"
 _SCHEMA = pa.schema([
     ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()),
     ("n_words", pa.int64()), ("ids", pa.binary()), ("word", pa.string()), ("n", pa.int64()),
-    ("part", pa.int32()), ("cells", pa.binary()), ("counts", pa.binary()),
 ])
 
 
@@ -125,42 +128,10 @@ def id_type(size: int) -> np.dtype:
     return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
 
 
-def _transitions(cut: Cut, train: np.ndarray, contexts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells ``context * size + token`` of the training rows of a step, and their counts.
-
-    Inside words each distinct word is looked at once, weighted by how often it occurs.
-    """
-    row = np.repeat(np.arange(len(train)), np.diff(cut.offsets))
-    learn = train[row]
-    often = np.bincount(cut.codes[learn], minlength=len(cut.words)).astype(np.int64)
-    inner = np.ones(len(cut.ids_of), dtype=bool)
-    inner[cut.first[cut.size > 0]] = False
-    at = np.flatnonzero(inner)
-    word = np.repeat(np.arange(len(cut.words)), cut.size)
-    cells = [contexts[cut.ids_of[at - 1]] * size + cut.ids_of[at]]
-    counts = [often[word[at]]]
-    # Between words: the last token of a word and the first of the next; texts begin and end.
-    full = cut.size > 0
-    keep = learn & full[cut.codes]
-    code, own = cut.codes[keep], row[keep]
-    head = cut.ids_of[cut.first[code]].astype(np.int64)
-    tail = contexts[cut.ids_of[cut.first[code] + cut.size[code] - 1]]
-    new = np.ones(len(code), dtype=bool)
-    new[1:] = own[1:] != own[:-1]
-    before = np.where(new, contexts[size], np.concatenate(([0], tail[:-1])) if len(tail) else tail)
-    last = np.ones(len(code), dtype=bool)
-    last[:-1] = new[1:]
-    empty = int(train.sum()) - int(new.sum())
-    cells += [before * size + head, tail[last] * size + (size - 1), np.array([contexts[size] * size + size - 1])]
-    counts += [np.ones(len(head), np.int64), np.ones(int(last.sum()), np.int64), np.array([empty])]
-    return np.concatenate(cells), np.concatenate(counts)
-
-
-def _scan(path: str, contexts: np.ndarray, size: int):
-    """Documents with their ids, then word counts and transition counts of the whole task."""
+def _scan(path: str, size: int):
+    """Documents with their ids, then word counts of the whole task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(attention.CONTEXTS * size, dtype=np.int32)
         words: list[pa.Table] = []
         for whole in batches:
             for step in W.steps(whole, limit=SCAN_BYTES):
@@ -182,21 +153,9 @@ def _scan(path: str, contexts: np.ndarray, size: int):
                 if len(words) > 8:
                     words = [_summed(words)]
                     pa.default_memory_pool().release_unused()
-                cells, counts = _transitions(cut, train, contexts, size)
-                np.add.at(table, cells, counts.astype(np.int32))
         if words:
             for part in _summed(words).to_batches(max_chunksize=100_000):
                 yield _batch(WORD, part.num_rows, word=part.column("word"), n=part.column("n").cast(pa.int64()))
-        width = len(table) // PARTS + 1
-        for p in range(PARTS):
-            own = table[p * width : (p + 1) * width]
-            cells = np.flatnonzero(own)
-            if len(cells):
-                steps = np.diff(cells, prepend=0).astype("<u4")
-                yield _batch(
-                    CELLS, 1, part=pa.array([p], pa.int32()), cells=pa.array([steps.tobytes()], pa.binary()),
-                    counts=pa.array([own[cells].astype("<i4").tobytes()], pa.binary()),
-                )
 
     return run
 
@@ -230,34 +189,121 @@ def _merge_cells(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     yield pa.record_batch(columns, names=["part", "cells", "counts"])
 
 
-def transition_counts(scan: DataFrame, size: int) -> np.ndarray:
-    """(contexts, tokens) over all training documents; its size does not depend on the data."""
-    width = attention.CONTEXTS * size // PARTS + 1
-    out = np.zeros(attention.CONTEXTS * size, dtype=np.float32)
-    parts = scan.where(F.col("kind") == CELLS).select("part", "cells", "counts")
-    merged = parts.groupBy("part").applyInArrow(_merge_cells, "part int, cells binary, counts binary")
-    for row in merged.toLocalIterator():
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Steps of rows with their offsets (rows + 1) and ids."""
+    kind = id_type(size)
+    for whole in batches:
+        for step in W.steps(whole, "ids", SCORE_BYTES):
+            column = step.column("ids")
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
+            ends = at.astype(np.int64) // kind.itemsize
+            data = column.buffers()[2]
+            ids = np.frombuffer(data, kind)[ends[0] : ends[-1]] if data else np.zeros(0, kind)
+            yield step, ends - ends[0], ids
+
+
+def _count(cells_of, shared, length: int, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(length, dtype=np.int32)
+        for _, ends, ids in _texts(batches, size):
+            before, after = attention.neighbours(ends, ids, size - 1, size)
+            np.add.at(table, cells_of(before, after, shared.value, size), 1)
+        width = length // PARTS + 1
+        for p in range(PARTS):
+            own = table[p * width : (p + 1) * width]
+            cells = np.flatnonzero(own)
+            if len(cells):
+                steps = np.diff(cells, prepend=0).astype("<u4")
+                yield pa.record_batch(
+                    [pa.array([p], pa.int32()), pa.array([steps.tobytes()], pa.binary()),
+                     pa.array([own[cells].astype("<i4").tobytes()], pa.binary())],
+                    names=["part", "cells", "counts"],
+                )
+
+    return run
+
+
+def counted(texts: DataFrame, cells_of, value, length: int, size: int) -> np.ndarray:
+    """How often each cell occurs in all texts; the length does not depend on the data."""
+    shared = texts.sparkSession.sparkContext.broadcast(value)
+    width = length // PARTS + 1
+    out = np.zeros(length, dtype=np.float32)
+    parts = texts.mapInArrow(_count(cells_of, shared, length, size), CELLS)
+    for row in parts.groupBy("part").applyInArrow(_merge_cells, CELLS).toLocalIterator():
         cells = row["part"] * width + np.cumsum(np.frombuffer(row["cells"], "<u4"), dtype=np.int64)
         out[cells] = np.frombuffer(row["counts"], "<f4")
-    return out.reshape(attention.CONTEXTS, size)
+    return out
+
+
+def _single(before, after, _, size):
+    return np.concatenate((before, after + size + 1))
+
+
+def _after(before, after, column, size):
+    known = column[after] >= 0
+    return before[known] * attention.FEATURES + column[after[known]]
+
+
+def _before(before, after, column, size):
+    return _after(after, before, column, size)
+
+
+def _transition(before, after, contexts, size):
+    return contexts[before] * size + after
+
+
+def learn_vocabulary(texts: DataFrame, size: int) -> attention.Vocabulary:
+    """Token vectors and classes from all of ``texts``."""
+    often, seen = counted(texts, _single, None, 2 * (size + 1), size).astype(np.float64).reshape(2, -1)
+    cells = (size + 1) * attention.FEATURES
+    forward = counted(texts, _after, attention.most_met(seen), cells, size).reshape(size + 1, -1)
+    backward = counted(texts, _before, attention.most_met(often), cells, size).reshape(size + 1, -1)
+    return attention.learn_vocabulary(forward, often, backward, seen, size)
+
+
+# Weights are summed as whole numbers of this part, so that the order of tasks is no matter.
+GRAIN = 1 << 24
+
+
+def _train(shared):
+    """Weights after all texts of the task, times the number of windows; that number is at -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, classes, weights = shared.value
+        trainer = attention.Trainer(vocabulary, classes, attention.Weights(*(p.copy() for p in weights.all())))
+        n = sum(attention.train_on(trainer, ends, ids) for _, ends, ids in _texts(batches, vocabulary.size))
+        if n:
+            flat = np.concatenate([p.ravel() for p in trainer.weights.all()]).astype(np.float64)
+            value = np.append(np.rint(flat * GRAIN).astype(np.int64) * n, n)
+            place = np.append(np.arange(len(flat)), -1)
+            yield pa.record_batch([pa.array(place, pa.int32()), pa.array(value)], names=["place", "value"])
+
+    return run
+
+
+def train(texts: DataFrame, vocabulary: attention.Vocabulary, prior: attention.Prior, weights: attention.Weights) -> attention.Weights:
+    """``weights`` trained on all of ``texts``."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, prior.classes, weights))
+    sums = texts.mapInArrow(_train(shared), "place int, value long").groupBy("place").agg(
+        F.sum(F.col("value").cast("decimal(38,0)")).alias("value")
+    )
+    value = {r["place"]: r["value"] for r in sums.collect()}
+    n = int(value.pop(-1, 0))
+    if not n:
+        return weights
+    flat = np.array([float(value[i]) / n / GRAIN for i in range(len(value))], dtype=np.float32)
+    ends = np.cumsum([p.size for p in weights.all()])[:-1]
+    return attention.Weights(*(a.reshape(p.shape) for a, p in zip(np.split(flat, ends), weights.all())))
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        kind = id_type(model.vocabulary.size)
-        for whole in batches:
-            for step in W.steps(whole, "ids", SCORE_BYTES):
-                column = step.column("ids")
-                at = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1]
-                ends = at.astype(np.int64) // kind.itemsize
-                data = column.buffers()[2]
-                ids = np.frombuffer(data, kind)[ends[0] : ends[-1]] if data else np.zeros(0, kind)
-                scores = model.log10(ends - ends[0], ids)
-                yield pa.record_batch(
-                    [step.column("_row"), pa.array(scores), pa.array(np.diff(ends))],
-                    names=["_row", "score", "n_subwords"],
-                )
+        for step, ends, ids in _texts(batches, model.vocabulary.size):
+            yield pa.record_batch(
+                [step.column("_row"), pa.array(model.log10(ends, ids)), pa.array(np.diff(ends))],
+                names=["_row", "score", "n_subwords"],
+            )
 
     return run
 
@@ -347,21 +393,23 @@ def score_texts(
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords``."""
     spark, path = docs.sparkSession, path or tokenizer_path(TOKENIZER)
     rows = docs.select("doc_id", "text", W.text_key().alias("text_key"), (remainder(10) == 0).alias("held_out"))
-    train = rows.where("not held_out").select("doc_id", "text")
-    texts = [r["text"] for r in W.hashed_sample(train, F.xxhash64("doc_id"), sample_docs).collect()]
-    ends, ids = Cut(pa.array(texts, pa.string()), path).ids()
     size = subwords(path).size + 1
-    laid = attention.Blocks(ends, ids.astype(np.int64), size - 1, size)
-    vocabulary = attention.learn_vocabulary(laid.inputs[laid.counts], laid.targets[laid.counts], size)
-
-    scan = W.bounded_rows(rows.mapInArrow(_scan(path, vocabulary.contexts, size), SCAN), "lm-scan")
+    scan = W.bounded_rows(rows.mapInArrow(_scan(path, size), SCAN), "lm-scan")
     words = scan.where(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0")
     words = W.bounded_rows(words, "lm-words")
     total = words.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == END_WORD, F.col("c")))).first()
     n, v, end = total[0] or 0, total[1] or 0, total[2] or 0
 
-    prior = attention.Prior.of(transition_counts(scan, size), vocabulary)
-    weights = attention.train(vocabulary, prior, ends, ids, steps=steps)
+    learn = scan.where((F.col("kind") == DOCUMENT) & ~F.col("held_out"))
+    texts = learn.select("ids")
+    vocabulary = learn_vocabulary(texts, size)
+    transitions = counted(texts, _transition, vocabulary.contexts, attention.CONTEXTS * size, size)
+    prior = attention.Prior.of(transitions.reshape(attention.CONTEXTS, size), vocabulary)
+    some = W.hashed_sample(learn.select("doc_id", "ids"), F.xxhash64("doc_id"), sample_docs).collect()
+    ids = [np.frombuffer(r["ids"], id_type(size)) for r in some]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+    ids = np.concatenate([np.zeros(0, id_type(size)), *ids])
+    weights = train(texts, vocabulary, prior, attention.first_weights(vocabulary, prior, ends, ids, steps=steps))
     shared = spark.sparkContext.broadcast(attention.Model(vocabulary, prior, weights))
     documents = scan.where(F.col("kind") == DOCUMENT).select(
         "doc_id", "text_key", "held_out", "n_words", "ids"
