@@ -1,30 +1,29 @@
 """Subword encoding and decoding of whole corpora.
 
 Encoding a row needs only the row and the vocabulary, so both directions are narrow Arrow
-steps: no row per word is ever made or exchanged. Words repeat, so each task remembers the
-words it has encoded. Text normalisation is the identity.
+steps: no row per word is ever made or exchanged. The distinct words of a batch are merged at
+once, and each task remembers the words it has encoded. Text normalisation is the identity.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession, functions as F
 
 from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, META_SPACE, SPECIAL_TOKENS, UNK_ID
+from grainmill.operators.merges import Merges, WordTokens, marked_tokens, merge_pairs
 
 SPECIAL_SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
 # A run of word marks and what follows up to the next mark. No piece crosses these borders.
 WORD = re.compile(f"{META_SPACE}*[^{META_SPACE}]+|{META_SPACE}+")
 CROSSES_WORDS = re.compile(f"[^{META_SPACE}]{META_SPACE}")
-NO_PIECE = float("inf")
-# Longer words are not remembered.
-REMEMBERED_LENGTH = 64
-REMEMBERED_WORDS = 1 << 18
+# Bytes of text that one step of a task turns into tokens; a longer text is a step of its own.
+STEP_BYTES = 4 << 20
 
 
 def text_pieces(vocab: list[tuple[int, str, float]]) -> tuple[dict[str, float], dict[str, int]]:
@@ -48,37 +47,6 @@ def encode_word(word: str, priority: dict[str, float], piece_ids: dict[str, int]
     return out
 
 
-def merge_pairs(word: str, priority: dict[str, float]) -> list[str]:
-    """Merge the best adjacent pair, leftmost on ties, until no pair is a piece.
-
-    The pairs are in a heap, so a text without blanks, which is one long word, takes n log n
-    steps.
-    """
-    parts = list(word)
-    after = [*range(1, len(parts)), -1]
-    before = list(range(-1, len(parts) - 1))
-
-    def pair(left: int) -> tuple[float, int, str, str]:
-        a, b = parts[left], parts[after[left]]
-        return priority.get(a + b, NO_PIECE), left, a, b
-
-    heap = [pair(i) for i in range(len(parts) - 1)]
-    heapq.heapify(heap)
-    while heap:
-        best, left, a, b = heapq.heappop(heap)
-        right = after[left]
-        if best == NO_PIECE or right < 0 or parts[left] != a or parts[right] != b:
-            continue  # not a piece, or one of the two has been merged meanwhile
-        parts[left], parts[right] = a + b, ""
-        after[left] = after[right]
-        if after[left] >= 0:
-            before[after[left]] = left
-            heapq.heappush(heap, pair(left))
-        if before[left] >= 0:
-            heapq.heappush(heap, pair(before[left]))
-    return [p for p in parts if p]
-
-
 def encode_text(text: str, word_ids: Callable[[str], list[int]]) -> list[int]:
     """Ids of a text: it is given a leading word mark, and special tokens are split out."""
     if not text:
@@ -97,11 +65,41 @@ def encode_text(text: str, word_ids: Callable[[str], list[int]]) -> list[int]:
     return ids
 
 
-def _id_lists(rows: list[list[int] | None]) -> pa.ListArray:
-    offsets = np.cumsum([0] + [len(r or ()) for r in rows], dtype=np.int32)
-    flat = np.fromiter((i for r in rows for i in r or ()), np.int32, int(offsets[-1]))
+def text_steps(texts: pa.Array) -> Iterator[pa.Array]:
+    """Parts of a batch with about STEP_BYTES of text each."""
+    if not len(texts):
+        return
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield texts[a:b]
+
+
+def encode_texts(texts: pa.Array, known: WordTokens) -> pa.ListArray:
+    """Ids of each text of a batch; all distinct words of it are merged at once."""
+    texts = pc.replace_substring(texts, META_SPACE, " ")
+    special = pc.fill_null(pc.match_substring_regex(texts, SPECIAL_SPLIT.pattern), False)
+    marked = pc.binary_join_element_wise(
+        META_SPACE, pc.replace_substring(texts, " ", META_SPACE), ""
+    )
+    plain = pc.and_(pc.invert(special), pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0))
+    raw = pc.if_else(plain, marked, "").cast(pa.large_binary())
+    flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
+    ends = np.concatenate(([0], np.cumsum(pc.binary_length(raw).to_numpy())))
+    upto, ids, _ = marked_tokens(known, flat, ends, META_SPACE)
+    if pc.any(special).as_py():
+        def word_ids(word: str) -> list[int]:
+            first, count = known.find([word])
+            return known.ids[first[0] : first[0] + count[0]].tolist()
+
+        rows = [ids[a:b] for a, b in zip(upto, upto[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            rows[i] = np.array(encode_text(texts[i].as_py(), word_ids), np.int32)
+        upto = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        ids = np.concatenate(rows)
     return pa.ListArray.from_arrays(
-        pa.array(offsets), pa.array(flat), mask=pa.array([r is None for r in rows])
+        pa.array(upto.astype(np.int32)), pa.array(ids, pa.int32()), mask=texts.is_null()
     )
 
 
@@ -111,21 +109,10 @@ def bpe_encoder(spark: SparkSession, vocab: list[tuple]) -> Callable[[Column], C
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        (priority, piece_ids), known = shared.value, {}
-
-        def word_ids(word: str) -> list[int]:
-            ids = known.get(word)
-            if ids is None:
-                ids = encode_word(word, priority, piece_ids)
-                if len(word) <= REMEMBERED_LENGTH:
-                    if len(known) >= REMEMBERED_WORDS:
-                        known.clear()
-                    known[word] = ids
-            return ids
-
+        known = WordTokens(Merges(*shared.value, FIRST_BYTE_ID))
         for batch in batches:
-            texts = batch.to_pylist()
-            yield _id_lists([None if t is None else encode_text(t, word_ids) for t in texts])
+            parts = [encode_texts(part, known) for part in text_steps(batch)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode
 
