@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from grainmill.llm import html_text, jaccard, lm, mixing, packing, quality_model, quality_rules, substrings, topk, warc
+from grainmill.llm import (
+    html_text, jaccard, lm, mixing, packing, quality_model, quality_rules, runs, substrings, subwords, topk, warc,
+)
 from grainmill.llm.words import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,14 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(spark, spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_report(runs.with_periodic_tails(documents(spark, folder)))
+
+
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return subwords.round_trip(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_top_k": op2_top_k,
@@ -71,8 +81,20 @@ QUERIES: dict[str, Query] = {
     "op8_quality_trees": op8_quality_trees,
     "op9_html_text": op9_html_text,
     "op10_warc": op10_warc,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+        lambda acc, b: list_reduce(
+            list_concat([xor(acc, b)], list_transform(range(8), lambda z: 0::BIGINT)),
+            lambda s, z: xor(s >> 1, 3988292384::BIGINT * (s & 1)))))"""
+
+
 def rules_sql() -> str:
     """The counts, the bucket sketch, the limits and the verdict of ``quality_rules`` as SQL."""
     measures = quality_rules.MEASURES
@@ -213,6 +235,49 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN reach ON reach.a =
 GROUP BY d.doc_id, n.n
 """,
     "op7_quality_rules": rules_sql(),
+    "op11_periodic_runs": rf"""
+WITH t AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                               lambda x: x <> '') AS words, {crc32_sql("doc_id::VARCHAR")} AS h FROM documents
+), u AS (
+    SELECT *, len(words) AS n, (h // 10) % nullif(len(words), 0) AS a,
+           1 + (len(words) - (h // 10) % nullif(len(words), 0)) // (3 + (h // 10) % 8) AS p FROM t
+), w AS (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(
+        range(n), lambda i: CASE WHEN i < a THEN words[i + 1] ELSE words[a + (i - a) % p + 1] END)
+        ELSE words END AS words FROM u
+), s AS (SELECT doc_id, n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w
+), g AS (
+    SELECT doc_id, n, i, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM s
+    WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), pairs AS (
+    SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM g x JOIN g y
+    ON x.doc_id = y.doc_id AND x.gram = y.gram AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM islands GROUP BY doc_id, q, island
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM stretches
+    WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length
+), kept AS (
+    SELECT s.doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM s
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = s.doc_id
+                      AND s.i >= r.start + r.period AND s.i < r.start + r.length)
+    GROUP BY s.doc_id
+), best AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM runs
+), lines AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(
+        start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text
+    FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       1000 * length // period AS exponent_milli, sha256(coalesce(l.text, '')) AS runs_sha256,
+       sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM t d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+LEFT JOIN best b ON b.doc_id = d.doc_id AND place = 1
+""",
     "op10_warc": """
 WITH p AS (
     SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
