@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.llm import (
-    html_text, jaccard, lm, mixing, packing, quality_model, quality_rules, runs, substrings, subwords, topk, warc,
+    html_text, jaccard, lm, mixing, packing, prefix_trie, quality_model, quality_rules, runs, substrings,
+    subwords, topk, warc,
 )
 from grainmill.llm.words import documents
 
@@ -70,6 +71,11 @@ def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return subwords.round_trip(documents(spark, folder))
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(conversations))
+
+
 QUERIES: dict[str, Query] = {
     "op1_lm_scores": op1_lm_scores,
     "op2_top_k": op2_top_k,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_warc": op10_warc,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 
@@ -277,6 +284,43 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
        sha256(coalesce(k.text, '')) AS collapsed_sha256
 FROM t d LEFT JOIN lines l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 LEFT JOIN best b ON b.doc_id = d.doc_id AND place = 1
+""",
+    "op13_prefix_trie": rf"""
+WITH o AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, {crc32_sql("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM o)
+), b AS (
+    SELECT c.conv_id, 0 AS part, pos, role, text FROM c
+    JOIN o ON o.conv_id = c.conv_id - c.conv_id % 100 AND pos < h
+    UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND pos >= h
+), r AS (
+    SELECT conv_id, row_number() OVER o AS depth, length(text) AS chars,
+           string_agg(md5(length(role) || ':' || role || text), '') OVER (
+               PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING) AS node
+    FROM b WINDOW o AS (PARTITION BY conv_id ORDER BY part, pos)
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), k AS (
+    SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above,
+           max(depth) OVER (PARTITION BY conv_id) = depth AS stops FROM r
+), n AS (
+    SELECT node, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id,
+           count(*) AS n_convs, any_value(chars) AS chars,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends_sha256
+    FROM k GROUP BY node
+), f AS (
+    SELECT n.*, p.conv_id AS parent_conv_id, coalesce(m.n_children, 0) AS n_children
+    FROM n LEFT JOIN n p ON p.node = n.above
+    LEFT JOIN (SELECT above, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above) m ON m.above = n.node
+), s AS (
+    SELECT r.node, sum((f.n_children = 0)::BIGINT)::BIGINT AS n_leaves,
+           sum((f.n_convs - 1) * f.chars)::BIGINT AS saved_tokens
+    FROM f JOIN r ON r.conv_id = f.conv_id AND r.depth <= f.depth GROUP BY r.node
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM f JOIN s USING (node)
 """,
     "op10_warc": """
 WITH p AS (
