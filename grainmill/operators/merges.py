@@ -16,10 +16,10 @@ import pyarrow as pa
 NO_PIECE = float("inf")
 LONG = 48
 # Cells of the array of symbols that one step holds.
-CELLS = 1 << 20
+CELLS = 1 << 18
 # Words and tokens that a task remembers; beyond that it starts anew.
-REMEMBERED_WORDS = 1 << 19
-REMEMBERED_TOKENS = 1 << 22
+REMEMBERED_WORDS = 1 << 18
+REMEMBERED_TOKENS = 1 << 21
 
 _NONE = np.iinfo(np.int32).max
 _UNKNOWN, _GONE = -1, -2
