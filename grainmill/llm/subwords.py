@@ -19,6 +19,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from grainmill.llm import words as W
 from grainmill.operators.merges import Merges, WordTokens, marked_tokens
 
 MARK = "▁"
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+# Ids that one step decodes; a longer row is a step of its own.
+STEP_IDS = 1 << 18
 ENCODED = "doc_id long, ids array<int>, begins array<int>, ends array<int>"
 UNKNOWN_TEXT = " ⁇ "
 
@@ -269,8 +272,10 @@ class Normaliser:
 def flat_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, end to end, and their offsets (rows + 1); null is empty."""
     raw = pc.fill_null(texts, "").cast(pa.large_binary())
-    ends = np.concatenate(([0], np.cumsum(pc.binary_length(raw).to_numpy())))
-    return np.frombuffer(b"".join(raw.to_pylist()), np.uint8), ends.astype(np.int64)
+    _, offsets, data = raw.buffers()
+    ends = np.frombuffer(offsets, np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    flat = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return flat[ends[0] : ends[-1]], ends - ends[0]
 
 
 class Codec:
@@ -288,9 +293,7 @@ class Codec:
         ):
             raise ValueError("the 256 byte pieces must be in order")
         self.first_byte = bytes_of[0]
-        self.known = WordTokens(
-            Merges({p: -model.scores[i] for p, i in ids.items()}, ids, self.first_byte)
-        )
+        self.ids = ids
         # What each id decodes to, end to end; a mark in front may be left out.
         raw = []
         for piece, kind in zip(model.pieces, model.kinds):
@@ -308,6 +311,11 @@ class Codec:
         self.is_byte = np.array([k == BYTE for k in model.kinds])
         self.is_control = np.array([k == CONTROL for k in model.kinds])
 
+    @cached_property
+    def known(self) -> WordTokens:
+        priority = {p: -self.model.scores[i] for p, i in self.ids.items()}
+        return WordTokens(Merges(priority, self.ids, self.first_byte))
+
     def encode(
         self, texts: pa.Array
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -426,12 +434,19 @@ def decoder(path: str | None = None) -> Callable[[Column], Column]:
     """Ids column -> text column; null ids give null."""
     place = path or model_path()
 
+    def part(rows: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        texts = codec(place).decode(upto, rows.flatten().to_numpy(zero_copy_only=False))
+        return pc.if_else(rows.is_null(), None, texts)
+
     @F.arrow_udf("string")
     def decode(rows: pa.Array) -> pa.Array:
-        upto = rows.offsets.to_numpy().astype(np.int64)
-        flat = rows.flatten().to_numpy(zero_copy_only=False)
-        texts = codec(place).decode(upto - upto[0], flat)
-        return pc.if_else(rows.is_null(), None, texts)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        step = np.cumsum(sizes, dtype=np.int64) // STEP_IDS
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(rows)]
+        texts = [part(rows[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return pa.concat_arrays([pa.array([], pa.string()), *texts])
 
     return decode
 
