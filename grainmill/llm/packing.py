@@ -32,8 +32,13 @@ BLOCK_SEQUENCES = 4096
 # Words a worker remembers with their ids; the memory is emptied when it is full.
 REMEMBERED_WORDS = 800_000
 # Letters and the marks after them are pieces apart in any case; a space between them lets
-# "end" and "end." share what is remembered.
-LETTERS_MARKS = r"(\p{L})([.,!?*$%&#:;()-])"
+# "end" and "end." share what is remembered. Left out are letters that the tokenizer's
+# normaliser turns into a letter and a combining mark (U+0130 among these ranges has one), as such
+# a mark and those after it are one piece.
+LETTERS_MARKS = (
+    r"([A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3F5}"
+    r"\x{400}-\x{481}\x{48A}-\x{52F}])([.,!?*$%&#:;()-])"
+)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
