@@ -82,11 +82,13 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     for name, table in _CLASSES.items():
         out[name] = _row_sums(table[data], ends)
 
-    # A 3-word window is three codes of 21 bits; a step has far fewer distinct words.
+    # A 3-word window is the number of a distinct pair and a word, so that both fit whatever the
+    # number of words is.
     windows = np.zeros(len(codes), dtype=bool)
     if len(codes) >= 3:
         c = codes.astype(np.int64)
-        key = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+        pair = pa.array((c[:-2] << 32) | c[1:-1]).dictionary_encode().indices
+        key = (pair.to_numpy(zero_copy_only=False).astype(np.int64) << 32) | c[2:]
         inside = np.flatnonzero(row[:-2] == row[2:])
         windows[inside] = _repeated(row[inside], key[inside])
     covered = windows.copy()
