@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from grainmill.functions.hashing import shuffle_bucket, shuffle_key
+from grainmill.functions.hashing import shuffle_bucket, shuffle_key, uniform
 from grainmill.session import shuffle_partitions
 from grainmill.sources.tables import via_table
 
@@ -102,6 +102,36 @@ def with_shuffled_positions(
     ).drop(ORDER)
 
 
+def with_sorted_positions(
+    df: DataFrame, order: Sequence[Column | str], *, group: Sequence[str] = (), position: str = "pos"
+) -> DataFrame:
+    """Add each row's 0-based position in its group by any order, by a range sort of all rows.
+
+    The sorted rows are written once with the number of their part and of the row in it; a table
+    of one row for each part that a group reaches into gives the offsets. A group may fill many
+    parts. Rows that are equal in ``order`` are numbered as they come.
+    """
+    columns = [*group, *order]
+    rows = via_table(
+        df.repartitionByRange(*columns)
+        .sortWithinPartitions(*columns)
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id()),
+        "sorted",
+    )
+    keys = [*group, "_part"]
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy(*keys)
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    )
+    placed = rows.join(starts, keys).withColumn(
+        position, F.col("_before") + F.col("_row") - F.col("_first")
+    )
+    return placed.drop("_part", "_row", "_first", "_rows", "_before")
+
+
 def with_shuffled_spans(
     df: DataFrame,
     key: str,
@@ -112,6 +142,7 @@ def with_shuffled_spans(
     num_shards: int,
     weight: str | None = None,
     n_slices: int | None = None,
+    first: str | None = None,
 ) -> DataFrame:
     """Lay each shard's shuffled rows end to end and cut the line every ``size``.
 
@@ -125,17 +156,23 @@ def with_shuffled_spans(
     started, and a row that lies across is sent to both. Rows that share a key are one entry
     of the keys, so a border never falls between them: all of them go to both sides, and are
     ordered by a hash of their content on either.
+
+    Rows with a true ``first`` column come before all others, by key. They are few: what was left
+    over from an earlier part of the line.
     """
     n = n_slices or default_slices(df)
     units = F.col(weight) if weight else F.lit(1)
     place = F.struct(ORDER, key)
+    shuffled = shuffle_key(seed, F.col(key))
+    if first:
+        shuffled = F.when(F.col(first), F.lit("")).otherwise(shuffled)
+    keyed = df.withColumn(ORDER, shuffled)
 
     def sliced(rows: DataFrame) -> DataFrame:
-        keyed = rows.withColumn(ORDER, shuffle_key(seed, F.col(key)))
-        return keyed.withColumn(SLICE, shuffle_bucket(F.col(ORDER), n))
+        return rows.withColumn(SLICE, shuffle_bucket(F.col(ORDER), n))
 
     # Written, so that wide rows are read once for their units and once to be placed.
-    entries = via_table(df.groupBy(shard, key).agg(F.sum(units).alias("_units")), "span-keys")
+    entries = via_table(keyed.groupBy(shard, ORDER, key).agg(F.sum(units).alias("_units")), "span-keys")
     # Written, so that its size is known when the join is chosen.
     cells = via_table(_span_cells(sliced(entries), key, shard, size), "span-cells")
     tie = F.xxhash64(*[c for c in df.columns if c not in (shard, key)])
@@ -148,7 +185,7 @@ def with_shuffled_spans(
         W.partitionBy(shard, "cell").orderBy(ORDER, key, tie).rowsBetween(W.unboundedPreceding, -1)
     )
     return (
-        sliced(df)
+        sliced(keyed)
         .join(cells, [shard, SLICE])
         .withColumn("_to", F.explode(targets))
         .select(*df.columns, ORDER, "_to.cell", "_to.start", "_to.first_span", "_to.end_span")
@@ -196,6 +233,44 @@ def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     )
 
 
+def buffer_slot(seed: int, shard: Column, position: Column, size: int) -> Column:
+    """Where the row at a position of its shard goes in a buffer of ``size`` rows.
+
+    The first ``size`` rows fill the buffer; each later one takes the place of a random row.
+    """
+    drawn = uniform(seed, F.concat_ws(":", F.lit("buffer"), shard, position), 0)
+    return F.when(position < size, position).otherwise(F.floor(drawn * size)).cast("bigint")
+
+
+def with_buffer_turns(
+    df: DataFrame, seed: int, size: int, *, shard: str, position: str, turn: str = "turn"
+) -> DataFrame:
+    """Add ``slot``, and the ``turn`` at which a row leaves a shuffle buffer of ``size`` rows.
+
+    A row leaves when a later row of its shard is drawn to its slot, so its turn is the position
+    of the next row with that slot, less the size: no buffer has to be played through, and a
+    shard is spread over its slots. Rows that no other replaces have a null turn; they are the
+    buffer at the end, ``size`` rows of a shard at most.
+    """
+    slotted = df.withColumn("slot", buffer_slot(seed, F.col(shard), F.col(position), size))
+    after = F.lead(position).over(W.partitionBy(shard, "slot").orderBy(position))
+    return slotted.withColumn(turn, after - size)
+
+
+def with_flushed_turns(
+    df: DataFrame, seed: int, size: int, *, shard: str, position: str, turn: str = "turn"
+) -> DataFrame:
+    """Turns of the rows left in the buffer when no more come, in a seeded random order.
+
+    ``df`` has what ``with_buffer_turns`` left over, ``size`` rows of a shard at most; their turns
+    go on after those of all rows that have left.
+    """
+    drawn = shuffle_key(seed, F.concat_ws(":", F.lit("flush"), shard, position))
+    rank = F.row_number().over(W.partitionBy(shard).orderBy(drawn, position)) - 1
+    last = F.max(position).over(W.partitionBy(shard))
+    return df.withColumn(turn, F.greatest(last + 1 - size, F.lit(0)) + rank)
+
+
 def sanity_limit(df: DataFrame, *order: str, n: int = 1000) -> DataFrame:
     """The first ``n`` rows: each task keeps its own ``n`` best before they are merged."""
     return df.orderBy(*order).limit(n)

@@ -62,6 +62,38 @@ def pack_groups(
     return cut_padded(groups, seq_length, ids=ids, pad_id=pad_id)
 
 
+def pack_groups_and_rest(
+    df: DataFrame,
+    seq_length: int,
+    num_sequences: int,
+    *,
+    ids: str = "input_ids",
+    shard: str = SHARD,
+    pad_id: int = PAD_ID,
+) -> DataFrame:
+    """As ``pack_groups``, with the rows of incomplete groups: ``full`` is false for them, and
+    ``chunk`` is their place in the group."""
+    doc = F.struct("before", F.col(ids).alias("ids"))
+    docs = F.array_sort("docs")["ids"]
+    n_out = F.when(F.col("full"), F.ceil(F.size("flat") / seq_length)).otherwise(F.size("docs"))
+    cut = F.slice(F.col("flat"), _start("chunk", seq_length), F.lit(seq_length))
+    return (
+        df.withColumn("grp", F.floor(F.col("before") / num_sequences))
+        .where((F.col("grp") >= F.col("first_span")) & (F.col("grp") < F.col("end_span")))
+        .groupBy(shard, "cell", "grp")
+        .agg(F.collect_list(doc).alias("docs"))
+        .select(shard, "grp", docs.alias("docs"), (F.size("docs") == num_sequences).alias("full"))
+        .withColumn("flat", F.when(F.col("full"), F.flatten("docs")))
+        .withColumn("chunk", F.explode(_count_up(n_out.cast("bigint"))))
+        .select(
+            shard, "grp", "chunk", "full",
+            F.when(F.col("full"), pad_to(cut, seq_length, pad_id))
+            .otherwise(F.get("docs", F.col("chunk").cast("int")))
+            .alias(ids),
+        )
+    )
+
+
 def cut_padded(
     df: DataFrame, seq_length: int, *, ids: str, pad_id: int = PAD_ID, chunk: str = "chunk"
 ) -> DataFrame:
@@ -75,14 +107,19 @@ def cut_padded(
 
 
 def pack_stream(
-    df: DataFrame, seq_length: int, *, ids: str = "input_ids", shard: str = SHARD
+    df: DataFrame,
+    seq_length: int,
+    *,
+    ids: str = "input_ids",
+    shard: str = SHARD,
+    keep_tail: bool = False,
 ) -> DataFrame:
     """Cut the endless token stream of each shard every ``seq_length`` tokens.
 
     Takes the output of ``with_shuffled_spans`` with spans of ``seq_length`` tokens: a chunk is
     a span. Rows are cut at chunk borders into pieces, and the pieces of a chunk, which are
     already in one partition, are put together; a task holds one chunk at a time, never a
-    shard. A last, shorter chunk is left out.
+    shard. A last, shorter chunk is left out unless ``keep_tail`` is set.
     """
     before, n = F.col("before"), F.size(ids)
     first = F.greatest(F.floor(before / seq_length), F.col("first_span"))
@@ -104,6 +141,6 @@ def pack_stream(
     return (
         pieces.groupBy(shard, "cell", "chunk")
         .agg(F.collect_list("piece").alias("pieces"), F.sum("n").alias("n"))
-        .filter(F.col("n") == seq_length)
+        .filter(F.lit(keep_tail) | (F.col("n") == seq_length))
         .select(shard, "chunk", F.flatten(F.array_sort("pieces")["ids"]).alias(ids))
     )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from grainmill.operators.dispatch import REASON
 from grainmill.session import shuffle_partitions
+from grainmill.sources.commits import read_writes, write_once
 
 
 def write_batches(df: DataFrame, path: str) -> None:
@@ -22,13 +25,44 @@ def write_batches(df: DataFrame, path: str) -> None:
     )
 
 
-def write_rejects(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+ROWS = "rows"
 
 
-def append_step_log(df: DataFrame, path: str) -> None:
-    """Add rows of step metrics, or of (question, prediction), to a log table."""
-    df.write.mode("append").parquet(path)
+def write_rejects(df: DataFrame, path: str, write_id: str | None = None) -> bool:
+    """Add rejected rows to a table; with a ``write_id`` the same write takes effect once."""
+    return _append(df, path, write_id)
+
+
+def append_step_log(df: DataFrame, path: str, write_id: str | None = None) -> bool:
+    """Add rows of step metrics, or of (question, prediction), to a log table.
+
+    A run that starts anew from an earlier step writes some intervals again; with a ``write_id``
+    for each of them the log has them once. Such a table is read with ``read_log``.
+    """
+    return _append(df, path, write_id)
+
+
+def _append(df: DataFrame, path: str, write_id: str | None) -> bool:
+    if write_id is None:
+        df.write.mode("append").parquet(path)
+        return True
+    return write_once({ROWS: df}, path, write_id)
+
+
+def read_log(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of all finished writes that had a ``write_id``."""
+    return read_writes(spark, path, ROWS, schema)
+
+
+def write_sorted_out(df: DataFrame, path: str, write_id: str) -> bool:
+    """Rows and rejects of one table (with a ``reject_reason``) in one pass and one write."""
+    kind = F.when(F.col(REASON).isNull(), "good").otherwise("rejected")
+    return write_once({ROWS: df.withColumn("kind", kind)}, path, write_id, partition_by={ROWS: ["kind"]})
+
+
+def read_sorted_out(spark: SparkSession, path: str, schema: str | StructType, *, rejected: bool = False) -> DataFrame:
+    """The rows, or the rejects, of all writes of ``write_sorted_out``."""
+    return read_writes(spark, path, ROWS, schema, inside=f"kind={'rejected' if rejected else 'good'}")
 
 
 def write_jsonl(df: DataFrame, folder: str, *, source: str = "source", line: str = "value") -> None:

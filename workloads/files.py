@@ -11,7 +11,7 @@ from grainmill.plans import prepare
 from grainmill.session import scratch_dir
 from grainmill.sources import jsonl, sinks
 from grainmill.sources.tables import read_table
-from grainmill.streaming import packing as stream_packing, run
+from grainmill.streaming import carry, packing as stream_packing, run
 from workloads import rows
 from workloads.base import big, digest, query, sql_digest, sql_order, sql_points, sql_shard
 from workloads.shaping import PACKED, SQL_CHUNK_DIGESTS, SQL_STREAM, chunk_digests, documents
@@ -122,6 +122,38 @@ def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query(
+    "log_twice",
+    f"""WITH {rows.SQL_STEPS}
+    SELECT user_id, step, value AS loss FROM steps WHERE step % 5 = 0 AND step > 0""",
+)
+def log_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that a run writes, stops, and writes again from an earlier step on."""
+    due = rows.interval_rows(spark, sf_dir).where("due = 'log'").drop("due")
+    path = scratch_dir(spark, "log-twice")
+    parts = {"steps-000-049": due.where("step < 50"), "steps-050-": due.where("step >= 50")}
+    for name in ("steps-000-049", "steps-050-", "steps-000-049", "steps-050-"):
+        sinks.append_step_log(parts[name], path, name)
+    return sinks.read_log(spark, path, due.schema)
+
+
+@query("stream_rejects", SQL_LINES)
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and rejects of each micro-batch from one pass; every batch is played twice."""
+    folder, out = jsonl_folder(spark, sf_dir), scratch_dir(spark, "stream-rejects")
+    stream = jsonl.stream_jsonl(spark, folder, SCHEMA, max_files=5, strict=False)
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(2):
+            sinks.write_sorted_out(batch, f"{out}/lines", carry.write_id(batch_id))
+
+    carry.run_batches(stream, twice, f"{out}/checkpoint")
+    schema = "source string, doc_id long, text string, reject_reason string"
+    good = sinks.read_sorted_out(spark, f"{out}/lines", schema)
+    bad = sinks.read_sorted_out(spark, f"{out}/lines", schema, rejected=True)
+    return line_digests(good.unionByName(bad))
+
+
 @query(
     "stream_resume",
     f"""WITH placed AS (
