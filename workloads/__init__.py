@@ -4,7 +4,7 @@ import sys
 
 from pyspark import cloudpickle
 
-from workloads import dialogue, files, rows, shaping, streams, tokens, transforms  # noqa: F401
+from workloads import dialogue, files, rows, shaping, stores, streams, tokens, transforms  # noqa: F401
 from workloads.base import QUERIES, SQL
 
 # Executors need not have these modules: functions of them travel with the query.

@@ -266,12 +266,12 @@ SQL_BATCHES = f"""{SQL_SHUFFLED}, batches AS (
   FROM shuffled)"""
 
 
-def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def batched(spark: SparkSession, sf_dir: str, *further: str) -> DataFrame:
     cfg = PrepConfig(
         mode="pretrain", seq_length=LENGTH, world_size=RANKS, train_batch_size=BATCH
     )
     rows = prepare.to_batches(documents(spark, sf_dir).select("doc_id"), cfg, "doc_id")
-    return rows.select("doc_id", big("rank").alias("rank"), "batch_id")
+    return rows.select("doc_id", big("rank").alias("rank"), "batch_id", *further)
 
 
 @query("batch_assign", f"WITH {SQL_BATCHES} SELECT doc_id, rank, batch_id FROM batches")

@@ -6,9 +6,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from grainmill.functions.hashing import shard_of
 from grainmill.functions.text import code_points
-from grainmill.operators import dispatch, evaluate
-from workloads.base import digest, query, sql_digest, sql_points
+from grainmill.operators import batches, evaluate
+from workloads.base import big, digest, query, sql_digest, sql_order, sql_points, sql_shard
 from workloads.shaping import documents
 
 LEAST_WORDS = 40
@@ -108,3 +109,34 @@ def mixed_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "reject_reason",
     )
+
+
+BATCH_ROWS, BATCH_SHARDS = 16, 4
+
+
+def running_sizes(batch: pa.Table, shard: int, number: int) -> pa.Table:
+    """Characters so far in the batch for each row, and a last row with the number of rows."""
+    upto = pc.cumulative_sum(pc.utf8_length(batch.column("text")).cast(pa.int64()))
+    sizes = pa.chunked_array([*upto.chunks, pa.array([batch.num_rows])], pa.int64())
+    docs = pa.chunked_array([*batch.column("doc_id").chunks, pa.nulls(1, pa.int64())], pa.int64())
+    return pa.table({"doc_id": docs, "n_chars": sizes})
+
+
+@query(
+    "batch_map",
+    f"""WITH placed AS (
+      SELECT doc_id, text, shard, row_number() OVER (PARTITION BY shard ORDER BY {sql_order()}, doc_id) - 1 AS pos
+      FROM (SELECT doc_id, text, {sql_shard(BATCH_SHARDS)} AS shard FROM documents)),
+    summed AS (
+      SELECT shard, pos // {BATCH_ROWS} AS batch, doc_id, sum(length(text)) OVER (
+        PARTITION BY shard, pos // {BATCH_ROWS} ORDER BY pos)::BIGINT AS n_chars FROM placed)
+    SELECT shard::BIGINT AS shard, batch, doc_id, n_chars FROM summed
+    UNION ALL SELECT shard, batch, NULL, count(*) FROM summed GROUP BY shard, batch""",
+)
+def batch_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    sharded = docs.withColumn("shard", shard_of(42, F.col("doc_id"), BATCH_SHARDS))
+    made = batches.map_batches(
+        sharded, running_sizes, BATCH_ROWS, "doc_id long, n_chars long", key="doc_id", seed=42
+    )
+    return made.select("doc_id", "n_chars", big("shard").alias("shard"), "batch")
