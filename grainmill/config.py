@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
-MODES = ("pretrain", "instruct")
+MODES = ("pretrain", "instruct", "preference")
 # Keys of a recipe's data section that steer training alone.
 TRAINING_ONLY = {"tokenizer_model_path"}
 SAMPLE_MODES = ("truncation", "none", "sample", "split")
@@ -14,7 +14,8 @@ SAMPLE_MODES = ("truncation", "none", "sample", "split")
 @dataclass(frozen=True)
 class PrepConfig:
     mode: str
-    seq_length: int
+    # Not used by preference recipes, whose rows stay text.
+    seq_length: int | None = None
     data: Mapping[str, str] | None = None
     pad_to_max: bool = True
     sequence_sample_mode: str = "truncation"
@@ -27,15 +28,24 @@ class PrepConfig:
     num_shards: int = 1
     world_size: int = 1
     train_batch_size: int = 1
+    # Preference recipes: only the first rows, and pairs of at most so many characters.
+    sanity_check: bool = False
+    max_pair_chars: int | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
             raise ValueError(f"dataset mode {self.mode!r} not found, expected one of {MODES}")
         if self.sequence_sample_mode not in SAMPLE_MODES:
             raise ValueError(f"unknown sequence_sample_mode {self.sequence_sample_mode!r}")
-        for name in ("seq_length", "num_shards", "world_size", "train_batch_size"):
-            if getattr(self, name) < 1:
+        if self.seq_length is None and self.mode != "preference":
+            raise ValueError("seq_length is missing")
+        for name in ("seq_length", "num_shards", "world_size", "train_batch_size", "max_pair_chars"):
+            if getattr(self, name) is not None and getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
+        if self.mode != "preference" and (self.sanity_check or self.max_pair_chars is not None):
+            raise ValueError("sanity_check and max_pair_chars belong to preference recipes")
+        if self.mode == "preference" and self.concat_multiple_sequence:
+            raise ValueError("preference recipes are not packed")
         packs = self.concat_multiple_sequence
         if packs and (self.num_sequences is None or self.num_sequences < 1):
             raise ValueError("concat_multiple_sequence needs num_sequences")

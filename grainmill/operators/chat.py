@@ -60,13 +60,17 @@ def render_messages(
     return F.when(reason.isNull(), F.array_join(rendered, "")), reason
 
 
-def render_conversations(df: DataFrame, slab: int = SLAB) -> DataFrame:
+def render_conversations(
+    df: DataFrame, slab: int = SLAB, *, use_default_system_prompt: bool = False
+) -> DataFrame:
     """``conv_id, n_turns, chat, reject_reason`` from message rows (conv_id, turn, role, text).
 
     ``turn`` is the message index, so role alternation is a sum over rows instead of a window,
     and slabs of ``slab`` turns are rendered on their own before a conversation's few slab
     strings are put together. ``slab`` must be at least 2, so that a leading system message
-    and the first user message are in the same slab.
+    and the first user message are in the same slab. With ``use_default_system_prompt`` a chat
+    without a system message, whose first message does not hold the marker of one, gets the
+    default one.
     """
     is_user = F.coalesce(F.col("role") == "user", F.lit(False))
     even = F.col("turn") % 2 == 0
@@ -83,7 +87,13 @@ def render_conversations(df: DataFrame, slab: int = SLAB) -> DataFrame:
             F.sum(((is_user == even) & ~leads).cast("int")).alias("bad_system"),
             F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("msgs"),
         )
-        .withColumn("part", _slab_text(F.col("msgs"), F.col("has_system") == 1))
+        .withColumn(
+            "part",
+            _slab_text(
+                F.col("msgs"), F.col("has_system") == 1,
+                (F.col("slab") == 0) & F.lit(use_default_system_prompt),
+            ),
+        )
     )
     joined = slabs.groupBy("conv_id").agg(
         F.sum("n").alias("n_turns"),
@@ -109,16 +119,16 @@ def render_conversations(df: DataFrame, slab: int = SLAB) -> DataFrame:
     )
 
 
-def _slab_text(msgs: Column, has_system: Column) -> Column:
+def _slab_text(msgs: Column, has_system: Column, may_default: Column) -> Column:
     """Text of one slab; its first message is the system message if ``has_system``."""
     rest = F.when(has_system, F.slice(msgs, F.lit(2), F.size(msgs))).otherwise(msgs)
+    unmarked = ~F.contains(msgs[0]["text"], F.lit(B_SYS.strip()))
+    system = F.when(has_system, msgs[0]["text"]).when(may_default & unmarked, F.lit(DEFAULT_SYSTEM_PROMPT))
     texts = F.transform(
         rest,
         lambda m, i: render_message(
             m["role"],
-            F.when(
-                has_system & (i == 0), F.concat(_system_block(msgs[0]["text"]), m["text"])
-            ).otherwise(m["text"]),
+            F.when((i == 0) & system.isNotNull(), F.concat(_system_block(system), m["text"])).otherwise(m["text"]),
         ),
     )
     return F.array_join(texts, "")

@@ -16,13 +16,19 @@ from grainmill.operators import packing
 from grainmill.operators.dispatch import accepted, apply_by_source
 from grainmill.operators.order import sanity_limit, with_shuffled_spans, with_shuffled_positions
 from grainmill.operators.sharding import assign_batches
-from grainmill.sources.jsonl import read_jsonl
+from grainmill.sources import lines
+from grainmill.sources.jsonl import parse_lines, read_jsonl
 from grainmill.sources.tables import via_table
-from grainmill.operators.templates import preference_pairs, render_instructions
+from grainmill.operators.templates import filter_pair_length, preference_pairs, render_instructions
 
 INSTRUCTION_COLUMNS = (
     "instruction string, input string, output string, history array<array<string>>"
 )
+PREFERENCE_COLUMNS = "question string, response_j string, response_k string"
+COLUMNS = {
+    "pretrain": "text string", "instruct": INSTRUCTION_COLUMNS, "preference": PREFERENCE_COLUMNS,
+}
+ROW_KEY = "row_key"
 Encode = Callable[[Column], Column]
 
 
@@ -153,38 +159,53 @@ def read_sequences(
     return pack_tokens(tokens, cfg, lambda ids: ids, F.size("input_ids"), key=key, text="input_ids")
 
 
+def read_rows(spark: SparkSession, cfg: PrepConfig, key: str | None) -> DataFrame:
+    """The rows of a recipe's files, with the column ``key`` of the files or a ``row_key`` made for
+    them: the pattern's name, the path of the file, and the offset of the line."""
+    if not cfg.data:
+        raise ValueError("the recipe names no data")
+    columns = COLUMNS[cfg.mode]
+    if key is not None:
+        return read_jsonl(spark, cfg.data, T.StructType.fromDDL(f"{key} long, {columns}"))
+    found = lines.read_named(spark, cfg.data).withColumn(ROW_KEY, F.concat_ws(":", "name", "path", "offset"))
+    return parse_lines(found.drop("path", "offset"), T.StructType.fromDDL(columns), strict=True)
+
+
 def run(
-    spark: SparkSession, cfg: PrepConfig, encode: Encode, *, key: str | None = None
+    spark: SparkSession, cfg: PrepConfig, encode: Encode | None = None, *, key: str | None = None
 ) -> DataFrame:
     """The whole job of a recipe: its files, its mode, its ranks and batches.
 
-    ``key`` names a column of the files. Without one, a row is known by its source and content;
-    equal rows share a key and are all kept. With ``split_by_shard`` a rank gets whole shards,
-    otherwise every ``world_size``-th row.
+    ``key`` names a unique column of the files; without one, a row is known by its place. Rows made
+    of one row of the files are told apart by the number of their turn or chunk. With
+    ``split_by_shard`` a rank gets whole shards, otherwise every ``world_size``-th row. Preference
+    rows stay text and need no ``encode``.
     """
-    if not cfg.data:
-        raise ValueError("the recipe names no data")
-    columns = "text string" if cfg.mode == "pretrain" else INSTRUCTION_COLUMNS
-    schema = f"{key} long, {columns}" if key else columns
-    rows = read_jsonl(spark, cfg.data, T.StructType.fromDDL(schema))
-    if key is None:
-        key = "row_key"
-        content = F.to_json(F.struct(*rows.columns))
-        rows = rows.withColumn(key, F.md5(content))
-    if cfg.mode == "pretrain":
+    rows = read_rows(spark, cfg, key)
+    key = key or ROW_KEY
+    if cfg.mode == "preference":
+        whole = F.col("question").isNotNull() & F.col("response_j").isNotNull() & F.col("response_k").isNotNull()
+        made = preference(rows.where(whole), key, sanity_check=cfg.sanity_check)
+        if cfg.max_pair_chars is not None:
+            made = filter_pair_length(made, cfg.max_pair_chars)
+        parts = []
+    elif cfg.mode == "pretrain":
         made = pretrain(rows, cfg, encode, key=key)
-        if cfg.concat_multiple_sequence:
-            key = "row_key"
-            made = made.withColumn(key, F.concat_ws("-", packing.SHARD, "grp", "chunk"))
+        packed = cfg.concat_multiple_sequence
+        parts = [packing.SHARD, "grp", "chunk"] if packed else [key, "chunk"] if "chunk" in made.columns else []
     else:
         made = instruct(rows, cfg, encode)
+        parts = [key, "turn"]
+    if parts:
+        key = "_made_from"
+        made = made.withColumn(key, F.concat_ws("-", *parts))
     if not cfg.split_by_shard:
-        return to_batches(made, cfg, key)
+        return to_batches(made, cfg, key).drop("_made_from")
     if packing.SHARD not in made.columns:
         made = with_shard(made, cfg, key)
     made = via_table(made.withColumn("rank", F.col(packing.SHARD) % cfg.world_size), "rows")
     placed = with_shuffled_positions(made, key, cfg.seed, group=["rank"])
-    return placed.withColumn("batch_id", F.floor(F.col("pos") / cfg.train_batch_size))
+    return placed.withColumn("batch_id", F.floor(F.col("pos") / cfg.train_batch_size)).drop("_made_from")
 
 
 def to_batches(df: DataFrame, cfg: PrepConfig, key: str) -> DataFrame:

@@ -49,3 +49,15 @@ def test_misspelt_keys_are_refused():
     recipe = {"data": {"mode": "pretrain", "seq_length": 8, "pad_to_maxx": True}}
     with pytest.raises(ValueError, match="pad_to_maxx"):
         PrepConfig.from_dict(recipe)
+
+
+def test_preference_recipes():
+    cfg = PrepConfig(mode="preference", sanity_check=True, max_pair_chars=100)
+    assert cfg.seq_length is None
+    for bad in (
+        {"mode": "pretrain"}, {"mode": "instruct", "seq_length": 8, "sanity_check": True},
+        {"mode": "pretrain", "seq_length": 8, "max_pair_chars": 5}, {"mode": "preference", "max_pair_chars": 0},
+        {"mode": "preference", "concat_multiple_sequence": True, "num_sequences": 2},
+    ):
+        with pytest.raises(ValueError):
+            PrepConfig(**bad)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.config import PrepConfig
-from grainmill.constants import IGNORE_INDEX, PAD_ID
+from grainmill.constants import DEFAULT_SYSTEM_PROMPT, IGNORE_INDEX, PAD_ID
 from grainmill.functions.text import code_points
 from grainmill.operators import chat, dispatch, templates
 from grainmill.plans import prepare
@@ -220,6 +220,44 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dispatch.accepted(chat.render_conversations(conversations(spark, sf_dir)))
 
 
+# Chats without their system message; every fifth one begins with a marker of its own.
+OWN_MARK = "<<SYS>> mine "
+SQL_DEFAULT = DEFAULT_SYSTEM_PROMPT.replace("'", "''").replace("\n", "' || chr(10) || '")
+SQL_PROMPTED = f"""numbered AS (
+  SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, text
+  FROM conversations WHERE role <> 'system'),
+messages AS (
+  SELECT conv_id, role, turn, CASE WHEN turn > 0 THEN text WHEN conv_id % 5 = 0 THEN '{OWN_MARK}' || text
+    ELSE '<<SYS>>' || chr(10) || '{SQL_DEFAULT}' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || text END AS text
+  FROM numbered)"""
+
+
+@query(
+    "chat_default_prompt",
+    f"""WITH {SQL_PROMPTED}, {SQL_CHAT}
+    SELECT form, conv_id, md5(chat) AS chat_md5
+    FROM chats CROSS JOIN (VALUES ('rows'), ('array')) t(form) WHERE reject_reason IS NULL""",
+)
+def chat_default_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default system message, from message rows and from arrays of messages."""
+    messages = conversations(spark, sf_dir).where("role <> 'system'")
+    slab = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    whole = messages.groupBy("conv_id").agg(slab.alias("m"))
+    first = F.concat(F.when(F.col("conv_id") % 5 == 0, F.lit(OWN_MARK)).otherwise(F.lit("")), "text")
+    rows = whole.select("conv_id", F.posexplode("m").alias("turn", "m")).select(
+        "conv_id", "turn", "m.role", "m.text"
+    )
+    rows = rows.withColumn("text", F.when(F.col("turn") == 0, first).otherwise(F.col("text")))
+    by_rows = dispatch.accepted(chat.render_conversations(rows, use_default_system_prompt=True))
+    message = F.struct("turn", "role", F.col("text").alias("content"))
+    arrays = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(message)).alias("m"))
+    text, reason = chat.render_messages(F.col("m"), use_default_system_prompt=True)
+    by_array = arrays.select("conv_id", text.alias("chat"), reason.alias("reason")).where("reason IS NULL")
+    return by_rows.select(F.lit("rows").alias("form"), "conv_id", F.md5("chat").alias("chat_md5")).unionByName(
+        by_array.select(F.lit("array").alias("form"), "conv_id", F.md5("chat").alias("chat_md5"))
+    )
+
+
 # The given chats are all in order, so faults are put in: a lost turn, and two user turns in a row.
 SQL_FAULTY = """messages AS (
   SELECT conv_id, CASE WHEN conv_id % 3 = 1 AND turn >= 2 THEN turn + 1 ELSE turn END AS turn,

@@ -12,7 +12,7 @@ from grainmill.session import scratch_dir
 from grainmill.sources import jsonl, sinks
 from grainmill.sources.tables import read_table
 from grainmill.streaming import carry, packing as stream_packing, run
-from workloads import rows
+from workloads import dialogue, rows
 from workloads.base import big, digest, query, sql_digest, sql_order, sql_points, sql_shard
 from workloads.shaping import PACKED, SQL_CHUNK_DIGESTS, SQL_STREAM, chunk_digests, documents
 from workloads.streams import STREAMED
@@ -221,3 +221,79 @@ def recipe_pretrain(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recipe_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipe_rows(spark, sf_dir, split_by_shard=True)
+
+
+def sql_dealt(table: str, key: str) -> str:
+    """``rank`` and ``batch_id`` of the shuffled rows of a table."""
+    return f"""dealt AS (
+      SELECT *, (pos % 4)::BIGINT AS rank, ((pos // 4) // 24)::BIGINT AS batch_id
+      FROM (SELECT *, row_number() OVER (ORDER BY {sql_order(key)}, {key}) - 1 AS pos FROM {table}))"""
+
+
+@query(
+    "recipe_instruct",
+    f"""WITH {dialogue.SQL_RECORDS}, samples AS (
+      SELECT doc_id, CASE WHEN input <> '' THEN 0 ELSE k END::BIGINT AS turn, o || '</s>' AS answer,
+             CASE WHEN input <> '' THEN {dialogue.SQL_WITH_INPUT.format(i='i', n='input', o='o')}
+             ELSE {dialogue.SQL_PLAIN.format(i='i', o='o')} END AS text FROM turns WHERE o IS NOT NULL),
+    {dialogue.sql_sft('samples')}, {sql_dealt('labelled', "(doc_id || '-' || turn)")}
+    SELECT doc_id, turn, rank, batch_id, {dialogue.SQL_SFT_COLUMNS} FROM dealt""",
+)
+def recipe_instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An instruction recipe from its files to ranks and batches; a record gives a row a turn."""
+    folder = scratch_dir(spark, "recipe-instruct")
+    records = dialogue.document_records(spark, sf_dir)
+    line = F.to_json(F.struct(*records.columns))
+    side = F.when(F.col("doc_id") % 3 == 0, "books").otherwise("web")
+    sinks.write_jsonl(records.select(side.alias("source"), line.alias("value")), folder)
+    files = {s: f"{folder}/part-{s}-*.jsonl" for s in ("books", "web")}
+    cfg = PrepConfig.from_dict({
+        "data": {"mode": "instruct", "seq_length": 1024, "world_size": 4, "data": files},
+        "train": {"train_batch_size": 24},
+    })
+    made = prepare.run(spark, cfg, code_points, key="doc_id")
+    return dialogue.sft_columns(made, "doc_id", "turn", "rank", "batch_id")
+
+
+PAIR_CHARS = 145
+# Three pairs a document, so that the limit of a sanity check cuts some off.
+SQL_PREFERENCE_ROWS = """given AS (
+  SELECT doc_id * 3 + k AS pair_id, k || ': ' || substr(text, 1, 30) AS question,
+         substr(text, 31, 40 + 20 * k) AS response_j, substr(text, 71, 40 + doc_id % 60) AS response_k
+  FROM documents CROSS JOIN range(3) t(k)),
+limited AS (SELECT * FROM given ORDER BY pair_id LIMIT 1000),
+kept AS (
+  SELECT pair_id, '### Instruction: ' || question || chr(10) || chr(10) || '### System: ' || chr(10) AS prompt,
+         response_j AS chosen, response_k AS rejected FROM limited)"""
+
+
+@query(
+    "recipe_preference",
+    f"""WITH {SQL_PREFERENCE_ROWS}, short AS (
+      SELECT * FROM kept WHERE length(prompt) + greatest(length(chosen), length(rejected)) <= {PAIR_CHARS}),
+    {sql_dealt('short', 'pair_id')}
+    SELECT pair_id, prompt, chosen, rejected, rank, batch_id FROM dealt""",
+)
+def recipe_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preference recipe as a sanity check: the first 1,000 pairs, less those that are too long."""
+    folder = scratch_dir(spark, "recipe-preference")
+    docs = documents(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    pairs = docs.select(
+        (F.col("doc_id") * 3 + F.col("k")).alias("pair_id"),
+        F.concat("k", F.lit(": "), F.substring("text", 1, 30)).alias("question"),
+        F.substr(F.col("text"), F.lit(31), 40 + 20 * F.col("k")).alias("response_j"),
+        F.substr(F.col("text"), F.lit(71), (40 + F.col("doc_id") % 60).cast("int")).alias("response_k"),
+    )
+    line = F.to_json(F.struct(*pairs.columns))
+    sinks.write_jsonl(pairs.select(F.lit("pairs").alias("source"), line.alias("value")), folder)
+    cfg = PrepConfig.from_dict({
+        "data": {
+            "mode": "preference", "sanity_check": True, "max_pair_chars": PAIR_CHARS, "world_size": 4,
+            "data": {"pairs": f"{folder}/part-pairs-*.jsonl"},
+        },
+        "train": {"train_batch_size": 24},
+    })
+    made = prepare.run(spark, cfg, key="pair_id")
+    return made.select(
+        "pair_id", "prompt", "chosen", "rejected", big("rank").alias("rank"), big("batch_id").alias("batch_id")
+    )
