@@ -9,6 +9,8 @@ result does not depend on the number of slices.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -19,6 +21,8 @@ from grainmill.sources.tables import via_table
 ORDER = "_order"
 SLICE = "_slice"
 SLICES_PER_PARTITION = 4
+# Rows that share a key go together up to this number.
+COPIES = 256
 
 
 def default_slices(df: DataFrame) -> int:
@@ -126,10 +130,11 @@ def with_sorted_positions(
         .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     )
-    placed = rows.join(starts, keys).withColumn(
-        position, F.col("_before") + F.col("_row") - F.col("_first")
+    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in keys]
+    at = F.col("s._before") + F.col("r._row") - F.col("s._first")
+    return rows.alias("r").join(starts.alias("s"), reduce(and_, same)).select(
+        *[F.col(f"r.`{c}`") for c in df.columns], at.alias(position)
     )
-    return placed.drop("_part", "_row", "_first", "_rows", "_before")
 
 
 def with_shuffled_spans(
@@ -155,7 +160,8 @@ def with_shuffled_spans(
     slice, which row starts the first span; rows before it go to the cell where their span
     started, and a row that lies across is sent to both. Rows that share a key are one entry
     of the keys, so a border never falls between them: all of them go to both sides, and are
-    ordered by a hash of their content on either.
+    ordered by a hash of their content on either. Of a key with more than ``COPIES`` rows, every
+    further ``COPIES`` of them are an entry with a place of its own, so no cell holds them all.
 
     Rows with a true ``first`` column come before all others, by key. They are few: what was left
     over from an earlier part of the line.
@@ -163,19 +169,30 @@ def with_shuffled_spans(
     n = n_slices or default_slices(df)
     units = F.col(weight) if weight else F.lit(1)
     place = F.struct(ORDER, key)
+    tie = F.xxhash64(*[c for c in df.columns if c not in (shard, key)])
     shuffled = shuffle_key(seed, F.col(key))
     if first:
         shuffled = F.when(F.col(first), F.lit("")).otherwise(shuffled)
+
+    def entries_of(rows: DataFrame) -> DataFrame:
+        # Written, so that wide rows are read once for their units and once to be placed.
+        return via_table(
+            rows.groupBy(shard, ORDER, key).agg(F.sum(units).alias("_units"), F.count(F.lit(1)).alias("_rows")),
+            "span-keys",
+        )
+
     keyed = df.withColumn(ORDER, shuffled)
+    entries = entries_of(keyed)
+    many = entries.where((F.col("_rows") > COPIES) & (F.col(ORDER) != ""))
+    if not many.isEmpty():
+        keyed = _spread_copies(keyed, many.select(shard, key), shard, key, tie, seed)
+        entries = entries_of(keyed)
 
     def sliced(rows: DataFrame) -> DataFrame:
         return rows.withColumn(SLICE, shuffle_bucket(F.col(ORDER), n))
 
-    # Written, so that wide rows are read once for their units and once to be placed.
-    entries = via_table(keyed.groupBy(shard, ORDER, key).agg(F.sum(units).alias("_units")), "span-keys")
     # Written, so that its size is known when the join is chosen.
     cells = via_table(_span_cells(sliced(entries), key, shard, size), "span-cells")
-    tie = F.xxhash64(*[c for c in df.columns if c not in (shard, key)])
     in_own = place >= F.col("_own_from")
     in_home = F.coalesce(place < F.col("_home_until"), F.lit(True))
     targets = F.array_compact(
@@ -194,6 +211,28 @@ def with_shuffled_spans(
     )
 
 
+def _spread_copies(
+    rows: DataFrame, many: DataFrame, shard: str, key: str, tie: Column, seed: int
+) -> DataFrame:
+    """Rows of the keys in ``many`` by copies: after the first ``COPIES`` ones, every further ones
+    are placed as if they had another key.
+
+    Copies are numbered by a hash of their content; rows that are equal in all may take each
+    other's numbers. The salt lets them fall into different parts of the sort that numbers them.
+    """
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"m.`{c}`")) for c in (shard, key)]
+    hit = same[0] & same[1] & (F.col(f"r.{ORDER}") != "")
+    others = rows.alias("r").join(many.alias("m"), hit, "left_anti").select(names)
+    own = rows.alias("r").join(many.alias("m"), hit, "left_semi").select(names)
+    own = own.withColumn("_tie", tie).withColumn("_salt", F.monotonically_increasing_id() % 1024)
+    numbered = with_sorted_positions(own, ["_tie", "_salt"], group=[shard, key], position="_copy")
+    block = F.floor(F.col("_copy") / COPIES)
+    apart = shuffle_key(seed, F.concat_ws("+", F.col(key).cast("string"), block))
+    spread = numbered.withColumn(ORDER, F.when(block == 0, F.col(ORDER)).otherwise(apart))
+    return others.unionByName(spread.select(names))
+
+
 def _span_cells(keys: DataFrame, key: str, shard: str, size: int) -> DataFrame:
     """Per shard and slice: where its own spans begin, and the cell of the span before them."""
     placed = with_positions(

@@ -217,3 +217,49 @@ def test_packing_moves_wide_rows_once(spark):
     stream = prepare.pack_tokens(df, cfg, lambda c: F.array(F.ascii(c)), F.lit(1))
     plan = stream._jdf.queryExecution().executedPlan().toString()
     assert plan.split("BroadcastExchange")[0].count("Exchange hashpartitioning") == 1
+
+
+def hot_rows(spark):
+    """A third of all rows has one key, half of those are equal in all."""
+    rng = random.Random(4)
+    rows = [(k, 0, [100 + k] * rng.randint(0, 6)) for k in range(4000)]
+    rows += [(7, 0, [5] * (1 + i % 3) if i % 2 else [6, 6]) for i in range(1700)]
+    rows += [(None, 0, [9, 9, 9])] * 300
+    rng.shuffle(rows)
+    return rows, spark.createDataFrame(rows, "k long, shard int, input_ids array<int>").repartition(6)
+
+
+@pytest.mark.parametrize("slices", [1, 16])
+def test_a_key_with_a_third_of_all_rows(spark, slices):
+    rows, df = hot_rows(spark)
+    placed = order.with_shuffled_spans(
+        df.withColumn("n", F.size("input_ids")), "k", 3, 10, shard="shard", num_shards=1, weight="n", n_slices=slices
+    )
+    chunks = packing.pack_stream(placed, 10, keep_tail=True)
+    got = sorted(t for r in chunks.collect() for t in r.input_ids)
+    assert got == sorted(t for _, _, ids in rows for t in ids)
+    assert sorted(r.chunk for r in chunks.collect()) == list(range(-(-len(got) // 10)))
+    groups = order.with_shuffled_spans(df, "k", 3, 8, shard="shard", num_shards=1, n_slices=slices)
+    packed_groups = packing.pack_groups(groups, 4, 8)
+    whole = [r.input_ids for r in packed_groups.collect()]
+    assert sum(t != PAD_ID for ids in whole for t in ids) == len(got)  # 6,000 rows are whole groups
+
+
+def test_no_cell_holds_a_hot_key(spark):
+    rows, df = hot_rows(spark)
+    placed = order.with_shuffled_spans(df, "k", 3, 8, shard="shard", num_shards=1, n_slices=6)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert len(sizes) == 6 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_the_place_of_copies_does_not_depend_on_slices(spark):
+    _, df = hot_rows(spark)
+
+    def chunks(slices):
+        placed = order.with_shuffled_spans(
+            df.withColumn("n", F.size("input_ids")), "k", 3, 10, shard="shard", num_shards=1, weight="n",
+            n_slices=slices,
+        )
+        return {r.chunk: r.input_ids for r in packing.pack_stream(placed, 10).collect()}
+
+    assert chunks(2) == chunks(23)
