@@ -29,6 +29,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# The folder that a local session without a checkpoint folder uses; settings of a running session
+# cannot be changed.
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder path for intermediate tables, under the cluster's checkpoint folder.
 
@@ -39,6 +44,8 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="grainmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_scratch:
+            _local_scratch[app] = tempfile.mkdtemp(prefix="grainmill-")
+        root = _local_scratch[app]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
