@@ -119,19 +119,19 @@ def with_sorted_positions(
     rows = via_table(
         df.repartitionByRange(*columns)
         .sortWithinPartitions(*columns)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id()),
+        .withColumn("_sort_part", F.spark_partition_id())
+        .withColumn("_sort_row", F.monotonically_increasing_id()),
         "sorted",
     )
-    keys = [*group, "_part"]
-    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    keys = [*group, "_sort_part"]
+    earlier = W.partitionBy(*group).orderBy("_sort_part").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*keys)
-        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .agg(F.min("_sort_row").alias("_sort_first"), F.count(F.lit(1)).alias("_sort_rows"))
+        .withColumn("_sort_before", F.coalesce(F.sum("_sort_rows").over(earlier), F.lit(0)))
     )
     same = [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in keys]
-    at = F.col("s._before") + F.col("r._row") - F.col("s._first")
+    at = F.col("s._sort_before") + F.col("r._sort_row") - F.col("s._sort_first")
     return rows.alias("r").join(starts.alias("s"), reduce(and_, same)).select(
         *[F.col(f"r.`{c}`") for c in df.columns], at.alias(position)
     )
