@@ -392,18 +392,19 @@ def near_copies(
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, that with the smallest doc_id, and all rows without a set.
 
-    All columns are kept. Equal rows are told apart by a running number.
+    All columns are kept. A null doc_id stays only where no row of the component has one. Equal
+    rows are told apart by a running number.
     """
-    near = near_copies(docs, **options)
-    stays = near.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("_first"))
+    near = W.bounded_rows(near_copies(docs, **options), "near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("_no_id"), "doc_id", "text_key"))
+    stays = near.where("group is not null").groupBy("group").agg(first.alias("_first"))
     stays = stays.select(F.col("_first.doc_id").alias("_doc"), F.col("_first.text_key").alias("_text"))
-    same = Window.partitionBy("_id", "_key").orderBy(F.lit(0))
+    many = W.many_copies(near.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), ["_id", "_key"])
     both = F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_text"))
     # A text without a word has no set; such rows meet no group and stay.
     empty = F.length(F.regexp_replace(F.coalesce("_row.text", F.lit("")), W.SPACE, "")) == 0
     return (
-        W.keyed_rows(docs)
-        .withColumn("_nth", F.row_number().over(same))
+        W.copy_numbers(W.keyed_rows(docs), ["_id", "_key"], many, "_nth")
         .join(stays, both, "left")
         .where(empty | (F.col("_text").isNotNull() & (F.col("_nth") == 1)))
         .select("_row.*")

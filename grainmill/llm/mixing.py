@@ -30,7 +30,7 @@ BLOCK_UNITS = 4096
 SEED = 7
 NEAR = 0.005
 
-UNIT = "doc_id long, text_key long, size long, source_no long, copies long, chance double"
+UNIT = "doc_id long, text_key long, nth long, size long, source_no long, copies long, chance double"
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def _round(number: int, last: bool, seed: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         # Long documents are settled first, so that those left open to the end are short.
         table = table.sort_by(
-            [("size", "descending")] + [(c, "ascending") for c in ("_order", "doc_id", "text_key")]
+            [("size", "descending")] + [(c, "ascending") for c in ("_order", "doc_id", "text_key", "nth")]
         )
         random = np.random.default_rng([seed, number, key[0].as_py(), key[1].as_py()])
         sizes = table.column("size").to_numpy()
@@ -171,7 +171,7 @@ def _round(number: int, last: bool, seed: int):
             chances = mend(sizes, table.column("chance").to_numpy(), land(sizes, chances))
         copies = table.column("copies").to_numpy() + (chances == 1)
         chances = np.where(chances == 1, 0.0, chances)
-        out = table.select(["doc_id", "text_key", "size", "source_no"])
+        out = table.select(["doc_id", "text_key", "nth", "size", "source_no"])
         return out.append_column("copies", pa.array(copies)).append_column(
             "chance", pa.array(chances)
         )
@@ -189,10 +189,25 @@ def mix_sources(
 ) -> DataFrame:
     """Each document with how often the mix takes it.
 
-    ``doc_id, text_key, source, size, source_size, target, copies, taken``; ``taken`` is
-    ``copies * size``.
+    ``doc_id, text_key, nth, source, size, source_size, target, copies, taken``; ``taken`` is
+    ``copies * size``, and ``nth`` tells rows with one doc_id and text apart. They go to blocks by
+    it as well, so many of them are no large block.
     """
-    sizes = W.bounded_rows(document_sizes(docs), "mix-sizes")
+    sizes, _ = numbered_sizes(docs)
+    return _mixed(sizes, weights, most_times, block_units, seed)
+
+
+def numbered_sizes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``document_sizes`` with ``nth``, and the keys that very many rows share."""
+    sizes, keys = W.bounded_rows(document_sizes(docs), "mix-sizes"), ["doc_id", "text_key"]
+    many = W.many_copies(sizes, keys)
+    return W.copy_numbers(sizes, keys, many, "nth", F.col("source")), many
+
+
+def _mixed(
+    sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most_times: int = MOST_TIMES,
+    block_units: int = BLOCK_UNITS, seed: int = SEED,
+) -> DataFrame:
     targets = W.bounded_rows(source_targets(sizes, weights, most_times), "mix-targets")
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = (
@@ -200,14 +215,19 @@ def mix_sources(
         .join(targets, F.col("_source").eqNullSafe(F.col("source")))
         .withColumn("copies", F.floor(times))
         .withColumn("chance", times - F.col("copies"))
-        .select("doc_id", "text_key", "size", "source_no", "copies", "chance", "n_docs")
+        .select(
+            "doc_id", "text_key", F.col("nth").cast("long").alias("nth"), "size", "source_no", "copies", "chance",
+            "n_docs",
+        )
     )
     most = targets.agg(F.max("n_docs")).first()[0] or 0
     done, number, width = [], 0, F.col("n_docs")
     while True:
         blocks = F.greatest(F.lit(1), F.ceil(width / block_units))
         last = most <= block_units
-        order = F.xxhash64(F.lit(seed + number), "doc_id", "text_key")
+        # The first of equal rows goes where a row without equals would.
+        copy = F.when(F.col("nth") > 1, F.col("nth"))
+        order = F.xxhash64(F.lit(seed + number), "doc_id", "text_key", copy)
         settled = W.bounded_rows(
             units.withColumn("_order", order)
             .withColumn("_block", F.pmod("_order", blocks))
@@ -226,7 +246,7 @@ def mix_sources(
     for part in done[1:]:
         decided = decided.unionByName(part)
     return decided.join(targets, "source_no").select(
-        "doc_id", "text_key", "source", "size", "source_size", "target", "copies",
+        "doc_id", "text_key", "nth", "source", "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
 
@@ -236,16 +256,15 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Equal rows are told apart by a running number on both sides of the join.
     """
-    same = Window.partitionBy("doc_id", "text_key").orderBy(F.desc("copies"))
-    decided = mix_sources(docs, **options).withColumn("nth", F.row_number().over(same))
-    decided = decided.where("copies > 0").select(
+    sizes, many = numbered_sizes(docs)
+    decided = _mixed(sizes, **options).where("copies > 0").select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("nth").alias("_taken"),
         "copies",
     )
-    rows = W.keyed_rows(docs)
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+    if many is not None:
+        many = many.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
     return (
-        rows.withColumn("_nth", nth)
+        W.copy_numbers(W.keyed_rows(docs), ["_id", "_key"], many, "_nth", F.col("_row.source"))
         .join(
             decided,
             F.col("_id").eqNullSafe(F.col("_doc"))

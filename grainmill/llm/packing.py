@@ -213,10 +213,13 @@ def _pack(capacity: int):
 def pack_pieces(
     pieces: DataFrame, *, capacity: int = CAPACITY, block_sequences: int = BLOCK_SEQUENCES
 ) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``. ``pieces`` is read twice, so it should be a table."""
+    """Add ``sequence_id`` and ``offset``. ``pieces`` is read twice, so it has to be a table.
+
+    Rows are dealt by their place in the table, so equal rows go to different blocks.
+    """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     blocks = max(1, -(-total // (capacity * block_sequences)))
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
+    order = F.xxhash64(F.monotonically_increasing_id())
     dealt = pieces.withColumn("_order", order).withColumn("_block", F.pmod("_order", F.lit(blocks)))
     return dealt.groupBy("_block").applyInArrow(_pack(capacity), PACKED)
 

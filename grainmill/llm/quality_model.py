@@ -77,8 +77,12 @@ def sampled_labels(labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame
 
 
 def train(counts: DataFrame, named: DataFrame) -> Forest:
-    """Fit on the counts of the documents in the sample of labels."""
-    sample = counts.join(named, "doc_id").select("doc_id", "quality", *COUNTS).toPandas()
+    """Fit on the counts of the documents in the sample of labels.
+
+    Of rows that share a doc_id one is taken, so the sample is as large as its labels at most.
+    """
+    found = counts.join(named, "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS)).alias("_c"))
+    sample = found.select("doc_id", "quality", "_c.*").toPandas()
     sample = sample.sort_values(["doc_id", "quality", *COUNTS])
     x = features({c: sample[c].to_numpy() for c in COUNTS})
     return fit(x, (sample["quality"].to_numpy() > 0).astype(np.float64))

@@ -202,7 +202,7 @@ def _with_runs(docs: DataFrame, rows: DataFrame, window: int, bits: int) -> Data
     runs = (
         repeat_runs(docs, window=window, bits=bits)
         .groupBy("doc_id", "text_key")
-        .agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+        .agg(F.collect_set(F.struct("start", "n")).alias("_runs"))  # equal rows have the same runs
         .withColumnsRenamed({"doc_id": "_doc", "text_key": "_text"})
     )
     least = F.lit(-(2**63)).cast("long")

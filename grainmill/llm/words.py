@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from grainmill.operators.order import with_sorted_positions
 from grainmill.session import scratch_dir
 
 # Bytes of text that one step of a task turns into arrays; a longer text is a step of its own.
@@ -153,5 +154,43 @@ def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
     return counts if border is None else counts.where(F.col(column) >= border)
 
 
+# Equal rows up to this number are numbered in one place.
+COPIES = 256
+
+
+def many_copies(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys that more than COPIES rows share, written once; None if there are none."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies")).where(F.col("_copies") > COPIES)
+    found = bounded_rows(counts.select(*keys), "many-copies")
+    return None if found.isEmpty() else found
+
+
+def copy_numbers(
+    rows: DataFrame, keys: list[str], many: DataFrame | None, name: str, order: Column | None = None
+) -> DataFrame:
+    """Add a running number from 1 to rows that share their ``keys``, by ``order`` if it is given.
+
+    Rows of the keys in ``many`` are numbered over a range sort, so that such a key fills many
+    tasks. Rows that are alike in keys and order may get each other's numbers.
+    """
+    order = F.lit(0) if order is None else order
+    window = Window.partitionBy(*keys).orderBy(order)
+    if many is None:
+        return rows.withColumn(name, F.row_number().over(window))
+    names = [F.col(f"r.`{c}`") for c in rows.columns]
+    same = [F.col(f"r.`{k}`").eqNullSafe(F.col(f"m.`{k}`")) for k in keys]
+    both = same[0]
+    for one in same[1:]:
+        both &= one
+    few = rows.alias("r").join(many.alias("m"), both, "left_anti").select(names)
+    own = rows.alias("r").join(many.alias("m"), both, "left_semi").select(names)
+    # The salt lets equal rows fall into different parts of the sort.
+    salted = own.withColumn("_by", order).withColumn("_salt", F.monotonically_increasing_id() % 4096)
+    numbered = with_sorted_positions(salted, ["_by", "_salt"], group=keys, position=name).drop("_by", "_salt")
+    return few.withColumn(name, F.row_number().over(window).cast("long")).unionByName(
+        numbered.withColumn(name, F.col(name) + 1)
+    )
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
