@@ -10,8 +10,11 @@ import numpy as np
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript template svg iframe object canvas math title textarea select".split())
+# What browsers do not show, and controls of forms. Text in anything else is for the trees to judge.
+RAW = set("script style noscript template iframe textarea select".split())
 NEVER = RAW | set("head button option".split())
+# Formulas and drawings stand in a line of text; in them only these elements are not shown.
+FOREIGN, FOREIGN_UNSEEN = {"math", "svg"}, set("title desc metadata annotation annotation-xml".split())
 # What a head may hold; anything else, text too, ends it.
 IN_HEAD = set("title meta link base script style noscript template".split())
 INLINE = set(
@@ -26,6 +29,7 @@ CLOSED_BY = {  # an open element of the key ends where one of the values begins
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"},
 }
+BLOCKS = CLOSED_BY["p"] | {"p", "body", "html", "head", "li", "dt", "dd", "tr", "td", "th"}
 SCOPE = set("ul ol dl table div article section main aside nav body".split())
 
 # Tokens of class, id and role that speak for or against main text.
@@ -39,15 +43,54 @@ BAD_WORDS = set(
 )
 TALK_WORDS = set("comment comments reply replies respond discussion disqus thread".split())
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# Quotes in a tag are minded up to this length; a longer tag ends at the next >.
+TAG_CHARS = 4096
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 
 
+class _Tags:
+    """The tags of a page one after another; comments and declarations are left out.
+
+    A place is looked at a bounded number of times, so a page of unclosed tags takes no longer.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.bracket = -1  # a > that is not before the place looked at last
+
+    def _bracket(self, at: int) -> int:
+        if self.bracket < at:
+            found = self.page.find(">", at)
+            self.bracket = found if found >= 0 else len(self.page)
+        return self.bracket
+
+    def next(self, at: int) -> tuple[int, int, str, str, str]:
+        """(start, end, "/" of an end tag, name, attributes); an empty name is no tag.
+
+        Without any more markup the start is the end of the page.
+        """
+        page, size = self.page, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                return at, size if end < 0 else end + 3, "", "", ""
+            first = page[at + 1 : at + 2]
+            if first in ("!", "?"):
+                if (end := self._bracket(at)) < size:
+                    return at, end + 1, "", "", ""
+            elif name := _NAME.match(page, at, at + TAG_CHARS):
+                if whole := _TAG.match(page, at, at + TAG_CHARS):
+                    return at, whole.end(), *whole.group(1, 2, 3)
+                if (end := self._bracket(at)) < size:
+                    stop = min(name.end(), end)
+                    return at, end + 1, name.group(1), name.group(2), page[stop:end]
+            at += 1
+        return size, size, "", "", ""
+
+
 @dataclass
 class Node:
     """A block element, or (tag ``#text``) a block of text in one."""
@@ -68,13 +111,48 @@ def _tokens(attributes: str) -> list[str]:
     return _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())
 
 
+class _Ends:
+    """Where the contents of elements that hold no markup end; each search goes on from there."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.absent: set[str] = set()
+
+    def after(self, tag: str, at: int) -> int | None:
+        """The place after the end tag, past elements of the same name inside; None without one."""
+        if tag in self.absent:
+            return None
+        inside = 1
+        for found in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*>", re.I).finditer(self.page, at):
+            inside += -1 if found.group(1) else tag == "template"
+            if not inside:
+                return found.end()
+        self.absent.add(tag)
+        return None
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, parents before children; the first is the document."""
+    """Nodes in page order, parents before children; the first is the document.
+
+    The work is in proportion to the page: whether an element is open is known from counts, and
+    only elements that others may end, and the borders of their scope, are looked through.
+    """
     nodes = [Node("body", -1, 0)]
     stack: list[tuple[str, int]] = [("body", 0)]
+    opened: dict[str, int] = {}
+    stops: list[int] = []  # places in the stack of elements in CLOSED_BY or SCOPE
+    ends = _Ends(page)
     parts: list[str] = []
     in_link = 0
     link_chars = 0
+    foreign = 0
+
+    def cut(size: int) -> None:
+        for tag, _ in stack[size:]:
+            opened[tag] -= 1
+        del stack[size:]
+        while stops and stops[-1] >= size:
+            stops.pop()
 
     def flush() -> None:
         nonlocal link_chars
@@ -88,27 +166,33 @@ def parse(page: str) -> list[Node]:
     def add(text: str) -> None:
         nonlocal link_chars
         if stack[-1][0] == "head" and text and not text.isspace():
-            stack.pop()
+            cut(len(stack) - 1)
         if text and not nodes[stack[-1][1]].dropped:
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if in_link:
                 link_chars += len(text.strip())
 
-    at = 0
-    while True:
-        found = _MARKUP.search(page, at)
-        if not found:
-            add(page[at:])
-            break
-        add(page[at : found.start()])
-        at = found.end()
-        closing, tag, attributes = found.group(1, 2, 3) if found.group(2) else found.group(4, 5, 6)
+    tags, at = _Tags(page), 0
+    while at < len(page):
+        start, end, closing, tag, attributes = tags.next(at)
+        add(page[at:start])
+        at = end
         if not tag:
             continue
         tag = tag.lower()
         if stack[-1][0] == "head" and not closing and tag not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
+        if tag in FOREIGN:
+            foreign = max(0, foreign - 1) if closing else foreign + (not attributes.endswith("/"))
+            continue
+        if foreign and tag not in RAW:
+            if tag in BLOCKS:  # as a formula never holds these, its end is missing
+                foreign = 0
+            else:
+                if tag in FOREIGN_UNSEEN and not closing:
+                    at = ends.after(tag, at) or at
+                continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
@@ -116,18 +200,19 @@ def parse(page: str) -> list[Node]:
                 in_link = 0 if closing else 1
             continue
         if closing:
-            if any(t == tag for t, _ in stack[1:]):
+            if opened.get(tag):
                 flush()
                 in_link = 0
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                size = len(stack)
+                while stack[size - 1][0] != tag:
+                    size -= 1
+                cut(size - 1)
             continue
-        if tag in RAW:
+        if tag in RAW or (tag == "title" and stack[-1][0] == "head"):
             # The contents of these are not markup.
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if not attributes.endswith("/") else None
+            end = None if attributes.endswith("/") else ends.after(tag, at)
             if end:
-                at = end.end()
+                at = end
             elif tag in ("script", "style"):
                 at = len(page)
             continue
@@ -135,18 +220,24 @@ def parse(page: str) -> list[Node]:
             continue
         flush()
         in_link = 0
-        for k in range(len(stack) - 1, 0, -1):
+        # One of each kind is open in a scope at most, so this ends soon.
+        last = len(stops) - 1
+        while last >= 0:
+            k = stops[last]
             if tag in CLOSED_BY.get(stack[k][0], ()):
-                del stack[k:]
-                break
-            if stack[k][0] in SCOPE:
+                cut(k)
+            elif stack[k][0] in SCOPE:
                 break
+            last -= 1
         if tag == "body" or tag in VOID or attributes.endswith("/"):
             continue
         up = stack[-1][1]
         dropped = nodes[up].dropped or tag in NEVER
         nodes.append(Node(tag, up, nodes[up].depth + 1, _tokens(attributes), dropped=dropped))
         stack.append((tag, len(nodes) - 1))
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in CLOSED_BY or tag in SCOPE:
+            stops.append(len(stack) - 1)
     flush()
     return unwrapped(nodes)
 
