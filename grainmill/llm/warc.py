@@ -6,9 +6,10 @@ that is not wanted, or that no column needs (``payload=false``), is stepped over
 a gzip member of its own; its ``SL`` extra field holds the compressed length, so stepping over
 needs no inflating. Members without that field are inflated to find their end.
 
-A task writes files that belong to its attempt alone; the commit writes a list of the files of
-successful attempts, and only files in that list are read. Lost or repeated attempts leave
-nothing visible.
+A task writes files that belong to its attempt alone; each commit writes a list of the files of
+its successful attempts under a name of its own, and only files in some list are read. Lost or
+repeated attempts leave nothing visible, and a second write adds to the first. Folders without
+any list, as others make them, are read by the names of their files.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ COLUMNS = {
     "payload_length": "WARC-X-Payload-Length",
 }
 SCHEMA = ", ".join(f"{c} {'long' if c.endswith('length') else 'string'}" for c in COLUMNS) + ", payload binary"
-LISTING = "_archives.json"
+LISTINGS = "_archives"
 ROLL_BYTES = 256 << 20
 READ_BYTES = 64 << 10
 LEAST_REVISIT_BYTES = 1000
@@ -178,6 +179,28 @@ class Archive(InputPartition):
     path: str
 
 
+def archive_names(path: str) -> list[str]:
+    """The archives of a folder: those that the lists of its finished writes name, or, if it has no
+    such list, all ``.warc`` and ``.warc.gz`` files. An unfinished write is never read."""
+    from pyarrow import fs
+
+    store, inner = filesystem(path)
+    lists = [
+        x.path
+        for x in store.get_file_info(fs.FileSelector(f"{inner}/{LISTINGS}", allow_not_found=True))
+        if x.path.endswith(".json")
+    ]
+    names: list[str] = []
+    for place in sorted(lists):
+        with store.open_input_stream(place) as file:
+            names += json.loads(file.read())
+    if not lists:
+        found = store.get_file_info(fs.FileSelector(inner))
+        names = [x.base_name for x in found if x.type == fs.FileType.File]
+        names = [x for x in names if x.endswith((".warc", ".warc.gz")) and x[0] not in "._"]
+    return sorted(names)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].rstrip("/")
@@ -195,10 +218,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Archive]:
-        store, inner = filesystem(self.path)
-        with store.open_input_stream(f"{inner}/{LISTING}") as file:
-            names = json.loads(file.read())
-        return [Archive(f"{self.path}/{x}") for x in names]
+        return [Archive(f"{self.path}/{x}") for x in archive_names(self.path)]
 
     def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # there are no archives
@@ -259,10 +279,12 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         store, inner = filesystem(self.path)
-        store.create_dir(inner, recursive=True)
+        store.create_dir(f"{inner}/{LISTINGS}", recursive=True)
         names = sorted(x for m in messages if m for x in m.files)
-        with store.open_output_stream(f"{inner}/{LISTING}") as file:
+        place = f"{inner}/{LISTINGS}/{uuid.uuid4().hex}"
+        with store.open_output_stream(f"{place}.tmp") as file:
             file.write(json.dumps(names).encode())
+        store.move(f"{place}.tmp", f"{place}.json")
 
     def abort(self, messages: list[Written | None]) -> None:
         """Without a listing, nothing of the attempt can be read."""
