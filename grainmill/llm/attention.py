@@ -18,11 +18,13 @@ import numpy as np
 
 SPAN = 8
 WIDTH, HEAD, HIDDEN = 40, 16, 32
-CONTEXTS, CLASSES = 256, 64
-FEATURES = 256
+CONTEXTS, CLASSES = 256, 32
+FEATURES = 128
 SMOOTH = 100.0
 # Windows that are attended to at once; their arrays stay in the caches.
 STEP = 256
+# Consecutive blocks that are trained on together, and how many such runs make a step.
+RUN, RUNS = 128, 8
 LOG10 = float(np.log(10))
 
 
@@ -38,6 +40,10 @@ class Vocabulary:
     contexts: np.ndarray
     classes: np.ndarray
 
+    def arrays(self) -> tuple:
+        """What tasks are sent; they need not know this class."""
+        return self.size, self.vectors, self.contexts, self.classes
+
 
 def most_met(often: np.ndarray) -> np.ndarray:
     """The column of each of the most frequent tokens in a profile; -1 for all others."""
@@ -126,12 +132,12 @@ class Blocks:
         self.total = int(first[-1])
         n = self.total * SPAN
         self.doc = np.repeat(np.arange(len(sizes)), blocks + 1)
-        self.inputs = np.full(n, start_id, dtype=np.int64)
-        self.targets = np.full(n, end_id, dtype=np.int64)
+        self.inputs = np.full(n, start_id, dtype=np.int32)
+        self.targets = np.full(n, end_id, dtype=np.int32)
         self.counts = np.zeros(n, dtype=bool)
         base = (first[:-1] + 1) * SPAN
-        row = np.repeat(np.arange(len(sizes)), np.diff(ends))
-        at = base[row] + np.arange(len(ids)) - ends[:-1][row]
+        at = np.repeat(base - ends[:-1], np.diff(ends))
+        at += np.arange(len(ids))
         self.targets[at] = ids
         self.inputs[at + 1] = ids  # the last one goes to the end's place
         self.counts[at] = True
@@ -176,23 +182,33 @@ _MASK = np.where(_BACK < 0, -1e9, 0.0).astype(np.float32)
 _BACK = np.maximum(_BACK, 0)
 
 
-def _pairs(x: np.ndarray) -> np.ndarray:
-    """Each block behind the one before it."""
-    blocks = x.reshape(-1, SPAN, x.shape[-1])
-    return np.concatenate((blocks[:-1], blocks[1:]), axis=1)
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which a product with ones gives fastest."""
+    return x @ np.ones(x.shape[-1], dtype=x.dtype)
+
+
+def _pairs(x: np.ndarray, axis: int) -> np.ndarray:
+    """Each block behind the one before it; blocks lie in runs (runs, blocks, ..)."""
+    both = np.concatenate((x[:, :-1], x[:, 1:]), axis=axis + 1)
+    return both.reshape(-1, *both.shape[2:])
 
 
 def _attend(query, key, value, place, empty):
-    """Attention weights and outputs of all windows; ``empty``: the block before has no tokens."""
-    q = query.reshape(-1, SPAN, HEAD)[1:]
-    k, v = _pairs(key), _pairs(value)
-    score = np.matmul(q, k.transpose(0, 2, 1))
-    score += place[_BACK] + _MASK
-    score[empty[:-1], :, :SPAN] = -1e9
-    np.minimum(score, 30, out=score)
-    np.exp(score, out=score)
-    score /= score.sum(axis=2, keepdims=True)
-    return score, np.matmul(score, v), q, k, v
+    """Attention of all windows; blocks are (runs, blocks, SPAN, HEAD), the first of a run is context.
+
+    ``empty``: the block before has no tokens. Gives the weights and the outputs, and the query,
+    key and value that they came from.
+    """
+    q = np.ascontiguousarray(query[:, 1:]).reshape(-1, SPAN, HEAD)
+    turned = _pairs(np.ascontiguousarray(key.transpose(0, 1, 3, 2)), 2)
+    v = _pairs(value, 1)
+    att = np.matmul(q, turned)
+    att += place[_BACK] + _MASK
+    att[empty, :, :SPAN] = -1e9
+    np.minimum(att, 30, out=att)
+    np.exp(att, out=att)
+    att /= _sums(att)[..., None]
+    return att, np.matmul(att, v), q, turned, v
 
 
 class Model:
@@ -201,32 +217,40 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, prior: Prior, weights: Weights):
         x, w = vocabulary.vectors, weights
         self.vocabulary, self.prior, self.weights = vocabulary, prior, weights
-        self.table = np.concatenate((x @ w.query, x @ w.key, x @ w.value, x @ w.own + w.bias), axis=1)
+        self.tables = [np.ascontiguousarray(x @ m) for m in (w.query, w.key, w.value)]
+        self.own = x @ w.own + w.bias
+
+    def arrays(self) -> tuple:
+        prior = (self.prior.tokens, self.prior.classes)
+        return self.vocabulary.arrays(), prior, tuple(self.weights.all())
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Model:
+        vocabulary, prior, weights = arrays
+        return cls(Vocabulary(*vocabulary), Prior(*prior), Weights(*weights))
 
     def log10(self, ends: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """log10 of the probability of each document and its end."""
         vocabulary, w = self.vocabulary, self.weights
-        b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
+        b = Blocks(ends, ids, vocabulary.size - 1, vocabulary.size)
         out = np.zeros(len(ends) - 1)
-        step = STEP
-        for a in range(0, b.total - 1, step):
-            blocks = slice(a, min(a + step, b.total - 1) + 1)  # one block of context, then scored ones
+        for a in range(0, b.total - 1, STEP):
+            blocks = slice(a, min(a + STEP, b.total - 1) + 1)  # one block of context, then scored ones
             at = slice(blocks.start * SPAN, blocks.stop * SPAN)
-            rows = self.table[b.inputs[at]]
-            _, seen, *_ = _attend(
-                rows[:, :HEAD], rows[:, HEAD : 2 * HEAD], rows[:, 2 * HEAD : 3 * HEAD], w.place, b.empty[blocks]
-            )
+            token = b.inputs[at]
+            q, k, v = (t[token].reshape(1, -1, SPAN, HEAD) for t in self.tables)
+            _, seen, *_ = _attend(q, k, v, w.place, b.empty[blocks][:-1])
             hidden = seen.reshape(-1, HEAD) @ w.mix
-            hidden += rows[SPAN:, 3 * HEAD :]
+            hidden += self.own[token[SPAN:]]
             np.maximum(hidden, 0, out=hidden)
-            context = vocabulary.contexts[b.inputs[at][SPAN:]]
+            context = vocabulary.contexts[token[SPAN:]]
             logits = hidden @ w.out
-            logits += w.shift
             logits += self.prior.classes[context]
+            logits += w.shift
             target = b.targets[at][SPAN:]
             chosen = logits[np.arange(len(target)), vocabulary.classes[target]]
             np.exp(logits, out=logits)
-            score = chosen - np.log(logits.sum(axis=1)) + self.prior.tokens[context, target]
+            score = chosen - np.log(_sums(logits)) + self.prior.tokens[context, target]
             score = np.where(b.counts[at][SPAN:], score, 0).reshape(-1, SPAN).sum(axis=1, dtype=np.float64)
             out += np.bincount(b.doc[blocks][1:], score, len(out))
         return out / LOG10
@@ -240,75 +264,103 @@ class Trainer:
         self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in weights.all()]
         self.steps = 0
 
-    def step(self, b: Blocks, pick: np.ndarray, rate: float) -> None:
-        """One step on the given blocks, each behind the one before it."""
+    def gradients(self, b: Blocks, starts: np.ndarray, length: int) -> tuple[float, list[np.ndarray]]:
+        """Mean loss over the tokens of runs of ``length`` blocks, and its gradients.
+
+        A run begins at a block of ``starts``; the block before it is context. What all tokens of a
+        run need (queries, keys, values, own part) is one product, for each block once.
+        """
         w, vocabulary = self.weights, self.vocabulary
-        inputs, targets = b.inputs.reshape(-1, SPAN), b.targets.reshape(-1, SPAN)
-        counts = b.counts.reshape(-1, SPAN)[pick]
-        token = np.concatenate((inputs[pick - 1], inputs[pick]), axis=1)
-        x = vocabulary.vectors[token]
-        k, v = x @ w.key, x @ w.value
-        q = x[:, SPAN:] @ w.query
-        score = np.matmul(q, k.transpose(0, 2, 1)) + w.place[_BACK] + _MASK
-        score[b.empty[pick - 1], :, :SPAN] = -1e9
-        score = np.exp(np.minimum(score, 30))
-        att = score / score.sum(axis=2, keepdims=True)
-        seen = np.matmul(att, v)
-        raw = seen @ w.mix + x[:, SPAN:] @ w.own + w.bias
-        hidden = np.maximum(raw, 0)
-        logits = hidden @ w.out + w.shift + self.classes[vocabulary.contexts[token[:, SPAN:]]]
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        c = vocabulary.classes[targets[pick]]
-        d = p
-        np.put_along_axis(d, c[:, :, None], np.take_along_axis(d, c[:, :, None], 2) - 1, 2)
-        d *= (counts / max(1, counts.sum()))[:, :, None]
-        d_hidden = (d @ w.out.T) * (raw > 0)
-        d_seen = d_hidden @ w.mix.T
-        d_att = np.matmul(d_seen, v.transpose(0, 2, 1))
-        d_v = np.matmul(att.transpose(0, 2, 1), d_seen)
-        d_score = att * (d_att - (d_att * att).sum(axis=2, keepdims=True))
-        d_q, d_k = np.matmul(d_score, k), np.matmul(d_score.transpose(0, 2, 1), q)
-        flat = lambda t: t.reshape(-1, t.shape[-1])
-        late = flat(x[:, SPAN:])
-        gradients = [
-            late.T @ flat(d_q), flat(x).T @ flat(d_k), flat(x).T @ flat(d_v),
+        blocks = (starts[:, None] - 1) + np.arange(length + 1)
+        token = b.inputs.reshape(-1, SPAN)[blocks]
+        shape = (len(starts), length + 1, SPAN)
+        x = vocabulary.vectors[token.reshape(-1)]
+        made = x @ np.concatenate((w.query, w.key, w.value, w.own), axis=1)
+        q, k, v = (made[:, i * HEAD : (i + 1) * HEAD].reshape(*shape, HEAD) for i in range(3))
+        own = made[:, 3 * HEAD :].reshape(*shape, HIDDEN)[:, 1:].reshape(-1, HIDDEN)
+        att, seen, q, turned, v = _attend(q, k, v, w.place, b.empty[blocks[:, :-1].reshape(-1)])
+        flat_seen = seen.reshape(-1, HEAD)
+        hidden = flat_seen @ w.mix
+        hidden += own
+        hidden += w.bias
+        np.maximum(hidden, 0, out=hidden)
+        d = hidden @ w.out
+        d += w.shift
+        d += self.classes[vocabulary.contexts[token[:, 1:].reshape(-1)]]
+        np.exp(np.minimum(d, 80, out=d), out=d)
+        d /= _sums(d)[:, None]
+        counts = b.counts.reshape(-1, SPAN)[blocks[:, 1:]].reshape(-1)
+        target = vocabulary.classes[b.targets.reshape(-1, SPAN)[blocks[:, 1:]].reshape(-1)]
+        every = np.arange(len(target))
+        share = (counts / max(1, counts.sum())).astype(np.float32)
+        loss = -float(np.log(np.maximum(d[every, target], 1e-30)) @ share)
+        d[every, target] -= 1
+        d *= share[:, None]
+        d_hidden = d @ w.out.T
+        d_hidden *= hidden > 0
+        d_seen = (d_hidden @ w.mix.T).reshape(seen.shape)
+        d_score = np.matmul(d_seen, np.ascontiguousarray(v.transpose(0, 2, 1)))
+        d_score -= _sums(d_seen * seen)[..., None]
+        d_score *= att
+        d_value = np.matmul(np.ascontiguousarray(att.transpose(0, 2, 1)), d_seen)
+        d_query = np.matmul(d_score, np.ascontiguousarray(turned.transpose(0, 2, 1)))
+        d_key = np.matmul(np.ascontiguousarray(d_score.transpose(0, 2, 1)), q)
+        # Back to the blocks: each is the later half of one window and the earlier one of the next.
+        back = np.zeros((*shape, 3 * HEAD + HIDDEN), dtype=np.float32)
+        back[:, 1:, :, :HEAD] = d_query.reshape(len(starts), length, SPAN, HEAD)
+        for i, part in ((1, d_key), (2, d_value)):
+            part = part.reshape(len(starts), length, 2 * SPAN, HEAD)
+            back[:, :-1, :, i * HEAD : (i + 1) * HEAD] += part[:, :, :SPAN]
+            back[:, 1:, :, i * HEAD : (i + 1) * HEAD] += part[:, :, SPAN:]
+        back[:, 1:, :, 3 * HEAD :] = d_hidden.reshape(len(starts), length, SPAN, HIDDEN)
+        in_all = x.T @ back.reshape(len(x), -1)
+        ones = np.ones(len(d), dtype=np.float32)
+        return loss, [
+            in_all[:, :HEAD], in_all[:, HEAD : 2 * HEAD], in_all[:, 2 * HEAD : 3 * HEAD],
             np.bincount(_BACK.ravel(), d_score.sum(axis=0).ravel(), 2 * SPAN),
-            flat(seen).T @ flat(d_hidden), late.T @ flat(d_hidden), flat(d_hidden).sum(axis=0),
-            flat(hidden).T @ flat(d), flat(d).sum(axis=0),
+            flat_seen.T @ d_hidden, in_all[:, 3 * HEAD :], ones @ d_hidden, hidden.T @ d, ones @ d,
         ]
+
+    def step(self, b: Blocks, starts: np.ndarray, length: int, rate: float) -> float:
+        """One step on runs of blocks, each block behind the one before it; returns the loss."""
+        loss, gradients = self.gradients(b, starts, length)
         self.steps += 1
         fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for param, g, (m, s) in zip(w.all(), gradients, self.moments):
+        for param, g, (m, s) in zip(self.weights.all(), gradients, self.moments):
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             param -= (rate * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        return loss
 
 
 def first_weights(
     vocabulary: Vocabulary, prior: Prior, ends: np.ndarray, ids: np.ndarray, *,
-    steps: int = 1500, windows: int = 256, rate: float = 4e-3, seed: int = 3,
+    steps: int = 1500, rate: float = 4e-3, seed: int = 3,
 ) -> Weights:
-    """Where the training on all texts begins: Adam on windows drawn from some of them."""
+    """Where the training on all texts begins: Adam on runs drawn from some of them."""
     w = fresh_weights(seed)
-    b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
-    ready = np.flatnonzero(~b.empty)
-    if not len(ready):
+    b = Blocks(ends, ids, vocabulary.size - 1, vocabulary.size)
+    length = min(RUN // 4, b.total - 1)
+    if length < 1:
         return w
     r = np.random.default_rng(seed)
     trainer = Trainer(vocabulary, prior.classes, w)
     for step in range(1, steps + 1):
-        trainer.step(b, r.choice(ready, windows), rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5)
+        starts = r.integers(1, b.total - length + 1, RUNS)
+        trainer.step(b, starts, length, rate * min(1.0, step / 50) * (1 - step / (steps + 1)) ** 0.5)
     return w
 
 
-def train_on(
-    trainer: Trainer, ends: np.ndarray, ids: np.ndarray, *, windows: int = 256, rate: float = 1e-3, seed: int = 3
-) -> int:
-    """Train on every window of the texts once, in random order; returns their number."""
+def train_on(trainer: Trainer, ends: np.ndarray, ids: np.ndarray, *, rate: float = 2e-3, seed: int = 3) -> int:
+    """Train on every window of the texts once, runs in random order; returns their number."""
     vocabulary = trainer.vocabulary
-    b = Blocks(ends, ids.astype(np.int64), vocabulary.size - 1, vocabulary.size)
-    ready = np.random.default_rng(seed).permutation(np.flatnonzero(~b.empty))
-    for a in range(0, len(ready), windows):
-        trainer.step(b, ready[a : a + windows], rate * min(1.0, (trainer.steps + 1) / 50))
-    return len(ready)
+    b = Blocks(ends, ids, vocabulary.size - 1, vocabulary.size)
+    starts = np.random.default_rng(seed).permutation(np.arange(1, b.total - RUN + 1, RUN))
+    steps = [(starts[a : a + RUNS], RUN) for a in range(0, len(starts), RUNS)]
+    # What no whole run covers is a shorter one.
+    done = 1 + RUN * len(starts)
+    if done < b.total:
+        steps.append((np.array([done]), b.total - done))
+    for some, length in steps:
+        trainer.step(b, some, length, rate * min(1.0, (trainer.steps + 1) / 50))
+    return int((~b.empty).sum())

@@ -1,10 +1,11 @@
 """Scoring texts with a causal attention model and with a word unigram, trained on the corpus.
 
 1. One scan of all texts cuts them into words and token ids. A task sends the ids of its
-   documents and, from training documents only, its word counts, which are summed over the corpus.
-2. The ids of all training documents are gone over for how often each token occurs, for its
-   neighbours, which give token vectors and classes, for counts of (context class, token), and
-   for the attention weights. Each task sends sums of a fixed size.
+   documents and, from training documents only, its word and token counts, which are summed over
+   the corpus.
+2. The ids of all training documents are gone over for the neighbours of tokens on both sides,
+   which give token vectors and classes, for counts of (context class, token), and for the
+   attention weights. Each task sends sums of a fixed size.
 3. Attention weights begin with values from ``sample_docs`` documents. From there each task
    trains on every window of its training documents once; the mean of their weights, by the
    number of windows, is the model. It depends a little on how rows are dealt to tasks.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,7 @@ SCAN = (
     "kind int, doc_id long, text_key long, held_out boolean, n_words long, ids binary, "
     "word string, n long"
 )
-DOCUMENT, WORD = 0, 1
+DOCUMENT, WORD, TOKEN = 0, 1, 2
 CELLS = "part int, cells binary, counts binary"
 _SCHEMA = pa.schema([
     ("kind", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()),
@@ -129,10 +131,11 @@ def id_type(size: int) -> np.dtype:
 
 
 def _scan(path: str, size: int):
-    """Documents with their ids, then word counts of the whole task."""
+    """Documents with their ids, then word and token counts of the whole task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[pa.Table] = []
+        tokens = np.zeros(size, dtype=np.int64)
         for whole in batches:
             for step in W.steps(whole, limit=SCAN_BYTES):
                 cut = Cut(step.column("text"), path)
@@ -146,6 +149,8 @@ def _scan(path: str, size: int):
                     held_out=held, n_words=pa.array(n_words), ids=_binaries(ends * raw.itemsize, raw),
                 )
                 learn = np.repeat(train, n_words)
+                tokens += np.bincount(raw[np.repeat(train, np.diff(ends))], minlength=size)
+                tokens[-1] += train.sum()  # the end of each text
                 often = np.bincount(cut.codes[learn], minlength=len(cut.words))
                 seen = pa.array(often > 0)
                 words.append(pa.table({"word": cut.words.filter(seen), "n": pa.array(often).filter(seen)}))
@@ -156,6 +161,12 @@ def _scan(path: str, size: int):
         if words:
             for part in _summed(words).to_batches(max_chunksize=100_000):
                 yield _batch(WORD, part.num_rows, word=part.column("word"), n=part.column("n").cast(pa.int64()))
+            width = size // PARTS + 1
+            parts = [tokens[a : a + width] for a in range(0, size, width)]
+            yield _batch(
+                TOKEN, len(parts), n=pa.array(range(len(parts)), pa.int64()),
+                ids=pa.array([p.tobytes() for p in parts], pa.binary()),
+            )
 
     return run
 
@@ -235,70 +246,95 @@ def counted(texts: DataFrame, cells_of, value, length: int, size: int) -> np.nda
     return out
 
 
-def _single(before, after, _, size):
-    return np.concatenate((before, after + size + 1))
+def _merge_tokens(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum one part of the token counts over all tasks."""
+    total = 0
+    for batch in batches:
+        for x in batch.column("ids"):
+            total = total + np.frombuffer(x.as_py(), np.int64)
+    yield pa.record_batch(
+        [pa.array([key[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "ids"]
+    )
 
 
-def _after(before, after, column, size):
-    known = column[after] >= 0
-    return before[known] * attention.FEATURES + column[after[known]]
+def token_counts(scan: DataFrame, size: int) -> np.ndarray:
+    """How often each token occurs in the training texts; the last one is the end of a text."""
+    rows = scan.where(F.col("kind") == TOKEN).select("n", "ids")
+    merged = rows.groupBy("n").applyInArrow(_merge_tokens, "n long, ids binary").collect()
+    parts = [np.frombuffer(r["ids"], np.int64) for r in sorted(merged, key=lambda r: r["n"])]
+    return np.concatenate(parts) if parts else np.zeros(size, np.int64)
 
 
-def _before(before, after, column, size):
-    return _after(after, before, column, size)
+def _beside(before, after, columns, size):
+    """Cells of the tokens after, then of those before, each token: the most frequent are counted."""
+    follows, precedes = columns
+    known, other = follows[after] >= 0, precedes[before] >= 0
+    behind = (size + 1 + after[other]) * attention.FEATURES + precedes[before[other]]
+    return np.concatenate((before[known] * attention.FEATURES + follows[after[known]], behind))
 
 
 def _transition(before, after, contexts, size):
     return contexts[before] * size + after
 
 
-def learn_vocabulary(texts: DataFrame, size: int) -> attention.Vocabulary:
-    """Token vectors and classes from all of ``texts``."""
-    often, seen = counted(texts, _single, None, 2 * (size + 1), size).astype(np.float64).reshape(2, -1)
-    cells = (size + 1) * attention.FEATURES
-    forward = counted(texts, _after, attention.most_met(seen), cells, size).reshape(size + 1, -1)
-    backward = counted(texts, _before, attention.most_met(often), cells, size).reshape(size + 1, -1)
+def learn_vocabulary(texts: DataFrame, tokens: np.ndarray, size: int) -> attention.Vocabulary:
+    """Token vectors and classes from all of ``texts``, whose tokens occur ``tokens`` times."""
+    # As many texts begin as end: the start comes before, the end after.
+    often = np.concatenate((tokens[:-1], [0, tokens[-1]])).astype(np.float64)
+    seen = np.concatenate((tokens, [0])).astype(np.float64)
+    columns = attention.most_met(seen), attention.most_met(often)
+    half = (size + 1) * attention.FEATURES
+    both = counted(texts, _beside, columns, 2 * half, size)
+    forward, backward = both[:half].reshape(size + 1, -1), both[half:].reshape(size + 1, -1)
     return attention.learn_vocabulary(forward, often, backward, seen, size)
 
 
-# Weights are summed as whole numbers of this part, so that the order of tasks is no matter.
+# Sums of weights are whole numbers of this part, so that the order of tasks is no matter. A task
+# adds its mean weights in proportion to its windows, in thousands.
 GRAIN = 1 << 24
 
 
 def _train(shared):
-    """Weights after all texts of the task, times the number of windows; that number is at -1."""
+    """Weights after all texts of the task, times the thousands of windows; that number is at -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, classes, weights = shared.value
-        trainer = attention.Trainer(vocabulary, classes, attention.Weights(*(p.copy() for p in weights.all())))
+        vocabulary = attention.Vocabulary(*vocabulary)
+        trainer = attention.Trainer(vocabulary, classes, attention.Weights(*(p.copy() for p in weights)))
         n = sum(attention.train_on(trainer, ends, ids) for _, ends, ids in _texts(batches, vocabulary.size))
         if n:
             flat = np.concatenate([p.ravel() for p in trainer.weights.all()]).astype(np.float64)
-            value = np.append(np.rint(flat * GRAIN).astype(np.int64) * n, n)
+            share = -(-n // 1000)
+            # Python's numbers have no end; the sums are decimals.
+            value = [Decimal(v * share) for v in np.rint(flat * GRAIN).astype(np.int64).tolist()]
             place = np.append(np.arange(len(flat)), -1)
-            yield pa.record_batch([pa.array(place, pa.int32()), pa.array(value)], names=["place", "value"])
+            yield pa.record_batch(
+                [pa.array(place, pa.int32()), pa.array([*value, Decimal(share)], pa.decimal128(38, 0))],
+                names=["place", "value"],
+            )
 
     return run
 
 
 def train(texts: DataFrame, vocabulary: attention.Vocabulary, prior: attention.Prior, weights: attention.Weights) -> attention.Weights:
     """``weights`` trained on all of ``texts``."""
-    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, prior.classes, weights))
-    sums = texts.mapInArrow(_train(shared), "place int, value long").groupBy("place").agg(
-        F.sum(F.col("value").cast("decimal(38,0)")).alias("value")
+    sent = (vocabulary.arrays(), prior.classes, tuple(weights.all()))
+    shared = texts.sparkSession.sparkContext.broadcast(sent)
+    sums = texts.mapInArrow(_train(shared), "place int, value decimal(38, 0)").groupBy("place").agg(
+        F.sum("value").alias("value")
     )
     value = {r["place"]: r["value"] for r in sums.collect()}
     n = int(value.pop(-1, 0))
     if not n:
         return weights
-    flat = np.array([float(value[i]) / n / GRAIN for i in range(len(value))], dtype=np.float32)
+    flat = np.array([float(value[i] / n) / GRAIN for i in range(len(value))], dtype=np.float32)
     ends = np.cumsum([p.size for p in weights.all()])[:-1]
     return attention.Weights(*(a.reshape(p.shape) for a, p in zip(np.split(flat, ends), weights.all())))
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = attention.Model.of(shared.value)
         for step, ends, ids in _texts(batches, model.vocabulary.size):
             yield pa.record_batch(
                 [step.column("_row"), pa.array(model.log10(ends, ids)), pa.array(np.diff(ends))],
@@ -402,7 +438,7 @@ def score_texts(
 
     learn = scan.where((F.col("kind") == DOCUMENT) & ~F.col("held_out"))
     texts = learn.select("ids")
-    vocabulary = learn_vocabulary(texts, size)
+    vocabulary = learn_vocabulary(texts, token_counts(scan, size), size)
     transitions = counted(texts, _transition, vocabulary.contexts, attention.CONTEXTS * size, size)
     prior = attention.Prior.of(transitions.reshape(attention.CONTEXTS, size), vocabulary)
     some = W.hashed_sample(learn.select("doc_id", "ids"), F.xxhash64("doc_id"), sample_docs).collect()
@@ -410,7 +446,7 @@ def score_texts(
     ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
     ids = np.concatenate([np.zeros(0, id_type(size)), *ids])
     weights = train(texts, vocabulary, prior, attention.first_weights(vocabulary, prior, ends, ids, steps=steps))
-    shared = spark.sparkContext.broadcast(attention.Model(vocabulary, prior, weights))
+    shared = spark.sparkContext.broadcast(attention.Model(vocabulary, prior, weights).arrays())
     documents = scan.where(F.col("kind") == DOCUMENT).select(
         "doc_id", "text_key", "held_out", "n_words", "ids"
     )
