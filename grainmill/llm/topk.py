@@ -36,7 +36,7 @@ from grainmill.llm import words as W
 K = 5
 SCALE = 256
 BLOCK_VECTORS = 4096
-BLOCK_QUERIES = 256
+BLOCK_QUERIES = 4096
 LEVELS = 8
 # Bounds are checked after these shares of the segments, and at the end.
 CHECKS = (0.4, 0.6, 0.75, 0.85, 0.95)
@@ -94,6 +94,18 @@ def place_type(n: int) -> type:
     return np.uint16 if n <= 1 << 16 else np.uint32
 
 
+def packed(codes: np.ndarray) -> bytes:
+    """Codes in the smallest whole numbers that hold them all; the size of one tells which."""
+    low, high = (int(f(initial=0)) for f in (codes.min, codes.max))
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+    return codes.astype(kind).tobytes()
+
+
+def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
+    size = len(data) // max(1, n * width)
+    return np.frombuffer(data, dtype=f"<i{size or 8}").reshape(n, width).astype(np.int64)
+
+
 def _index_block(levels: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id")
@@ -110,7 +122,7 @@ def _index_block(levels: int):
         row = {
             "block": [key[0].as_py()], "ids": [table.column("vec_id").to_numpy().tobytes()],
             "copies": [copies.tobytes()],
-            "codes": [codes.tobytes()], "width": [width],
+            "codes": [packed(codes)], "width": [width],
             "order": [order.tobytes()], "starts": [starts.tobytes()],
         }
         return pa.table(row, schema=pa.schema([
@@ -198,7 +210,7 @@ def _search(k: int):
             block = index.to_pylist()[0]
             ids = np.frombuffer(block["ids"], dtype=np.int64)
             width, n = block["width"], len(ids)
-            codes = np.frombuffer(block["codes"], dtype=np.int64).reshape(n, width)
+            codes = unpacked(block["codes"], n, width)
             copies = np.frombuffer(block["copies"], dtype=np.int64)
             order = np.frombuffer(block["order"], dtype=place_type(n)).reshape(width, n)
             starts = np.frombuffer(block["starts"], dtype=np.int32).reshape(width, -1)
@@ -206,7 +218,7 @@ def _search(k: int):
             largest = np.abs(codes).max(axis=0)
             asked = queries.to_pylist()[0]
             names = np.frombuffer(asked["ids"], dtype=np.int64)
-            vectors = np.frombuffer(asked["codes"], dtype=np.int64).reshape(len(names), asked["width"])
+            vectors = unpacked(asked["codes"], len(names), asked["width"])
             both = min(width, asked["width"])
             for no, own in enumerate(names):
                 query = np.zeros(width)
