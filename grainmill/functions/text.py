@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from grainmill.constants import (
@@ -55,6 +58,24 @@ def code_points(text: Column) -> Column:
     return F.when(F.length(text) > 0, ids).otherwise(F.array().cast("array<int>"))
 
 
+def text_points(text: Column) -> Column:
+    """``code_points`` of a whole column in one Arrow step.
+
+    It takes a fraction of the time and is made once, however often a plan uses it. It cannot be
+    used inside array functions; ``code_points`` can. Null gives no tokens, as there.
+    """
+
+    @F.arrow_udf("array<int>")
+    def points(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+        joined = "".join(filter(None, texts.to_pylist()))
+        ids = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32) + FIRST_BYTE_ID
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+
+    return points(text)
+
+
 def words(text: Column) -> Column:
     """Words between white space, with no empty ones."""
     return F.filter(F.split(text, r"[ \t\r\n]+"), lambda w: w != "")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import sequences as S
-from grainmill.functions.text import code_points, source_tag, strip, words
+from grainmill.functions.text import code_points, source_tag, strip, text_points, words
 
 
 def value(spark, column, **cols):
@@ -104,6 +104,13 @@ def test_code_points(spark):
     assert value(spark, code_points(F.col("t")), t="") == []
 
 
+def test_text_points_are_code_points(spark):
+    texts = ["aé😀", "", None, "line\nline\x00", "漢" * 3000, " "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    got = rows.select("t", code_points(F.col("t")).alias("a"), text_points(F.col("t")).alias("b")).collect()
+    assert len(got) == len(texts) and all(r.a == r.b for r in got)
+
+
 def test_words_strip_and_source(spark):
     assert value(spark, words(F.col("t")), t=" a\n\nb\tc ") == ["a", "b", "c"]
     text = " \n a b \x1f \n"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.config import PrepConfig
 from grainmill.constants import DEFAULT_SYSTEM_PROMPT, IGNORE_INDEX, PAD_ID
-from grainmill.functions.text import code_points
+from grainmill.functions.text import text_points
 from grainmill.operators import chat, dispatch, templates
 from grainmill.plans import prepare
 from grainmill.sources.tables import read_table
@@ -134,7 +134,7 @@ def sft_columns(rows: DataFrame, *keys: str) -> DataFrame:
 )
 def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = templates.render_conversation_turns(conversations(spark, sf_dir))
-    return sft_columns(prepare.answer_rows(samples, SFT, code_points), "conv_id", "turn")
+    return sft_columns(prepare.answer_rows(samples, SFT, text_points), "conv_id", "turn")
 
 
 @query(
@@ -147,7 +147,7 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, turn::BIGINT AS turn, {SQL_SFT_COLUMNS} FROM labelled""",
 )
 def sft_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare.instruct(document_records(spark, sf_dir), SFT, code_points)
+    rows = prepare.instruct(document_records(spark, sf_dir), SFT, text_points)
     return sft_columns(rows, "doc_id", "turn")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.config import PrepConfig
-from grainmill.functions.text import code_points
+from grainmill.functions.text import text_points
 from grainmill.operators import dispatch
 from grainmill.plans import prepare
 from grainmill.session import scratch_dir
@@ -72,11 +72,11 @@ def pack_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with the same ids, and rows that occur twice, lose nothing by packing."""
     items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     merged = documents(spark, sf_dir).select("doc_id", "text").union(items).union(items)
-    chunks = prepare.pack_tokens(merged, PACKED, code_points, F.length("text"))
+    chunks = prepare.pack_tokens(merged, PACKED, text_points, F.length("text"))
     stream = chunks.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n_chunks"), big(F.sum(F.size("input_ids"))).alias("n_tokens")
     )
-    groups = prepare.pretrain(merged, PACKED, code_points).groupBy("shard").agg(
+    groups = prepare.pretrain(merged, PACKED, text_points).groupBy("shard").agg(
         F.countDistinct("grp").alias("n_groups")
     )
     return stream.join(groups, "shard").select(
@@ -169,7 +169,7 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs.where(F.col("doc_id") % 2 == half).write.mode("append").parquet(f"{folder}/in")
         arrived = spark.readStream.schema(docs.schema).parquet(f"{folder}/in")
         ids = prepare.with_shard(arrived, STREAMED, "doc_id").withColumn(
-            "input_ids", code_points(F.col("text"))
+            "input_ids", text_points(F.col("text"))
         )
         chunks = stream_packing.pack_stream_stateful(ids, STREAMED.seq_length)
         out = run.run_to_table(chunks, f"{folder}/out", f"{folder}/checkpoint")
@@ -193,7 +193,7 @@ def recipe_rows(spark: SparkSession, sf_dir: str, **changes) -> DataFrame:
     sinks.write_jsonl(documents(spark, sf_dir).select(side.alias("source"), line.alias("value")), folder)
     files = {s: f"{folder}/part-{s}-*.jsonl" for s in ("books", "web")}
     cfg = PrepConfig.from_dict({**RECIPE, "data": {**RECIPE["data"], "data": files, **changes}})
-    made = prepare.run(spark, cfg, code_points, key="doc_id")
+    made = prepare.run(spark, cfg, text_points, key="doc_id")
     return made.select(
         "doc_id", big("rank").alias("rank"), big("batch_id").alias("batch_id"),
         digest("input_ids").alias("ids_md5"),
@@ -251,7 +251,7 @@ def recipe_instruct(spark: SparkSession, sf_dir: str) -> DataFrame:
         "data": {"mode": "instruct", "seq_length": 1024, "world_size": 4, "data": files},
         "train": {"train_batch_size": 24},
     })
-    made = prepare.run(spark, cfg, code_points, key="doc_id")
+    made = prepare.run(spark, cfg, text_points, key="doc_id")
     return dialogue.sft_columns(made, "doc_id", "turn", "rank", "batch_id")
 
 

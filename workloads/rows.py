@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from grainmill.config import PrepConfig
 from grainmill.functions import sequences as S
-from grainmill.functions.text import code_points, source_tag
+from grainmill.functions.text import code_points, source_tag, text_points
 from grainmill.operators import dispatch, metrics, order, packing, sharding, templates
 from grainmill.plans import prepare
 from grainmill.sources import jsonl
@@ -296,7 +296,7 @@ def resume_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pieces WHERE n > 0 GROUP BY source""",
 )
 def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("source", code_points(F.col("text")).alias("ids"))
+    docs = documents(spark, sf_dir).select("source", text_points(F.col("text")).alias("ids"))
     labels = S.pretrain_labels(F.col("ids"))
     rows = packing.cut_padded(docs, LENGTH, ids="ids").select(
         "source", S.n_loss_tokens(labels).alias("n"),

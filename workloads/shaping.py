@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from grainmill.config import PrepConfig
 from grainmill.constants import IGNORE_INDEX, PAD_ID
 from grainmill.functions import sequences as S
-from grainmill.functions.text import code_points
+from grainmill.functions.text import text_points
 from grainmill.operators import packing
 from grainmill.plans import prepare
 from grainmill.sources.tables import read_table
@@ -38,7 +38,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return docs.select("doc_id", code_points(F.col("text")).alias("input_ids"))
+    return docs.select("doc_id", text_points(F.col("text")).alias("input_ids"))
 
 
 SQL_IDS = f"ids AS (SELECT doc_id, {sql_points()} AS ids FROM documents)"
@@ -73,7 +73,7 @@ chunks AS (
     FROM chunks""",
 )
 def pack_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare.pretrain(documents(spark, sf_dir), PACKED, code_points)
+    rows = prepare.pretrain(documents(spark, sf_dir), PACKED, text_points)
     return rows.select(
         big("shard").alias("shard"), "grp", "chunk",
         big(S.n_loss_tokens(F.col("labels"))).alias("n_tokens"),
@@ -91,7 +91,7 @@ def pack_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pretrain_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = replace(PACKED, world_size=4, train_batch_size=24)
-    rows = prepare.pretrain(documents(spark, sf_dir), cfg, code_points)
+    rows = prepare.pretrain(documents(spark, sf_dir), cfg, text_points)
     keyed = rows.withColumn("key", F.concat_ws("-", "shard", "grp", "chunk"))
     return prepare.to_batches(keyed, cfg, "key").select(
         big("shard").alias("shard"), "grp", "chunk", big("rank").alias("rank"), "batch_id"
@@ -100,7 +100,7 @@ def pretrain_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return prepare.pack_tokens(docs, PACKED, code_points, F.length("text"))
+    return prepare.pack_tokens(docs, PACKED, text_points, F.length("text"))
 
 
 def chunk_digests(chunks: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def unshaped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def padded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = PrepConfig(mode="pretrain", seq_length=ROW_LENGTH)
     docs = documents(spark, sf_dir).select(
-        "doc_id", F.length("text").alias("n"), code_points(F.col("text")).alias("input_ids")
+        "doc_id", F.length("text").alias("n"), text_points(F.col("text")).alias("input_ids")
     )
     return prepare.shape_rows(docs, cfg, "doc_id").withColumn(
         "mask", S.attention_mask(F.col("n"), ROW_LENGTH)
@@ -254,7 +254,7 @@ def sample_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg = PrepConfig(mode="pretrain", seq_length=600, sequence_sample_mode="sample")
     start = S.sample_start(F.greatest(F.length("text"), F.lit(600)), 600, cfg.seed, F.col("doc_id"))
     docs = documents(spark, sf_dir).select(
-        "doc_id", big(start).alias("start"), code_points(F.col("text")).alias("input_ids")
+        "doc_id", big(start).alias("start"), text_points(F.col("text")).alias("input_ids")
     )
     return prepare.shape_rows(docs, cfg, "doc_id").select(
         "doc_id", "start", digest("input_ids").alias("ids_md5")

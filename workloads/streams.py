@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from grainmill.config import PrepConfig
 from grainmill.constants import PAD_ID
 from grainmill.functions import sequences as S
-from grainmill.functions.text import code_points
+from grainmill.functions.text import text_points
 from grainmill.plans import prepare
 from grainmill.session import scratch_dir
 from grainmill.sources.tables import stream_table
@@ -56,7 +56,7 @@ def arriving(spark: SparkSession, sf_dir: str, name: str, step: carry.Step) -> N
 
 def encoded(step: carry.Step) -> carry.Step:
     """The step on batches whose texts have become ids."""
-    return lambda batch, n: step(batch.withColumn("input_ids", code_points(F.col("text"))), n)
+    return lambda batch, n: step(batch.withColumn("input_ids", text_points(F.col("text"))), n)
 
 
 def finished(stream: DataFrame, name: str) -> DataFrame:
@@ -75,7 +75,7 @@ def stream_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
         mode="pretrain", seq_length=1024, pad_to_max=False, sequence_sample_mode="none"
     )
     docs = stream_table(spark, sf_dir, "documents")
-    rows = finished(prepare.pretrain(docs, cfg, code_points), "stream_prep")
+    rows = finished(prepare.pretrain(docs, cfg, text_points), "stream_prep")
     return rows.select(
         "doc_id", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, META_SPACE, SPECIAL_TOKENS, UNK
 from grainmill.functions import sequences as S
-from grainmill.functions.text import code_points, words
+from grainmill.functions.text import text_points, words
 from grainmill.operators import bpe, vocab
 from grainmill.sources.tables import read_table
 from workloads.base import big, digest, query, sql_digest, sql_points, sql_words
@@ -221,7 +221,7 @@ def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.substring_index("text", "\n", 1)
     rest = F.substr(F.col("text"), F.length(first) + 2)
     return documents(spark, sf_dir).select(
-        "doc_id", code_points(first).alias("a"), code_points(rest).alias("b")
+        "doc_id", text_points(first).alias("a"), text_points(rest).alias("b")
     )
 
 
@@ -278,7 +278,7 @@ def segment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prompt_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "benchmark").select(
-        "item_id", code_points(F.col("text")).alias("input_ids")
+        "item_id", text_points(F.col("text")).alias("input_ids")
     )
     return rows.select(
         "item_id", big(F.size("input_ids")).alias("input_length"),
