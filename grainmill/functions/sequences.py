@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +11,7 @@ from pyspark.sql import Column, functions as F
 
 from grainmill.constants import BOS_ID, EOS_ID, IGNORE_INDEX, PAD_ID, SPECIAL_TOKENS
 from grainmill.functions.hashing import uniform
+from grainmill.functions.steps import list_steps
 
 
 def _zero_if_negative(n: Column) -> Column:
@@ -81,21 +84,25 @@ def n_loss_tokens(labels: Column) -> Column:
     return F.size(F.filter(labels, lambda x: x != IGNORE_INDEX))
 
 
+def _positions(masks: pa.Array) -> pa.ListArray:
+    sizes = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False)
+    ones = masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    seen = np.cumsum(ones)
+    before = np.concatenate(([0], seen))[ends[:-1]]
+    places = np.where(ones == 0, 1, seen - np.repeat(before, sizes) - 1).astype(np.int32)
+    offsets = pa.array(ends.astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(places), mask=masks.is_null())
+
+
+def positions_by_steps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from map(_positions, list_steps(batch))
+
+
 def position_ids(mask: Column) -> Column:
     """Running count of ones minus 1; 1 where the mask is 0. Works for any mask layout."""
-
-    @F.arrow_udf("array<int>")
-    def count(masks: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.list_value_length(masks), 0).to_numpy(zero_copy_only=False)
-        ones = masks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.concatenate(([0], np.cumsum(sizes)))
-        seen = np.cumsum(ones)
-        before = np.concatenate(([0], seen))[ends[:-1]]
-        places = np.where(ones == 0, 1, seen - np.repeat(before, sizes) - 1).astype(np.int32)
-        offsets = pa.array(ends.astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(places), mask=masks.is_null())
-
-    return count(mask)
+    return F.arrow_udf(positions_by_steps, "array<int>")(mask)
 
 
 def right_padded_position_ids(mask: Column) -> Column:

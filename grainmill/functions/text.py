@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from grainmill.constants import (
     INSTRUCT_NO_INPUT,
     PREFERENCE_PROMPT,
 )
+from grainmill.functions.steps import text_steps
 
 # Unicode white space, and the four separator controls that Python strips as well.
 SPACE = r"(?U:[\s\x1c-\x1f])"
@@ -58,22 +60,27 @@ def code_points(text: Column) -> Column:
     return F.when(F.length(text) > 0, ids).otherwise(F.array().cast("array<int>"))
 
 
+def _points(texts: pa.Array) -> pa.ListArray:
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
+    joined = "".join(filter(None, texts.to_pylist()))
+    ids = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32) + FIRST_BYTE_ID
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
+
+
+def points_by_steps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield from map(_points, text_steps(batch))
+
+
 def text_points(text: Column) -> Column:
     """``code_points`` of a whole column in one Arrow step.
 
     It takes a fraction of the time and is made once, however often a plan uses it. It cannot be
-    used inside array functions; ``code_points`` can. Null gives no tokens, as there.
+    used inside array functions; ``code_points`` can. Null gives no tokens, as there. A task holds
+    the ids of one step of text at a time.
     """
-
-    @F.arrow_udf("array<int>")
-    def points(texts: pa.Array) -> pa.Array:
-        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
-        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))).astype(np.int32)
-        joined = "".join(filter(None, texts.to_pylist()))
-        ids = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.int32) + FIRST_BYTE_ID
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
-
-    return points(text)
+    return F.arrow_udf(points_by_steps, "array<int>")(text)
 
 
 def words(text: Column) -> Column:
