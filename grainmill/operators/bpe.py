@@ -16,14 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession, functions as F
 
 from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, META_SPACE, SPECIAL_TOKENS, UNK_ID
+from grainmill.functions.steps import list_steps, text_steps
 from grainmill.operators.merges import Merges, WordTokens, marked_tokens, merge_pairs
 
 SPECIAL_SPLIT = re.compile("(" + "|".join(map(re.escape, SPECIAL_TOKENS)) + ")")
 # A run of word marks and what follows up to the next mark. No piece crosses these borders.
 WORD = re.compile(f"{META_SPACE}*[^{META_SPACE}]+|{META_SPACE}+")
 CROSSES_WORDS = re.compile(f"[^{META_SPACE}]{META_SPACE}")
-# Bytes of text that one step of a task turns into tokens; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
 
 
 def text_pieces(vocab: list[tuple[int, str, float]]) -> tuple[dict[str, float], dict[str, int]]:
@@ -65,17 +64,6 @@ def encode_text(text: str, word_ids: Callable[[str], list[int]]) -> list[int]:
     return ids
 
 
-def text_steps(texts: pa.Array) -> Iterator[pa.Array]:
-    """Parts of a batch with about STEP_BYTES of text each."""
-    if not len(texts):
-        return
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes, dtype=np.int64) // STEP_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts, cuts[1:]):
-        yield texts[a:b]
-
-
 def encode_texts(texts: pa.Array, known: WordTokens) -> pa.ListArray:
     """Ids of each text of a batch; all distinct words of it are merged at once."""
     texts = pc.replace_substring(texts, META_SPACE, " ")
@@ -111,8 +99,8 @@ def bpe_encoder(spark: SparkSession, vocab: list[tuple]) -> Callable[[Column], C
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = WordTokens(Merges(*shared.value, FIRST_BYTE_ID))
         for batch in batches:
-            parts = [encode_texts(part, known) for part in text_steps(batch)]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            for part in text_steps(batch):
+                yield encode_texts(part, known)
 
     return encode
 
@@ -137,7 +125,7 @@ def bpe_decoder(
     shared = spark.sparkContext.broadcast(piece_bytes(vocab))
 
     @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = shared.value
 
         def text(row: list[int]) -> str:
@@ -149,7 +137,10 @@ def bpe_decoder(
             marked = bool(row) and row[0] >= FIRST_PIECE_ID and data.startswith(b" ")
             return data[marked:].decode("utf-8", "replace")
 
-        return pa.array([None if r is None else text(r) for r in ids.to_pylist()], pa.string())
+        for batch in batches:
+            for ids in list_steps(batch):
+                rows = (None if r is None else text(r) for r in ids.to_pylist())
+                yield pa.array(rows, pa.string())
 
     return decode
 
