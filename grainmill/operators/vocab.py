@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from grainmill.constants import FIRST_BYTE_ID, FIRST_PIECE_ID, SPECIAL_TOKENS, UNK_ID
+from grainmill.functions.steps import list_steps
 from grainmill.functions.text import words
 from grainmill.sources.tables import via_table
 
@@ -102,14 +103,18 @@ def _relist(source: pa.ListArray, values: pa.Array) -> pa.ListArray:
 
 
 def piece_ids(spark: SparkSession, vocab: list[tuple]) -> Callable[[Column], Column]:
-    """Lookup pieces -> ids, unknown pieces to the unknown id; no shuffle, one Arrow call."""
+    """Lookup pieces -> ids, unknown pieces to the unknown id; no shuffle, an Arrow call a step."""
     table = spark.sparkContext.broadcast(pa.array([v[1] for v in vocab], pa.string()))
 
-    @F.arrow_udf("array<int>")
-    def lookup(pieces: pa.Array) -> pa.Array:
+    def ids_of(pieces: pa.Array) -> pa.Array:
         found = pc.index_in(pieces.flatten().cast(pa.string()), value_set=table.value)
         return _relist(pieces, pc.fill_null(found, UNK_ID).cast(pa.int32()))
 
+    @F.arrow_udf("array<int>")
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from map(ids_of, list_steps(batch))
+
     return lookup
 
 
@@ -117,11 +122,15 @@ def id_pieces(spark: SparkSession, vocab: list[tuple]) -> Callable[[Column], Col
     """Lookup ids -> pieces; ids outside the vocabulary give the unknown piece."""
     table = spark.sparkContext.broadcast(pa.array([v[1] for v in vocab], pa.string()))
 
-    @F.arrow_udf("array<string>")
-    def lookup(ids: pa.Array) -> pa.Array:
+    def pieces_of(ids: pa.Array) -> pa.Array:
         flat = ids.flatten()
         known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table.value)))
         flat = pc.if_else(pc.fill_null(known, False), flat, UNK_ID)
         return _relist(ids, table.value.take(flat))
 
+    @F.arrow_udf("array<string>")
+    def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from map(pieces_of, list_steps(batch))
+
     return lookup
