@@ -2,11 +2,14 @@
 
 Rows should be dealt to shards with ``shard_of``, so that shards are even whatever the
 sources are. A micro-batch's rows of a shard are taken in key order, so results do not depend
-on the order in which tasks deliver them; ``maxFilesPerTrigger`` bounds a micro-batch.
+on the order in which tasks deliver them. Until they are in order their tokens lie in a temporary
+file of the task, so a worker holds one chunk, one group or one row, however large a micro-batch is;
+``maxFilesPerTrigger`` bounds the file.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +23,19 @@ from grainmill.operators.packing import SHARD
 ROWS_PER_FRAME = 1000
 
 
-def _in_key_order(frames: Iterator[pd.DataFrame], key: str, ids: str) -> list[np.ndarray]:
-    rows = [(k, v) for f in frames for k, v in zip(f[key], f[ids])]
-    return [np.asarray(v, np.int32) for _, v in sorted(rows, key=lambda r: r[0])]
+def _in_key_order(frames: Iterator[pd.DataFrame], key: str, ids: str) -> Iterator[np.ndarray]:
+    """Tokens of each row by key; only keys and places are held, the tokens are in a file."""
+    keys, ends = [], [0]
+    with tempfile.TemporaryFile() as file:
+        for f in frames:
+            keys += f[key].tolist()
+            for row in f[ids]:
+                tokens = np.asarray(row, np.int32)
+                file.write(tokens.tobytes())
+                ends.append(ends[-1] + len(tokens))
+        for i in sorted(range(len(keys)), key=keys.__getitem__):
+            file.seek(4 * ends[i])
+            yield np.frombuffer(file.read(4 * (ends[i + 1] - ends[i])), np.int32)
 
 
 def _frames(shard: int, rows: list[dict]) -> Iterator[pd.DataFrame]:
@@ -38,14 +51,18 @@ def pack_stream_stateful(
 
     def pack(group, frames, state) -> Iterator[pd.DataFrame]:
         chunk, cache = state.get if state.exists else (0, [])
-        parts = [np.asarray(cache, np.int32), *_in_key_order(frames, key, ids)]
-        tokens = np.concatenate(parts)
-        n = len(tokens) // seq_length
-        rows = [
-            {"chunk": chunk + i, ids: tokens[i * seq_length : (i + 1) * seq_length]}
-            for i in range(n)
-        ]
-        state.update((chunk + n, tokens[n * seq_length :].tolist()))
+        left, rows = np.asarray(cache, np.int32), []
+        for tokens in _in_key_order(frames, key, ids):
+            left = np.concatenate([left, tokens])
+            whole = len(left) // seq_length * seq_length
+            for i in range(0, whole, seq_length):
+                rows.append({"chunk": chunk, ids: left[i : i + seq_length]})
+                chunk += 1
+            left = left[whole:]
+            if len(rows) >= ROWS_PER_FRAME:
+                yield from _frames(group[0], rows)
+                rows = []
+        state.update((chunk, left.tolist()))
         yield from _frames(group[0], rows)
 
     return (
@@ -85,6 +102,9 @@ def pack_groups_stateful(
                 chunks = whole.reshape(-1, seq_length)
                 rows += [{"grp": grp, "chunk": i, ids: c} for i, c in enumerate(chunks)]
                 grp, held, waiting = grp + 1, 0, []
+                if len(rows) >= ROWS_PER_FRAME:
+                    yield from _frames(group[0], rows)
+                    rows = []
         left = np.concatenate(waiting).tolist() if waiting else []
         state.update((grp, held, left))
         yield from _frames(group[0], rows)

@@ -1,5 +1,9 @@
 """Streams give what batches give, over several micro-batches and restarts."""
 
+import weakref
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +110,34 @@ def test_a_bad_line_of_a_stream_is_a_reject(spark, tmp_path):
     strict = jsonl.stream_jsonl(spark, str(tmp_path / "in"), schema)
     with pytest.raises(Exception):
         run.run_to_table(strict, str(tmp_path / "out2"), str(tmp_path / "cp2"))
+
+
+class Frames:
+    """Frames of one row each, and how many of them are still held when the next one is asked for."""
+
+    def __init__(self, sizes):
+        self.sizes, self.live, self.most = sizes, [], 0
+
+    def __iter__(self):
+        for k, n in self.sizes:
+            tokens = np.full(n, k, np.int32)
+            self.live.append(weakref.ref(tokens))
+            frame = pd.DataFrame({"doc_id": [k], "input_ids": [tokens]})
+            del tokens
+            yield frame
+            del frame
+            self.most = max(self.most, sum(r() is not None for r in self.live))
+
+
+def test_rows_of_a_micro_batch_are_not_held():
+    frames = Frames([(k, 1000) for k in (5, 3, 9, 1, 7, 8, 2, 6, 4, 0)])
+    rows = [r[0] for r in packing._in_key_order(iter(frames), "doc_id", "input_ids") if len(r) == 1000]
+    assert rows == list(range(10))
+    assert frames.most <= 3
+
+
+def test_equal_keys_and_empty_rows_stay_in_turn():
+    ids = [np.array(x, np.int32) for x in ([4], [], [2, 2], [1])]
+    frames = [pd.DataFrame({"doc_id": [2, 1, 2, 1], "input_ids": ids})]
+    got = [r.tolist() for r in packing._in_key_order(iter(frames), "doc_id", "input_ids")]
+    assert got == [[], [1], [4], [2, 2]]
