@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 
 # Bytes of text, or entries of lists, that one step turns into something else; a longer row is a
 # step of its own.
-STEP_BYTES = 4 << 20
-STEP_ENTRIES = 1 << 20
+STEP_BYTES = 1 << 20
+STEP_ENTRIES = 1 << 18
 
 
 def _steps(column: pa.Array, sizes: pa.Array, limit: int) -> Iterator[pa.Array]:

@@ -16,6 +16,7 @@ from grainmill.operators import packing
 from grainmill.operators.dispatch import accepted, apply_by_source
 from grainmill.operators.order import sanity_limit, with_shuffled_spans, with_shuffled_positions
 from grainmill.operators.sharding import assign_batches
+from grainmill.session import small_batches
 from grainmill.sources import lines
 from grainmill.sources.jsonl import parse_lines, read_jsonl
 from grainmill.sources.tables import via_table
@@ -164,6 +165,7 @@ def read_rows(spark: SparkSession, cfg: PrepConfig, key: str | None) -> DataFram
     them: the pattern's name, the path of the file, and the offset of the line."""
     if not cfg.data:
         raise ValueError("the recipe names no data")
+    small_batches(spark)
     columns = COLUMNS[cfg.mode]
     if key is not None:
         return read_jsonl(spark, cfg.data, T.StructType.fromDDL(f"{key} long, {columns}"))

@@ -29,6 +29,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# What Spark hands to Python at once. A task's worker holds a batch, and a part of what it makes.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python in batches of BATCH_BYTES at most, if it does not already.
+
+    Up to a full batch a worker's memory grows with the rows of a task, so a batch should be small.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = str(spark.conf.get(key))
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 # The folder that a local session without a checkpoint folder uses; settings of a running session
 # cannot be changed.
 _local_scratch: dict[str, str] = {}
