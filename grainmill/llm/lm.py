@@ -43,6 +43,10 @@ FREQUENT_WORDS = 200_000
 PARTS = 64
 # Bytes of text, or of token ids, that one step turns into arrays.
 SCAN_BYTES, SCORE_BYTES = 3 << 20, 2 << 20
+# Words whose ids a worker remembers.
+REMEMBERED = 250_000
+# Cells that are sorted at once to be counted.
+COUNT_CELLS = 1 << 20
 # What the end of a text is counted as; no word is empty.
 END_WORD = ""
 SMALL = 0.1
@@ -85,20 +89,45 @@ class Subwords:
         self.size = max(pieces.values()) + 1
         self.spaced = np.zeros(self.size, dtype=bool)
         self.spaced[[v for k, v in pieces.items() if k[:1] == b" "]] = True
+        self.words, self.ends, self.ids = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (words + 1) and the ids of all words. No word is empty or holds a space."""
-        names = words.to_pylist()
-        if not names:
+        if not len(words):
             return np.zeros(1, np.int64), np.zeros(0, np.uint32)
-        wide = pc.match_substring_regex(words, WIDE_SPACE).to_numpy(zero_copy_only=False)
-        ids = self.encoder.encode_to_numpy(" " + " ".join(names), disallowed_special=())
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.string())), " ")
+        ids = self.encoder.encode_to_numpy(" " + whole[0].as_py(), disallowed_special=())
         starts = np.flatnonzero(self.spaced[ids])
-        if wide.any() or len(starts) != len(names):
-            each = [self.encoder.encode_to_numpy(" " + w, disallowed_special=()) for w in names]
+        wide = pc.any(pc.match_substring_regex(whole, WIDE_SPACE)).as_py()
+        if wide or len(starts) != len(words):
+            each = [self.encoder.encode_to_numpy(" " + w, disallowed_special=()) for w in words.to_pylist()]
             return np.concatenate(([0], np.cumsum([len(x) for x in each]))), np.concatenate(each)
         return np.append(starts, len(ids)), ids
 
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What ``of`` gives; words of earlier steps are not encoded again. No word occurs twice."""
+        words = words.cast(pa.string())
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(at.is_null())
+        ends, ids = self.of(new)
+        all_ends, all_ids = np.append(self.ends, self.ends[-1] + ends[1:]), np.concatenate((self.ids, ids))
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        upto, entries = gathered(all_ends, place)
+        found = upto, all_ids[entries]
+        if len(self.words) + len(new) <= REMEMBERED:
+            self.words, self.ends, self.ids = pa.concat_arrays([self.words, new]), all_ends, all_ids
+        elif len(words) <= REMEMBERED:  # full: only this step's words are kept
+            self.words, (self.ends, self.ids) = words, found
+        return found
+
+
+def gathered(ends: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (taken + 1) of the lists that are taken, and the place of each of their entries."""
+    first, size = ends[take], ends[take + 1] - ends[take]
+    upto = np.concatenate(([0], np.cumsum(size)))
+    return upto, np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)
+
 
 _loaded: dict[str, Subwords] = {}
 
@@ -115,14 +144,11 @@ class Cut:
     def __init__(self, texts: pa.Array, path: str):
         lower = W.lower_ascii(pc.fill_null(texts, ""))
         self.offsets, self.codes, self.words = W.coded_words(lower)
-        self.ends_of, self.ids_of = subwords(path).of(self.words)
-        self.first, self.size = self.ends_of[:-1], np.diff(self.ends_of)
+        self.ends_of, self.ids_of = subwords(path).remembered(self.words)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (rows + 1) and the ids of all rows."""
-        size = self.size[self.codes]
-        upto = np.concatenate(([0], np.cumsum(size)))
-        place = np.arange(upto[-1]) + np.repeat(self.first[self.codes] - upto[:-1], size)
+        upto, place = gathered(self.ends_of, self.codes)
         return upto[self.offsets], self.ids_of[place]
 
 
@@ -213,12 +239,20 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Re
             yield step, ends - ends[0], ids
 
 
+def add_cells(table: np.ndarray, cells: np.ndarray) -> None:
+    """Add to ``table`` how often each cell occurs; sorted ones are met in order, each once."""
+    for a in range(0, len(cells), COUNT_CELLS):
+        some = np.sort(cells[a : a + COUNT_CELLS].astype(np.int32))
+        last = np.flatnonzero(np.diff(some, append=-1))
+        table[some[last]] += np.diff(last, prepend=-1).astype(table.dtype)
+
+
 def _count(cells_of, shared, length: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(length, dtype=np.int32)
         for _, ends, ids in _texts(batches, size):
             before, after = attention.neighbours(ends, ids, size - 1, size)
-            np.add.at(table, cells_of(before, after, shared.value, size), 1)
+            add_cells(table, cells_of(before, after, shared.value, size))
         width = length // PARTS + 1
         for p in range(PARTS):
             own = table[p * width : (p + 1) * width]
@@ -348,14 +382,13 @@ def _look_up(shared):
     """Sums over frequent words of each row, and the other words one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = shared.value
+        listed, logs = shared.value
         for whole in batches:
             for step in W.steps(whole):
                 offsets, codes, distinct = W.coded_words(W.lower_ascii(pc.fill_null(step.column("text"), "")))
-                hashes = W.word_hashes(distinct)[0]
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                known = keys[at] == hashes
-                value = np.where(known, logs[at], 0.0)
+                at = pc.index_in(distinct.cast(pa.string()), value_set=listed)
+                known = at.is_valid().to_numpy(zero_copy_only=False)
+                value = logs[pc.fill_null(at, len(listed)).to_numpy(zero_copy_only=False)]
                 sums = np.concatenate(([0.0], np.cumsum(value[codes])))
                 hits = np.concatenate(([0], np.cumsum(known[codes])))
                 row = np.repeat(np.arange(step.num_rows), np.diff(offsets))
@@ -384,11 +417,8 @@ def word_scores(docs: DataFrame, words: DataFrame, frequent: int) -> DataFrame:
     """
     spark = docs.sparkSession
     top = W.most_frequent(words.where(F.col("word") != END_WORD), "c", frequent).toPandas()
-    hashes = W.word_hashes(pa.array(top["word"], pa.string()))[0] if len(top) else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    keys = np.append(hashes[order], np.uint64(2**64 - 1))
-    logs = np.append(np.log10(top["c"].to_numpy(dtype=np.float64) + SMALL)[order], 0.0)
-    shared = spark.sparkContext.broadcast((keys, logs))
+    logs = np.append(np.log10(top["c"].to_numpy(dtype=np.float64) + SMALL), 0.0)
+    shared = spark.sparkContext.broadcast((pa.array(top["word"], pa.string()), logs))
     found = W.bounded_rows(
         docs.mapInArrow(
             _look_up(shared), "doc_id long, text_key long, word string, n_known long, base double, n long"
