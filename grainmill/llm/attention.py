@@ -25,6 +25,8 @@ SMOOTH = 100.0
 STEP = 256
 # Consecutive blocks that are trained on together, and how many such runs make a step.
 RUN, RUNS = 128, 8
+# Blocks of a step whose arrays are made at once.
+AT_ONCE = 2 * (RUN + 1)
 LOG10 = float(np.log(10))
 
 
@@ -187,28 +189,71 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[-1], dtype=x.dtype)
 
 
-def _pairs(x: np.ndarray, axis: int) -> np.ndarray:
-    """Each block behind the one before it; blocks lie in runs (runs, blocks, ..)."""
-    both = np.concatenate((x[:, :-1], x[:, 1:]), axis=axis + 1)
-    return both.reshape(-1, *both.shape[2:])
+def _spread(x: np.ndarray, n: int) -> np.ndarray:
+    """Sums over the last axis, n times beside each other; rows of them are used faster than one a row."""
+    return x @ np.ones((x.shape[-1], n), dtype=x.dtype)
 
 
-def _attend(query, key, value, place, empty):
-    """Attention of all windows; blocks are (runs, blocks, SPAN, HEAD), the first of a run is context.
+def _positive(x: np.ndarray) -> np.ndarray:
+    """Set what is below 0 to 0, by the sign bit, which is faster than a comparison; returns the mask of bits kept."""
+    bits = x.view(np.int32)
+    kept = np.right_shift(bits, 31)
+    np.invert(kept, out=kept)
+    bits &= kept
+    return kept
 
-    ``empty``: the block before has no tokens. Gives the weights and the outputs, and the query,
-    key and value that they came from.
+
+def _at_most(x: np.ndarray, limit: float) -> None:
+    if x.max() > limit:
+        np.minimum(x, limit, out=x)
+
+
+# Columns of what is made of each token for attention.
+_QUERY, _KEY, _VALUE = slice(0, HEAD), slice(HEAD, 2 * HEAD), slice(2 * HEAD, 3 * HEAD)
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """Each block of the rows behind the one before it, without a copy."""
+    row, column = x.strides
+    shape = (len(x) // SPAN - 1, 2 * SPAN, x.shape[1])
+    return np.lib.stride_tricks.as_strided(x, shape, (SPAN * row, row, column))
+
+
+def _attend(made: np.ndarray, place: np.ndarray, empty: np.ndarray, att: np.ndarray, seen: np.ndarray) -> None:
+    """Attention of all windows of consecutive blocks, the first of which is only context.
+
+    ``empty``: the block before has no tokens. ``att`` gets the weights and ``seen`` the outputs.
     """
-    q = np.ascontiguousarray(query[:, 1:]).reshape(-1, SPAN, HEAD)
-    turned = _pairs(np.ascontiguousarray(key.transpose(0, 1, 3, 2)), 2)
-    v = _pairs(value, 1)
-    att = np.matmul(q, turned)
+    query = made[SPAN:, _QUERY].reshape(-1, SPAN, HEAD)
+    np.matmul(query, _windows(made[:, _KEY]).transpose(0, 2, 1), out=att)
     att += place[_BACK] + _MASK
-    att[empty, :, :SPAN] = -1e9
-    np.minimum(att, 30, out=att)
+    att[np.flatnonzero(empty), :, :SPAN] = -1e9
+    _at_most(att, 30)
     np.exp(att, out=att)
-    att /= _sums(att)[..., None]
-    return att, np.matmul(att, v), q, turned, v
+    rows = att.reshape(-1, 2 * SPAN)
+    rows /= _spread(rows, 2 * SPAN)
+    np.matmul(att, _windows(made[:, _VALUE]), out=seen)
+
+
+class Room:
+    """Arrays of rows for up to ``blocks`` blocks and their context, used again so that they stay in the caches."""
+
+    def __init__(self, blocks: int, **widths: int):
+        self.blocks, self.widths = blocks, widths
+        self.arrays = {k: np.zeros((blocks + 1) * SPAN * n, dtype=np.float32) for k, n in widths.items()}
+
+    def rows(self, name: str, n: int) -> np.ndarray:
+        width = self.widths[name]
+        return self.arrays[name][: n * width].reshape(n, width)
+
+    def blocks_of(self, name: str, n: int) -> np.ndarray:
+        """The first rows by block."""
+        return self.rows(name, n).reshape(n // SPAN, SPAN, -1)
+
+
+def _took(table: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Rows of a table; ``clip`` spares the copy that is made against places out of range."""
+    return np.take(table, at, axis=0, out=out, mode="clip")
 
 
 class Model:
@@ -217,7 +262,7 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, prior: Prior, weights: Weights):
         x, w = vocabulary.vectors, weights
         self.vocabulary, self.prior, self.weights = vocabulary, prior, weights
-        self.tables = [np.ascontiguousarray(x @ m) for m in (w.query, w.key, w.value)]
+        self.made = x @ np.concatenate((w.query, w.key, w.value), axis=1)
         self.own = x @ w.own + w.bias
 
     def arrays(self) -> tuple:
@@ -234,25 +279,26 @@ class Model:
         vocabulary, w = self.vocabulary, self.weights
         b = Blocks(ends, ids, vocabulary.size - 1, vocabulary.size)
         out = np.zeros(len(ends) - 1)
+        classes = self.prior.classes + w.shift
+        room = Room(STEP, made=3 * HEAD, att=2 * SPAN, seen=HEAD, hidden=HIDDEN, more=HIDDEN, logits=CLASSES, prior=CLASSES)
         for a in range(0, b.total - 1, STEP):
-            blocks = slice(a, min(a + STEP, b.total - 1) + 1)  # one block of context, then scored ones
-            at = slice(blocks.start * SPAN, blocks.stop * SPAN)
-            token = b.inputs[at]
-            q, k, v = (t[token].reshape(1, -1, SPAN, HEAD) for t in self.tables)
-            _, seen, *_ = _attend(q, k, v, w.place, b.empty[blocks][:-1])
-            hidden = seen.reshape(-1, HEAD) @ w.mix
-            hidden += self.own[token[SPAN:]]
-            np.maximum(hidden, 0, out=hidden)
+            z = min(a + STEP, b.total - 1) + 1  # one block of context, then scored ones
+            token, target = b.inputs[a * SPAN : z * SPAN], b.targets[(a + 1) * SPAN : z * SPAN]
+            n = len(target)
+            made, seen = _took(self.made, token, room.rows("made", len(token))), room.rows("seen", n)
+            _attend(made, w.place, b.empty[a : z - 1], room.blocks_of("att", n), room.blocks_of("seen", n))
+            hidden = _took(self.own, token[SPAN:], room.rows("hidden", n))
+            hidden += np.matmul(seen, w.mix, out=room.rows("more", n))
+            _positive(hidden)
+            logits = np.matmul(hidden, w.out, out=room.rows("logits", n))
             context = vocabulary.contexts[token[SPAN:]]
-            logits = hidden @ w.out
-            logits += self.prior.classes[context]
-            logits += w.shift
-            target = b.targets[at][SPAN:]
-            chosen = logits[np.arange(len(target)), vocabulary.classes[target]]
+            logits += _took(classes, context, room.rows("prior", n))
+            chosen = logits.ravel()[np.arange(0, n * CLASSES, CLASSES) + vocabulary.classes[target]]
             np.exp(logits, out=logits)
             score = chosen - np.log(_sums(logits)) + self.prior.tokens[context, target]
-            score = np.where(b.counts[at][SPAN:], score, 0).reshape(-1, SPAN).sum(axis=1, dtype=np.float64)
-            out += np.bincount(b.doc[blocks][1:], score, len(out))
+            score = np.where(b.counts[(a + 1) * SPAN : z * SPAN], score, 0).reshape(-1, SPAN).sum(axis=1, dtype=np.float64)
+            doc = b.doc[a + 1 : z]
+            out[doc[0] : doc[-1] + 1] += np.bincount(doc - doc[0], score)
         return out / LOG10
 
 
@@ -261,75 +307,111 @@ class Trainer:
 
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray, weights: Weights):
         self.vocabulary, self.classes, self.weights = vocabulary, classes, weights
-        self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in weights.all()]
+        self.moments = np.zeros((2, sum(p.size for p in weights.all())), dtype=np.float32)
         self.steps = 0
+        self.room, self.place = Room(0), np.zeros(len(vocabulary.vectors), dtype=np.intp)
 
     def gradients(self, b: Blocks, starts: np.ndarray, length: int) -> tuple[float, list[np.ndarray]]:
         """Mean loss over the tokens of runs of ``length`` blocks, and its gradients.
 
-        A run begins at a block of ``starts``; the block before it is context. What all tokens of a
-        run need (queries, keys, values, own part) is one product, for each block once.
+        A run begins at a block of ``starts``; the block before it is context. Tokens repeat, so what a
+        token gives in every place is made once a step.
         """
         w, vocabulary = self.weights, self.vocabulary
         blocks = (starts[:, None] - 1) + np.arange(length + 1)
         token = b.inputs.reshape(-1, SPAN)[blocks]
-        shape = (len(starts), length + 1, SPAN)
-        x = vocabulary.vectors[token.reshape(-1)]
-        made = x @ np.concatenate((w.query, w.key, w.value, w.own), axis=1)
-        q, k, v = (made[:, i * HEAD : (i + 1) * HEAD].reshape(*shape, HEAD) for i in range(3))
-        own = made[:, 3 * HEAD :].reshape(*shape, HIDDEN)[:, 1:].reshape(-1, HIDDEN)
-        att, seen, q, turned, v = _attend(q, k, v, w.place, b.empty[blocks[:, :-1].reshape(-1)])
-        flat_seen = seen.reshape(-1, HEAD)
-        hidden = flat_seen @ w.mix
-        hidden += own
-        hidden += w.bias
-        np.maximum(hidden, 0, out=hidden)
-        d = hidden @ w.out
-        d += w.shift
-        d += self.classes[vocabulary.contexts[token[:, 1:].reshape(-1)]]
-        np.exp(np.minimum(d, 80, out=d), out=d)
-        d /= _sums(d)[:, None]
-        counts = b.counts.reshape(-1, SPAN)[blocks[:, 1:]].reshape(-1)
-        target = vocabulary.classes[b.targets.reshape(-1, SPAN)[blocks[:, 1:]].reshape(-1)]
-        every = np.arange(len(target))
-        share = (counts / max(1, counts.sum())).astype(np.float32)
-        loss = -float(np.log(np.maximum(d[every, target], 1e-30)) @ share)
-        d[every, target] -= 1
-        d *= share[:, None]
-        d_hidden = d @ w.out.T
-        d_hidden *= hidden > 0
-        d_seen = (d_hidden @ w.mix.T).reshape(seen.shape)
-        d_score = np.matmul(d_seen, np.ascontiguousarray(v.transpose(0, 2, 1)))
-        d_score -= _sums(d_seen * seen)[..., None]
+        counts = b.counts.reshape(-1, SPAN)[blocks]
+        counts[:, 0] = False
+        counted = max(1, np.count_nonzero(counts))
+        here = np.zeros(len(vocabulary.vectors), dtype=bool)
+        here[token] = True
+        met = np.flatnonzero(here)
+        self.place[met] = np.arange(len(met))
+        x, to_made = vocabulary.vectors[met], np.concatenate((w.query, w.key, w.value), axis=1)
+        tables = x, x @ to_made, x @ w.own + w.bias, (self.classes + w.shift)[vocabulary.contexts[met]]
+        sums = [np.zeros_like(p) for p in (to_made, w.own, w.mix, w.bias, w.out, w.shift)]
+        sums.append(np.zeros(2 * SPAN * SPAN, dtype=np.float32))
+        # Runs are laid one behind the other; what the context of one sees in the run before is not counted.
+        loss, some = 0.0, max(1, AT_ONCE // (length + 1))
+        for a in range(0, len(starts), some):
+            share = counts[a : a + some].reshape(-1)[SPAN:] * np.float32(1 / counted)
+            loss += self._run(b, blocks[a : a + some].ravel(), self.place[token[a : a + some].ravel()], share, tables, sums)
+        made, own, mix, bias, out, shift, score = sums
+        place = np.bincount(_BACK.ravel(), score, 2 * SPAN)
+        return loss, [made[:, _QUERY], made[:, _KEY], made[:, _VALUE], place, mix, own, bias, out, shift]
+
+    def _run(
+        self, b: Blocks, blocks: np.ndarray, token: np.ndarray, share: np.ndarray, tables: tuple, sums: list
+    ) -> float:
+        """Loss of blocks behind a first one that is context; its gradients are added to ``sums``.
+
+        ``share``: how much each position counts; ``token``: rows of the ``tables`` of vectors, and of
+        what is made of them.
+        """
+        w, length = self.weights, len(blocks) - 1
+        n, whole = length * SPAN, (length + 1) * SPAN
+        if self.room.blocks < length:
+            self.room = Room(
+                length, x=WIDTH, made=3 * HEAD, att=2 * SPAN, seen=HEAD, hidden=HIDDEN, more=HIDDEN, d=CLASSES,
+                prior=CLASSES, d_seen=HEAD, d_score=2 * SPAN, both=6 * HEAD, back=3 * HEAD,
+            )
+        rows, blocks_of = self.room.rows, self.room.blocks_of
+        x, made = (_took(t, token, rows(k, whole)) for t, k in zip(tables, ("x", "made")))
+        hidden, prior = (_took(t, token[SPAN:], rows(k, n)) for t, k in zip(tables[2:], ("hidden", "prior")))
+        att, seen = blocks_of("att", n), rows("seen", n)
+        _attend(made, w.place, b.empty[blocks[:-1]], att, blocks_of("seen", n))
+        hidden += np.matmul(seen, w.mix, out=rows("more", n))
+        kept = _positive(hidden)
+        d = np.matmul(hidden, w.out, out=rows("d", n))
+        d += prior
+        _at_most(d, 80)
+        np.exp(d, out=d)
+        flat, total = d.reshape(-1), _sums(d)
+        chosen = self.vocabulary.classes[b.targets.reshape(-1, SPAN)[blocks[1:]].reshape(-1)]
+        chosen += np.arange(0, n * CLASSES, CLASSES)
+        chance = flat[chosen] / total
+        loss = -float(np.log(np.maximum(chance, 1e-30)) @ share)
+        d *= (share / total)[:, None]
+        flat[chosen] = share * (chance - 1)
+        d_hidden = np.matmul(d, w.out.T, out=rows("more", n))
+        np.bitwise_and(d_hidden.view(np.int32), kept, out=d_hidden.view(np.int32))
+        d_seen = np.matmul(d_hidden, w.mix.T, out=rows("d_seen", n))
+        d_score = blocks_of("d_score", n)
+        np.matmul(blocks_of("d_seen", n), _windows(made[:, _VALUE]).transpose(0, 2, 1), out=d_score)
         d_score *= att
-        d_value = np.matmul(np.ascontiguousarray(att.transpose(0, 2, 1)), d_seen)
-        d_query = np.matmul(d_score, np.ascontiguousarray(turned.transpose(0, 2, 1)))
-        d_key = np.matmul(np.ascontiguousarray(d_score.transpose(0, 2, 1)), q)
+        mean = _spread(rows("d_score", n), 2 * SPAN)
+        mean *= rows("att", n)
+        d_score -= mean.reshape(d_score.shape)
         # Back to the blocks: each is the later half of one window and the earlier one of the next.
-        back = np.zeros((*shape, 3 * HEAD + HIDDEN), dtype=np.float32)
-        back[:, 1:, :, :HEAD] = d_query.reshape(len(starts), length, SPAN, HEAD)
-        for i, part in ((1, d_key), (2, d_value)):
-            part = part.reshape(len(starts), length, 2 * SPAN, HEAD)
-            back[:, :-1, :, i * HEAD : (i + 1) * HEAD] += part[:, :, :SPAN]
-            back[:, 1:, :, i * HEAD : (i + 1) * HEAD] += part[:, :, SPAN:]
-        back[:, 1:, :, 3 * HEAD :] = d_hidden.reshape(len(starts), length, SPAN, HIDDEN)
-        in_all = x.T @ back.reshape(len(x), -1)
-        ones = np.ones(len(d), dtype=np.float32)
-        return loss, [
-            in_all[:, :HEAD], in_all[:, HEAD : 2 * HEAD], in_all[:, 2 * HEAD : 3 * HEAD],
-            np.bincount(_BACK.ravel(), d_score.sum(axis=0).ravel(), 2 * SPAN),
-            flat_seen.T @ d_hidden, in_all[:, 3 * HEAD :], ones @ d_hidden, hidden.T @ d, ones @ d,
-        ]
+        # Nothing is written to the queries of an earlier half, which stay 0.
+        both = self.room.arrays["both"][: n * 6 * HEAD].reshape(length, 2 * SPAN, 3 * HEAD)
+        np.matmul(d_score, _windows(made[:, _KEY]), out=both[:, SPAN:, _QUERY])
+        np.matmul(d_score.transpose(0, 2, 1), made[SPAN:, _QUERY].reshape(length, SPAN, HEAD), out=both[:, :, _KEY])
+        np.matmul(att.transpose(0, 2, 1), blocks_of("d_seen", n), out=both[:, :, _VALUE])
+        back = blocks_of("back", whole)
+        np.add(both[:-1, SPAN:], both[1:, :SPAN], out=back[1:-1])
+        back[0], back[-1] = both[0, :SPAN], both[-1, SPAN:]
+        ones = np.ones(n, dtype=np.float32)
+        for total, part in zip(sums, (
+            x.T @ rows("back", whole), x[SPAN:].T @ d_hidden, seen.T @ d_hidden, ones @ d_hidden, hidden.T @ d,
+            ones @ d, ones[:length] @ d_score.reshape(length, -1),
+        )):
+            total += part
+        return loss
 
     def step(self, b: Blocks, starts: np.ndarray, length: int, rate: float) -> float:
         """One step on runs of blocks, each block behind the one before it; returns the loss."""
         loss, gradients = self.gradients(b, starts, length)
         self.steps += 1
         fix = np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-        for param, g, (m, s) in zip(self.weights.all(), gradients, self.moments):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            param -= (rate * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32)
+        m, s = self.moments
+        g = np.concatenate([g.ravel() for g in gradients])
+        m += 0.1 * (g - m)
+        s += 0.01 * (g * g - s)
+        change, at = (rate * fix * m / (np.sqrt(s) + 1e-8)).astype(np.float32), 0
+        for param in self.weights.all():
+            param -= change[at : at + param.size].reshape(param.shape)
+            at += param.size
         return loss
 
 
