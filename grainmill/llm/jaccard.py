@@ -2,9 +2,12 @@
 
 1. Each text becomes the set of its distinct n-gram hashes. Two sets that link must share a
    member among the first ``n - ceil(share * n) + 1`` of each in any common order. The order puts
-   n-grams first that a count-min sketch of the corpus shows to be in one document only, and last
-   those of very many documents. Of the first members, those of one document meet nobody; a text
-   that is edited beyond the threshold has no others and drops out.
+   the lower half of all hashes first, and of these the members that the fewest sets hold. Members
+   of one set alone meet nobody; a text that is edited beyond the threshold has no others among its
+   first ones and drops out. How many sets hold a member is counted exactly: each task sends the
+   lower half of its members, as sorted gaps, to parts of the hash range; a part sends back those
+   that it got twice. Parts and tasks grow in number with the data, not in size, and nothing is
+   broadcast.
 2. Sets that share a first member meet in tiles of one size band (a set also visits the next
    band). Each set has a bitmap of hashed members; members that one bitmap has and the other
    lacks cannot be shared, so bit counts bound the overlap from above. What passes is decided by
@@ -32,24 +35,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.llm import sketch, words as W
+from grainmill.llm import words as W
 from grainmill.llm.components import components
 
 N = 4
 PERCENT = 85
-# An n-gram that this share of a step's documents hold is put last; at most HOT_GRAMS of them.
-HOT_SHARE, HOT_LEAST, HOT_GRAMS = 0.01, 20, 20_000
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 TILE_SETS = 2048
 STARS, FAVOURED = 2, 3
-# 2 ** 27 counters a row: 32 MB are broadcast.
-SKETCH_BITS = 27
+# Bits by which a part tells members apart; with fewer, more sets meet and none are lost.
+MEMBER_BITS = 32
+# Members that a task sends at once, and members of a part, about.
+SENT_MEMBERS, PART_MEMBERS = 1 << 20, 1 << 20
 
-PROFILE = (
-    "doc_id long, text_key long, n_shingles long, set_id long, lone int, first array<long>, bits binary"
-)
+PROFILE = "doc_id long, text_key long, n_shingles long, set_id long"
+SENT = "part int, step long, data binary"
 
 
 def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,28 +70,6 @@ def gram_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
 
-def _hot(n: int, share: float, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for step in W.steps(whole):
-                grams, counts = np.unique(gram_sets(step.column("text"), n)[1], return_counts=True)
-                often = counts >= max(least, share * step.num_rows)
-                yield pa.record_batch(
-                    [pa.array(grams[often].view(np.int64)), pa.array(counts[often])],
-                    names=["gram", "docs"],
-                )
-
-    return run
-
-
-def hot_grams(docs: DataFrame, n: int = N) -> np.ndarray:
-    """N-grams of very many documents, at most HOT_GRAMS; they only steer the order."""
-    counted = docs.select("text").mapInArrow(_hot(n, HOT_SHARE, HOT_LEAST), "gram long, docs long")
-    top = counted.groupBy("gram").agg(F.sum("docs").alias("docs"))
-    rows = W.most_frequent(W.bounded_rows(top, "hot-grams"), "docs", HOT_GRAMS).select("gram").collect()
-    return np.sort(np.array([r["gram"] for r in rows], dtype=np.int64).view(np.uint64))
-
-
 def bitmap(members: np.ndarray) -> bytes:
     """Hashed members; a larger map folds onto a smaller one by halves."""
     width = min(MOST_BITS, max(LEAST_BITS, 1 << int(4 * len(members) - 1).bit_length()))
@@ -97,78 +78,218 @@ def bitmap(members: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _members(n: int):
-    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for step in W.steps(batch):
-            yield gram_sets(step.column("text"), n)[1]
-
-    return run
+def _set_ids(ends: np.ndarray, grams: np.ndarray) -> list[int | None]:
+    """A 64-bit hash of each row's members; None without members."""
+    import xxhash
 
+    return [
+        xxhash.xxh3_64_intdigest(grams[a:b].tobytes()) - (1 << 63) if b > a else None
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())
+    ]
 
-def _profiles(n: int, percent: int, hot: np.ndarray, bits: int, shared):
-    import xxhash
 
+def _profiles(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = sketch.Repeated(shared.value, bits)
         for whole in batches:
             for step in W.steps(whole):
                 ends, grams = gram_sets(step.column("text"), n)
-                common = repeated(grams)
-                late = np.zeros(len(grams), dtype=bool)
-                if len(hot):
-                    late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
-                sizes, ids, lone, firsts, maps = [], [], [], [], []
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                    own, last, many = grams[a:b], late[a:b], common[a:b]
-                    size = b - a
-                    sizes.append(size)
-                    if not size:
-                        ids.append(None)
-                        lone.append(None)
-                        firsts.append([])
-                        maps.append(None)
-                        continue
-                    ids.append(xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63))
-                    # Members of one document alone come first and meet nobody.
-                    alone = size - int(many.sum())
-                    lone.append(1000 * alone // size)
-                    take = max(0, size - -(-percent * size // 100) + 1 - alone)
-                    first = own[many & ~last][:take]
-                    if len(first) < take:
-                        first = np.concatenate((first, own[many & last][: take - len(first)]))
-                    firsts.append(first.view(np.int64))
-                    maps.append(bitmap(own) if len(first) else None)
                 yield pa.record_batch(
                     [
-                        step.column("doc_id"), step.column("text_key"), pa.array(sizes, pa.int64()),
-                        pa.array(ids, pa.int64()), pa.array(lone, pa.int32()),
-                        pa.array(firsts, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
+                        step.column("doc_id"), step.column("text_key"), pa.array(np.diff(ends)),
+                        pa.array(_set_ids(ends, grams), pa.int64()),
                     ],
-                    names=["doc_id", "text_key", "n_shingles", "set_id", "lone", "first", "bits"],
+                    names=["doc_id", "text_key", "n_shingles", "set_id"],
                 )
 
     return run
 
 
-def profiles(
-    docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = SKETCH_BITS
-) -> DataFrame:
-    """Size, set id, first members that others may share, and bitmap of each document's set."""
-    hot = hot_grams(docs, n)
-    shared = sketch.repeated(docs.select("text"), _members(n), bits)
-    return docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(
-        _profiles(n, percent, hot, bits, shared), PROFILE
+def profiles(docs: DataFrame, *, n: int = N) -> DataFrame:
+    """Size and set id of each document's set."""
+    W.small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text", W.text_key().alias("text_key")).mapInArrow(_profiles(n), PROFILE)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32, by planes of bytes; the upper planes are compressed."""
+    codec, out = pa.Codec("zstd", 1), []
+    for values in columns:
+        planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        upper = codec.compress(planes[1:].tobytes(), asbytes=True)
+        out += [np.array([len(values), len(upper)], "<u4").tobytes(), planes[0].tobytes(), upper]
+    return b"".join(out)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    codec, at, out = pa.Codec("zstd", 1), 0, []
+    while at < len(data):
+        size, upper = np.frombuffer(data, "<u4", 2, at).tolist()
+        planes = np.empty((4, size), np.uint8)
+        planes[0] = np.frombuffer(data, np.uint8, size, at + 8)
+        at += 8 + size
+        rest = codec.decompress(data[at : at + upper], 3 * size, asbytes=True)
+        planes[1:] = np.frombuffer(rest, np.uint8).reshape(3, size)
+        at += upper
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+    return out
+
+
+def _gaps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+def _halves(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (values >> 32) & 0xFFFFFFFF, values & 0xFFFFFFFF
+
+
+def first_members(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """So many of the first members of a set are needed to meet all sets that it may link with."""
+    return sizes - -(-percent * sizes // 100) + 1
+
+
+def _sent(n: int, percent: int, part_bits: int, bits: int):
+    """The members of all sets by parts of the hash range, and for each step its sets (part < 0).
+
+    Of a set these are its members in the lower half of all hashes and, if they are too few, those
+    that come next.
+    """
+    low, high = np.uint64(1 << 63), np.uint64(64 - 1 - part_bits - bits)
+
+    def rows(step: int, ids: list[int], found: list[tuple]) -> pa.RecordBatch:
+        sizes = np.concatenate([f[0] for f in found])
+        sent = np.concatenate([f[1] for f in found])
+        members = np.concatenate([f[2] for f in found])
+        owner = np.repeat(np.arange(len(sent)), sent)
+        order = np.argsort(members, kind="stable")
+        members, owner = members[order], owner[order]
+        new = np.flatnonzero(np.diff(members, prepend=~members[:1]))
+        counts = np.diff(np.append(new, len(members)))
+        members = members[new]
+        part = (members >> np.uint64(bits)).astype(np.int64)
+        inner = members & np.uint64((1 << bits) - 1)
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+        entry = np.append(new, len(owner))
+        parts, data = [-1 - (step >> 32)], [_packed(sizes, sent, *_halves(np.array(ids, np.int64)))]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            parts.append(int(part[a]))
+            data.append(_packed(_gaps(inner[a:b]), counts[a:b], owner[entry[a] : entry[b]]))
+        return pa.record_batch(
+            [pa.array(parts, pa.int32()), pa.array([step] * len(parts), pa.int64()), pa.array(data, pa.binary())],
+            names=["part", "step", "data"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = TaskContext.get().partitionId() << 32
+        ids, found, seen, held = [], [], set(), 0
+        for whole in batches:
+            for batch in W.steps(whole):
+                ends, grams = gram_sets(batch.column("text"), n)
+                sizes = np.diff(ends)
+                below = np.concatenate(([0], np.cumsum(grams < low)))
+                take = np.maximum(np.diff(below[ends]), np.minimum(sizes, first_members(sizes, percent)))
+                # Equal sets of a step are sent once.
+                for i, set_id in enumerate(_set_ids(ends, grams)):
+                    if set_id is None or set_id in seen:
+                        take[i] = 0
+                    else:
+                        seen.add(set_id)
+                        ids.append(set_id)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                sent = np.arange(len(grams)) - ends[row] < take[row]
+                row, members = row[sent], grams[sent] >> high
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (np.diff(row) != 0) | (np.diff(members) != 0)
+                sent = np.bincount(row[new], minlength=len(sizes))
+                found.append((sizes[take > 0], sent[take > 0], members[new]))
+                held += int(new.sum())
+                if held >= SENT_MEMBERS:
+                    yield rows(step, ids, found)
+                    step, ids, found, seen, held = step + 1, [], [], set(), 0
+        if held:
+            yield rows(step, ids, found)
+
+    return run
+
+
+def _shared(key: tuple, table: pa.Table) -> pa.Table:
+    """Members that a part of the hash range got twice or more, how often, and of which sets."""
+    part, steps = key[0].as_py(), table.column("step")
+    if part < 0:
+        return table.select(["part", "step", "data"])
+    inner, counts = [], []
+    for data in table.column("data"):
+        gaps, count, _ = _unpacked(data.as_py())
+        inner.append(np.cumsum(gaps, dtype=np.uint32))
+        counts.append(count)
+    _, which = np.unique(np.concatenate(inner), return_inverse=True)
+    held = np.bincount(which, weights=np.concatenate(counts))[which].astype(np.int64)
+    kept, out, at = [], [], 0
+    for i, data in enumerate(table.column("data")):
+        own = np.minimum(held[at : at + len(inner[i])], (1 << 32) - 1)
+        at += len(own)
+        often = own > 1
+        if often.any():
+            owner = _unpacked(data.as_py())[2][np.repeat(often, counts[i])]
+            out.append(_packed(_gaps(inner[i][often]), counts[i][often], own[often], owner))
+            kept.append(i)
+    return pa.table(
+        [pa.array([part] * len(kept), pa.int32()), steps.take(pa.array(kept, pa.int64())), pa.array(out, pa.binary())],
+        names=["part", "step", "data"],
     )
 
 
-def meetings(profile: DataFrame) -> DataFrame:
+def _first(percent: int, bits: int):
+    """The first members of a step's sets that other sets hold, rarest first."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        members, held, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for part, data in zip(table.column("part").to_pylist(), table.column("data")):
+            data = data.as_py()
+            if part < 0:
+                head = data
+                continue
+            gaps, count, often, sets = _unpacked(data)
+            inner = np.cumsum(gaps, dtype=np.uint32).astype(np.int64)
+            members.append(np.repeat((part << bits) | inner, count))
+            held.append(np.repeat(often, count))
+            owner.append(sets)
+        members, held, owner = (np.concatenate(x).astype(np.int64) for x in (members, held, owner))
+        sizes, sent, upper, lower = (x.astype(np.int64) for x in _unpacked(head))
+        ids = (upper << 32) | lower
+        order = np.lexsort((members, held, owner))
+        members, owner = members[order], owner[order]
+        of = np.bincount(owner, minlength=len(ids))
+        alone = sent - of
+        nth = np.arange(len(owner)) - (np.cumsum(of) - of)[owner]
+        first = nth < (first_members(sizes, percent) - alone)[owner]
+        members, owner = members[first], owner[first]
+        lone = (1000 * alone // np.maximum(sent, 1)).astype(np.int32)
+        return pa.table(
+            [pa.array(members), pa.array(ids[owner]), pa.array(lone[owner]), pa.array(sizes[owner])],
+            names=["gram", "set_id", "lone", "n"],
+        )
+
+    return run
+
+
+def first_rows(docs: DataFrame, members: int, *, n: int = N, percent: int = PERCENT, bits: int = MEMBER_BITS) -> DataFrame:
+    """``gram, set_id, lone, n``: first members of each set that others hold too.
+
+    ``members`` is the number of members of all sets, about; it sets the number of parts.
+    """
+    part_bits = max(0, (members // 2 // PART_MEMBERS).bit_length())
+    sent = docs.select("text").mapInArrow(_sent(n, percent, part_bits, bits), SENT)
+    shared = sent.groupBy("part").applyInArrow(_shared, SENT)
+    return shared.groupBy("step").applyInArrow(_first(percent, bits), "gram long, set_id long, lone int, n long")
+
+
+def meetings(first: DataFrame) -> DataFrame:
     """``tile, set_id, n, plainest``: sets that share a first member with another set.
 
     A tile stands for all members that the very same sets share.
     """
-    rows = profile.where("size(first) > 0").select(
-        F.explode("first").alias("gram"), "set_id", "lone", F.col("n_shingles").alias("n")
-    ).distinct()
+    # Equal sets of several steps become one where their members meet.
+    rows = first.repartition("gram").distinct()
     gram = Window.partitionBy("gram")
     rows = rows.select(
         "gram", "set_id", "n",
@@ -245,6 +366,17 @@ def verify(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataF
     )
 
 
+def _with_bits(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for step in W.steps(whole):
+                ends, grams = gram_sets(step.column("text"), n)
+                maps = [bitmap(grams[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield step.append_column("bits", pa.array(maps, pa.binary()))
+
+    return run
+
+
 def _tile(percent: int, favoured: int):
     """Pairs of a tile that the bitmaps let pass: a block against itself or another one.
 
@@ -319,21 +451,25 @@ def tile_pairs(
 
 
 def linked_sets(
-    docs: DataFrame, profile: DataFrame, *, n: int = N, percent: int = PERCENT,
+    docs: DataFrame, profile: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = MEMBER_BITS,
     tile_sets: int = TILE_SETS,
 ) -> DataFrame:
     """``node, comp`` of the sets that link with another set. ``profile`` should be a table."""
-    met = W.bounded_rows(meetings(profile), "meetings")
-    one = profile.where("size(first) > 0").groupBy("set_id").agg(
-        F.min(F.struct("doc_id", "text_key", "n_shingles", "bits")).alias("_doc")
+    members = profile.agg(F.sum("n_shingles")).first()[0] or 0
+    met = W.bounded_rows(meetings(first_rows(docs, members, n=n, percent=percent, bits=bits)), "meetings")
+    one = profile.where("set_id is not null").join(met.select("set_id").distinct(), "set_id", "left_semi")
+    one = one.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key", "n_shingles")).alias("_doc"))
+    keys = one.select(
+        "set_id", "_doc.n_shingles", F.col("_doc.doc_id").alias("_doc"), F.col("_doc.text_key").alias("_text")
     )
-    own = one.join(met.select("set_id").distinct(), "set_id").select("set_id", "_doc.*")
-    own = W.bounded_rows(own, "sets")
-    keys = own.select("set_id", F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"))
+    keys = W.bounded_rows(keys, "sets")
     texts = docs.select("doc_id", "text", W.text_key().alias("text_key")).join(
         keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text"))
     )
-    texts = W.bounded_rows(texts.groupBy("set_id").agg(F.min("text").alias("text")), "set-texts")
+    texts = texts.groupBy("set_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("text").alias("text"))
+    texts = texts.mapInArrow(_with_bits(n), "set_id long, n_shingles long, text string, bits binary")
+    texts = W.bounded_rows(texts, "set-texts")
+    own = texts.select("set_id", "n_shingles", "bits")
 
     # Every set meets the plainest sets of its tiles; the best of these are tried.
     side_a = own.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("bits_a"))
@@ -363,7 +499,7 @@ def linked_sets(
 
 
 def near_copies(
-    docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = SKETCH_BITS,
+    docs: DataFrame, *, n: int = N, percent: int = PERCENT, bits: int = MEMBER_BITS,
     tile_sets: int = TILE_SETS,
 ) -> DataFrame:
     """``doc_id, text_key, n_shingles, component_id, group`` of each row.
@@ -371,8 +507,8 @@ def near_copies(
     ``group`` is one number for all rows of a component. Rows without a set have no group, and
     their own doc_id as component.
     """
-    profile = W.bounded_rows(profiles(docs, n=n, percent=percent, bits=bits), "profiles")
-    comp = linked_sets(docs, profile, n=n, percent=percent, tile_sets=tile_sets)
+    profile = W.bounded_rows(profiles(docs, n=n), "profiles")
+    comp = linked_sets(docs, profile, n=n, percent=percent, bits=bits, tile_sets=tile_sets)
     comp = comp.withColumnRenamed("node", "set_id")
     sets = profile.groupBy("set_id").agg(F.min("doc_id").alias("_least")).where("set_id is not null")
     sets = sets.join(comp, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
