@@ -6,8 +6,7 @@
    of one set alone meet nobody; a text that is edited beyond the threshold has no others among its
    first ones and drops out. How many sets hold a member is counted exactly: each task sends the
    lower half of its members, as sorted gaps, to parts of the hash range; a part sends back those
-   that it got twice. Parts and tasks grow in number with the data, not in size, and nothing is
-   broadcast.
+   that it got twice. Parts and tasks grow in number with the data, not in size.
 2. Sets that share a first member meet in tiles of one size band (a set also visits the next
    band). Each set has a bitmap of hashed members; members that one bitmap has and the other
    lacks cannot be shared, so bit counts bound the overlap from above. What passes is decided by
@@ -38,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from grainmill.llm import words as W
+from grainmill.llm import sketch, words as W
 from grainmill.llm.components import components
 
 N = 4
@@ -358,7 +357,9 @@ def _verified(n: int, percent: int):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose exact sets link. Texts meet their pairs by two joins."""
+    """The pairs ``a, b`` whose exact sets link. Texts of pairs meet them by two joins."""
+    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    texts = texts.join(needed, "set_id", "left_semi")
     of_a = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     of_b = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(
@@ -366,17 +367,43 @@ def verify(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataF
     )
 
 
-def _with_bits(n: int):
+def _twice(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield np.repeat(batch.column("text_key").to_numpy().view(np.uint64), 2)
+
+
+def _met_texts(n: int, shared):
+    """Set id, size, text and bitmap of the texts whose key the sketch may hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = sketch.Repeated(shared.value, sketch.BITS)
         for whole in batches:
             for step in W.steps(whole):
+                step = step.filter(pa.array(met(step.column("text_key").to_numpy().view(np.uint64))))
                 ends, grams = gram_sets(step.column("text"), n)
+                ids = pa.array(_set_ids(ends, grams), pa.int64())
                 maps = [bitmap(grams[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-                yield step.append_column("bits", pa.array(maps, pa.binary()))
+                part = pa.record_batch(
+                    [ids, pa.array(np.diff(ends)), step.column("text"), pa.array(maps, pa.binary())],
+                    names=["set_id", "n_shingles", "text", "bits"],
+                )
+                yield part.filter(ids.is_valid())
 
     return run
 
 
+def set_texts(docs: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """``set_id, n_shingles, text, bits``: a text of each set that has one of the ``text_key`` in ``keys``.
+
+    A sketch of the keys tells which texts are sent. A fuller one lets texts of other sets through
+    and loses none.
+    """
+    shared = sketch.repeated(keys.select("text_key"), _twice)
+    texts = docs.select("text", W.text_key().alias("text_key")).mapInArrow(
+        _met_texts(n, shared), "set_id long, n_shingles long, text string, bits binary"
+    )
+    return texts.groupBy("set_id").agg(*[F.min(c).alias(c) for c in ("n_shingles", "text", "bits")])
+
+
 def _tile(percent: int, favoured: int):
     """Pairs of a tile that the bitmaps let pass: a block against itself or another one.
 
@@ -457,18 +484,9 @@ def linked_sets(
     """``node, comp`` of the sets that link with another set. ``profile`` should be a table."""
     members = profile.agg(F.sum("n_shingles")).first()[0] or 0
     met = W.bounded_rows(meetings(first_rows(docs, members, n=n, percent=percent, bits=bits)), "meetings")
-    one = profile.where("set_id is not null").join(met.select("set_id").distinct(), "set_id", "left_semi")
-    one = one.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_key", "n_shingles")).alias("_doc"))
-    keys = one.select(
-        "set_id", "_doc.n_shingles", F.col("_doc.doc_id").alias("_doc"), F.col("_doc.text_key").alias("_text")
-    )
-    keys = W.bounded_rows(keys, "sets")
-    texts = docs.select("doc_id", "text", W.text_key().alias("text_key")).join(
-        keys, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text"))
-    )
-    texts = texts.groupBy("set_id").agg(F.min("n_shingles").alias("n_shingles"), F.min("text").alias("text"))
-    texts = texts.mapInArrow(_with_bits(n), "set_id long, n_shingles long, text string, bits binary")
-    texts = W.bounded_rows(texts, "set-texts")
+    keys = profile.join(met.select("set_id").distinct(), "set_id", "left_semi")
+    keys = keys.groupBy("set_id").agg(F.min("text_key").alias("text_key"))
+    texts = W.bounded_rows(set_texts(docs, W.bounded_rows(keys, "sets"), n), "set-texts")
     own = texts.select("set_id", "n_shingles", "bits")
 
     # Every set meets the plainest sets of its tiles; the best of these are tried.

@@ -52,14 +52,29 @@ def test_unlike_texts_have_no_first_members(spark):
     assert jaccard.first_rows(docs, 57 * 300).count() == 0
 
 
-def test_nothing_is_broadcast_by_hand(spark, monkeypatch):
-    """A table of counters of one size for any corpus is full at some size, and all sets meet."""
+def test_no_table_of_one_size_finds_first_members(spark, monkeypatch):
+    """Counters of one size for any corpus are full at some size, and then all sets meet."""
     def refused(*args):
         raise AssertionError("broadcast")
 
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    docs = spark.createDataFrame(ROWS, odd.SCHEMA).repartition(5)
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.sparkContext), "broadcast", refused)
+        assert jaccard.first_rows(docs, 5_000).count() > 0
+
+
+def test_small_parts_and_steps_give_the_same_components(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SENT_MEMBERS", 500)
     monkeypatch.setattr(jaccard, "PART_MEMBERS", 64)
     docs = spark.createDataFrame(ROWS, odd.SCHEMA).repartition(5)
     want = Counter(zip((r[0] for r in ROWS), odd.components([(r[0], r[1]) for r in ROWS])))
     assert Counter((r.doc_id, r.component_id) for r in jaccard.near_copies(docs).collect()) == want
+
+
+def test_only_texts_of_the_keys_are_sent(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(50)] + [(99, None), (98, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    keys = docs.where("doc_id % 10 = 3").select(words.text_key().alias("text_key"))
+    got = jaccard.set_texts(docs.union(docs), keys, 4).collect()
+    assert sorted(r.text for r in got) == sorted(t for i, t in rows if i % 10 == 3)
+    assert all(r.n_shingles == 27 and len(r.bits) >= 8 for r in got)
